@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import bpe, simhash
+from lodestone.llm import bpe, mixing, pii, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_pii": pii.query,
         "op3_simhash": simhash.query,
         "op7_bpe": bpe.query,
+        "op8_mixing": mixing.query,
     }
 
 
