@@ -18,17 +18,23 @@ def table(spark: SparkSession, sf_dir: str, name: str, columns: Sequence[str] =
     return df.select(*columns) if columns else df
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a reliable checkpoint in the folder that all executors share.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints and tables between steps, shared by all executors.
 
-    The folder is the session's ``spark.checkpoint.dir``. Where it is unset, a local session gets
-    a temporary folder and any other session one beside its warehouse, which is shared as well.
+    It is the session's ``spark.checkpoint.dir``. Where that is unset, a local session gets a
+    temporary folder and any other session one beside its warehouse, which is shared as well.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
-    if not spark.conf.get("spark.checkpoint.dir", "") and sc._jsc.sc().getCheckpointDir().isEmpty():
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
         local = sc.master.startswith("local") and not sc.master.startswith("local-cluster")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="ckpt-") if local else spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints")
+        own = tempfile.mkdtemp(prefix="ckpt-") if local else spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "") or own)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

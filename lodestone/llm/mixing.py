@@ -34,7 +34,7 @@ GROUP, FAN_IN = 512, 64
 #: Fractions nearer to a whole number than this are whole.
 TINY = 1e-9
 
-_ROW = "src long, g long, level int, doc_id {kind}, size long, source_size long, target double, k long, copies int, p double"
+_ROW = "src long, g long, level int, doc_id string, size long, source_size long, target double, k long, copies int, p double"
 
 
 def word_count(text) -> F.Column:
@@ -135,23 +135,22 @@ def rounded(df: DataFrame, weights: Sequence[float] = WEIGHTS, cap: float = CAP,
         .select(
             "src",
             F.pmod(F.xxhash64(F.lit(seed), "k"), F.ceil(F.col("n") / GROUP)).alias("g"),
-            F.lit(0).alias("level"), "doc_id", "size", "source_size", "target", "k",
+            F.lit(0).alias("level"), F.col("doc_id").cast("string"), "size", "source_size", "target", "k",
             whole.cast("int").alias("copies"),
             F.greatest(rate - whole, F.lit(0.0)).alias("p"),
         )
     )
     groups, level, done = -(-widest // GROUP), 0, None
-    schema = _ROW.format(kind=kind)
     while True:
         if level == 0:
             dealt = rows.withColumn("words", F.sum("size").over(W.partitionBy("src", "g"))).sortWithinPartitions("src", "g", F.desc("size"), "k", "doc_id")
-            got = dealt.mapInPandas(_stream(seed), schema)
+            got = dealt.mapInPandas(_stream(seed), _ROW)
         else:
-            got = rows.groupBy("src", "g").applyInPandas(_meet(seed), schema)
+            got = rows.groupBy("src", "g").applyInPandas(_meet(seed), _ROW)
         out = checkpoint(got.withColumn("p", F.nanvl("p", F.lit(None).cast("double"))))
         if groups <= 1:
             last = out.withColumn("copies", F.col("copies") + F.coalesce(F.round("p"), F.lit(0)).cast("int"))
-            return (last if done is None else done.unionByName(last)).select("doc_id", "size", "source_size", "target", "copies", "k")
+            return (last if done is None else done.unionByName(last)).select(F.col("doc_id").cast(kind), "size", "source_size", "target", "copies", "k")
         settled = out.where("p is null")
         done = settled if done is None else done.unionByName(settled)
         level, groups = level + 1, -(-groups // FAN_IN)
