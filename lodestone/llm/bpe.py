@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import table
 
-#: Entries of the per-process caches, and bytes of a piece that may enter them.
-CACHE_ENTRIES, CACHE_BYTES = 200_000, 48
+#: Entries of a generation of the per-process caches, and characters of a piece that may enter them.
+CACHE_ENTRIES, CACHE_CHARS = 300_000, 48
 #: Pieces that are hashed at once.
 BLOCK = 32_768
 
@@ -44,11 +44,12 @@ class Encoder:
         self.pieces = regex.compile(pattern)
         self.automaton = ahocorasick.Automaton()
         for token, rank in ranks.items():
-            self.automaton.add_word(token.decode("latin-1"), rank)
+            self.automaton.add_word(token.decode("latin-1"), (rank, len(token)))
         self.automaton.make_automaton()
         self.halves: dict[int, tuple[int, int]] = {}
         self.fits: dict[tuple[int, int], bool] = {}
-        self.known: dict[str, tuple[tuple[int, ...], str]] = {}
+        self.known: dict[str, tuple[tuple[int, ...], str]] = {}  # in use since the last change of generations
+        self.older: dict[str, tuple[tuple[int, ...], str]] = {}
 
     @classmethod
     def load(cls, path: str, pattern: str) -> Encoder:
@@ -104,21 +105,21 @@ class Encoder:
         if piece in self.ranks:
             return [self.ranks[piece]]
         n = len(piece)
-        starts: list[list[int]] = [[] for _ in range(n)]  # ranks of the entries that begin here, longest last
-        entry = self.entry
-        for end, rank in self.automaton.iter(piece.decode("latin-1")):
-            starts[end + 1 - len(entry[rank])].append(rank)
+        starts: list[list[tuple[int, int]]] = [[] for _ in range(n)]  # (rank, length) of the entries that begin here, longest last
+        for end, found in self.automaton.iter(piece.decode("latin-1")):
+            starts[end + 1 - found[1]].append(found)
         alive = bytearray(b"\1") * (n + 1)
         out: list[int] = []
         tried: list[int] = []  # for each entry of out, how many shorter ones are left
+        fits, entry = self.fits, self.entry
         at, left = 0, len(starts[0])
         while at < n:
             here = starts[at]
             while left:
                 left -= 1
-                token = here[left]
-                end = at + len(entry[token])
-                if alive[end] and (not out or self._fit(out[-1], token)):
+                token, length = here[left]
+                end = at + length
+                if alive[end] and (not out or fits.get((out[-1], token)) or self._fit(out[-1], token)):
                     out.append(token)
                     tried.append(left)
                     at = end
@@ -131,18 +132,20 @@ class Encoder:
         return out
 
     def _known(self, piece: str) -> tuple[tuple[int, ...], str]:
-        ids = tuple(self.encode_piece(piece.encode("utf-8", "surrogatepass")))
-        got = ids, " ".join(map(str, ids))
-        if len(piece) <= CACHE_BYTES:
+        if (got := self.older.get(piece)) is None:
+            ids = tuple(self.encode_piece(piece.encode("utf-8", "surrogatepass")))
+            got = ids, " ".join(map(str, ids))
+        if len(piece) <= CACHE_CHARS:
             if len(self.known) >= CACHE_ENTRIES:
-                self.known.clear()
+                self.known, self.older = {}, self.known
             self.known[piece] = got
         return got
 
     def blocks(self, text: str) -> Iterator[list[tuple[tuple[int, ...], str]]]:
         """The text's pieces in order, encoded, as lists of bounded length."""
-        known, pieces = self.known, (m.group() for m in self.pieces.finditer(text))
+        pieces = (m.group() for m in self.pieces.finditer(text))
         while block := list(islice(pieces, BLOCK)):
+            known = self.known
             yield [known.get(p) or self._known(p) for p in block]
 
     def encode(self, text: str) -> list[int]:
