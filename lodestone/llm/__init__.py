@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import bpe, chat, iblt, mixing, pii, quality, simhash
+from lodestone.llm import bpe, chat, embed, iblt, mixing, pii, quality, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_pii": pii.query,
         "op3_simhash": simhash.query,
         "op4_sketch": iblt.query,
+        "op5_embeddings": embed.query,
         "op6_quality": quality.query,
         "op7_bpe": bpe.query,
         "op8_mixing": mixing.query,
