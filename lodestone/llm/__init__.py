@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import bpe, chat, embed, iblt, mixing, pii, quality, simhash
+from lodestone.llm import bpe, chat, embed, html_crf, iblt, mixing, pii, quality, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_quality": quality.query,
         "op7_bpe": bpe.query,
         "op8_mixing": mixing.query,
+        "op9_html": html_crf.query,
         "op10_chat": chat.query,
     }
 
