@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import bpe, chat, embed, html_crf, iblt, mixing, pii, quality, simhash
+from lodestone.llm import bpe, chat, embed, html_crf, iblt, mixing, pii, quality, simhash, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii": pii.query,
+        "op2_urls": url_filter.query,
         "op3_simhash": simhash.query,
         "op4_sketch": iblt.query,
         "op5_embeddings": embed.query,
