@@ -1,15 +1,537 @@
-"""Queries of the search and comparison engine by name, with their SQL."""
+"""Queries of the search and comparison engine by name, with their SQL.
+
+The tables stand in for the engine's own: parts for marks, benchmark passages for query items,
+embeddings for logos, conversations for lines, events for feeds in time.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from lodestone.functions import embedding as E
+from lodestone.functions import images as I
+from lodestone.functions import similarity as S
+from lodestone.functions import text as X
+from lodestone.functions import vectors as V
+from lodestone.operators import aggregates as A
+from lodestone.operators import contain, dml, extract, search, segment
+from lodestone.operators import joins as J
+from lodestone.operators import knn as K
+from lodestone.plans import compare as C
+from lodestone.sources import readers, writers
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None = None):
+    def keep(f):
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return keep
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    return readers.parquet(spark, f"{sf_dir}/{name}.parquet", *columns)
+
+
+def _marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as marks."""
+    return _t(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("id"), F.format_string("TM %010d", "p_partkey").alias("serial_number"), F.col("p_name").alias("trademark_name"), F.col("p_brand").alias("applicant_name"),
+        F.col("p_type").alias("description"), F.col("p_size").cast("string").alias("class_indices"), (F.col("p_partkey") % 12).cast("string").alias("batch_number"), F.lit("2025").alias("batch_year"),
+    )
+
+
+_MARKS = """(SELECT p_partkey AS id, 'TM ' || lpad(CAST(p_partkey AS VARCHAR), 10, '0') AS serial_number, p_name AS trademark_name, p_brand AS applicant_name,
+  p_type AS description, CAST(p_size AS VARCHAR) AS class_indices, CAST(p_partkey % 12 AS VARCHAR) AS batch_number, '2025' AS batch_year FROM part)"""
+
+# ------------------------------------------------------------------- neighbours
+
+
+def _vector(spark: SparkSession, sf_dir: str, key: int = 0) -> list[float]:
+    return _t(spark, sf_dir, "embeddings", "vec_id", "embedding").where(F.col("vec_id") == key).first()["embedding"]
+
+
+_TOP10 = """SELECT vec_id, label, sim, row_number() OVER (ORDER BY sim DESC, vec_id) AS rank FROM (
+  SELECT e.vec_id, e.label, list_inner_product(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS sim
+  FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q) QUALIFY rank <= 10"""
+
+
+@_query(f"SELECT vec_id, rank, round(sim, 6) AS sim FROM ({_TOP10})")
+def knn_topk_global(spark, sf_dir):
+    near = K.nearest(_t(spark, sf_dir, "embeddings", "vec_id", "embedding"), _vector(spark, sf_dir), 10, "vec_id", "embedding")
+    return K.ranked(near, "vec_id").select("vec_id", F.col("rank").cast("long").alias("rank"), F.round("sim", 6).alias("sim"))
+
+
+@_query(f"SELECT vec_id, rank, round(sim, 6) AS sim FROM ({_TOP10}) WHERE 1 - sim <= 0.70 AND label % 2 = 0")
+def knn_threshold_postfilter(spark, sf_dir):
+    near = K.nearest(_t(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"), _vector(spark, sf_dir), 10, "vec_id", "embedding")
+    found = K.within(K.ranked(near, "vec_id"), 0.70).where("label % 2 = 0")
+    return found.select("vec_id", F.col("rank").cast("long").alias("rank"), F.round("sim", 6).alias("sim"))
+
+
+_EACH = """SELECT q.vec_id AS qid, e.vec_id AS id, list_inner_product(CAST(q.{v} AS DOUBLE[]), CAST(e.{v} AS DOUBLE[])) AS sim,
+  row_number() OVER (PARTITION BY q.vec_id ORDER BY list_inner_product(CAST(q.{v} AS DOUBLE[]), CAST(e.{v} AS DOUBLE[])) DESC, e.vec_id) AS rank
+  FROM (SELECT * FROM {t} WHERE vec_id % 50 = 0) q, {t} e QUALIFY rank <= {k}"""
+
+
+@_query(f"SELECT qid, id, rank, round(sim, 6) AS sim FROM ({_EACH.format(v='embedding', t='embeddings', k=10)})")
+def knn_topk_batch(spark, sf_dir):
+    e = _t(spark, sf_dir, "embeddings", "vec_id", "embedding").withColumnRenamed("vec_id", "id")
+    found = K.nearest_each(e.where("id % 50 = 0").withColumnRenamed("id", "qid"), e, 10, vector="embedding")
+    return found.select("qid", "id", F.col("rank").cast("long").alias("rank"), F.round("sim", 6).alias("sim"))
+
+
+_HALVES = "(SELECT vec_id, label, list_slice(embedding, 1, 32) AS a, list_slice(embedding, 33, 64) AS b FROM embeddings)"
+_MERGED = f"""SELECT qid, id, coalesce(max(t), 0.0) AS t, coalesce(max(l), 0.0) AS l FROM (
+  SELECT qid, id, sim AS t, NULL AS l FROM ({_EACH.format(v="a", t=_HALVES, k=10)}) UNION ALL SELECT qid, id, NULL, sim FROM ({_EACH.format(v="b", t=_HALVES, k=20)})) GROUP BY qid, id"""
+
+
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Marks with two vectors each, and a hash that both engines compute alike."""
+    e = _t(spark, sf_dir, "embeddings", "vec_id", "embedding").select(F.col("vec_id").alias("id"), F.slice("embedding", 1, 32).alias("text_vec"), F.slice("embedding", 33, 32).alias("logo_vec"))
+    hashed = ((F.col("id") % 97) * 2654435761 * 97).alias("phash")
+    return _marks(spark, sf_dir).withColumn("agent_details", F.lit("n/a")).join(e, "id").select("*", hashed)
+
+
+def _asked(items: DataFrame) -> DataFrame:
+    """Every fiftieth item as a query; some have no name, some no picture."""
+    named = F.when(F.col("id") % 150 != 0, F.col("trademark_name")).otherwise("")
+    return items.where("id % 50 = 0").select(F.col("id").alias("qid"), "serial_number", named.alias("trademark_name"), F.lit("").alias("applicant_name"), (F.col("id") % 100 == 0).alias("has_img"), "phash", "text_vec", "logo_vec")
+
+
+@_query(f"SELECT qid, id, round(t, 6) AS t, round(l, 6) AS l FROM ({_MERGED})")
+def candidate_union_merge(spark, sf_dir):
+    e = _t(spark, sf_dir, "embeddings", "vec_id", "embedding").select(F.col("vec_id").alias("id"), F.slice("embedding", 1, 32).alias("text_vec"), F.slice("embedding", 33, 32).alias("logo_vec"))
+    merged = C.candidates(e.where("id % 50 = 0").withColumnRenamed("id", "qid"), e)
+    return merged.select("qid", "id", F.round("t", 6).alias("t"), F.round("l", 6).alias("l"))
+
+
+@_query("SELECT DISTINCT id FROM (" + _MERGED + ")")
+def candidate_ids(spark, sf_dir):
+    return candidate_union_merge(spark, sf_dir).select("id").distinct()
+
+
+_ITEMS = f"(SELECT m.*, (m.id % 97) * 2654435761 * 97 AS phash FROM {_MARKS} m WHERE m.id IN (SELECT vec_id FROM embeddings))"
+_FUSED = f"""SELECT *, greatest(literal, 0.9 * t) AS text_sim, CASE WHEN raw > 0.92 THEN 1.0 ELSE raw END AS img_sim FROM (
+  SELECT *, CASE WHEN pixel < 0.25 AND l > 0.70 THEN 0.4 * l ELSE greatest(l, pixel) END AS raw FROM (
+  SELECT g.*, CASE WHEN q_name = '' OR d_name = '' THEN 0.0 WHEN q_name = d_name THEN 1.0 WHEN contains(q_name, d_name) OR contains(d_name, q_name) THEN 0.85 ELSE 0.0 END AS literal,
+    CASE WHEN q_img THEN greatest(0.0, 1 - bit_count(xor(q_hash, phash)) / 64.0) ELSE 0.0 END AS pixel FROM (
+  SELECT c.qid, c.id, c.t, c.l, q.phash AS q_hash, d.phash, c.qid % 100 = 0 AS q_img, d.serial_number AS serial,
+    CASE WHEN c.qid % 150 <> 0 THEN regexp_replace(upper(q.trademark_name), '[^A-Z0-9]', '', 'g') ELSE '' END AS q_name, regexp_replace(upper(d.trademark_name), '[^A-Z0-9]', '', 'g') AS d_name
+  FROM ({_MERGED}) c JOIN {_ITEMS} q ON q.id = c.qid JOIN {_ITEMS} d ON d.id = c.id) g
+  WHERE (q_name <> '' OR q_img) AND (t >= 0.3 OR (q_img AND l >= 0.3))))"""
+_KEPT = f"SELECT * FROM ({_FUSED}) WHERE greatest(img_sim, text_sim) >= CASE WHEN q_name <> '' THEN 0.35 ELSE 0.45 END"
+_BEST = f"SELECT *, row_number() OVER (PARTITION BY qid ORDER BY greatest(img_sim, text_sim) DESC, id) AS rank FROM ({_KEPT}) QUALIFY rank <= 20"
+
+
+@_query(f"SELECT qid, id, rank, serial, round(text_sim, 6) AS text_sim, round(img_sim, 6) AS img_sim FROM ({_BEST})")
+def fusion_scores_core(spark, sf_dir):
+    items = _items(spark, sf_dir)
+    found = C.compare(_asked(items), items, fuzzy=False)
+    return found.select("qid", "id", F.col("rank").cast("long").alias("rank"), "serial", F.round("text_sim", 6).alias("text_sim"), F.round("img_sim", 6).alias("img_sim"))
+
+
+@_query()
+def compare_topk(spark, sf_dir):
+    """The flagship: the whole comparison with the fuzzy ratio, which SQL can't express."""
+    items = _items(spark, sf_dir)
+    found = C.compare(_asked(items), items)
+    return found.select("qid", "rank", "id", "serial", "label", F.round("text_sim", 6).alias("text_sim"), F.round("img_sim", 6).alias("img_sim"), "description")
+
+
+@_query()
+def compare_grouped(spark, sf_dir):
+    items = _items(spark, sf_dir)
+    return C.grouped(C.compare(_asked(items), items, exclude_self=True))
+
+
+@_query(f"""SELECT qid, 'TM ' || lpad(CAST(qid AS VARCHAR), 10, '0') AS query_serial, count(*) FILTER (WHERE high) AS high, count(*) FILTER (WHERE NOT high) AS low, count(*) AS matches
+  FROM (SELECT qid, round(img_sim * 100, 2) >= 70 OR round(text_sim * 100, 2) >= 70 AS high FROM ({_BEST})) GROUP BY qid""")
+def report_tiers_grouped(spark, sf_dir):
+    items = _items(spark, sf_dir)
+    return C.report(C.compare(_asked(items), items, fuzzy=False))[2]
+
+
+@_query()
+def report_html(spark, sf_dir):
+    items = _items(spark, sf_dir)
+    return writers.report_html(C.tiered(C.compare(_asked(items), items)))
+
+
+@_query()
+def matches_json(spark, sf_dir):
+    items = _items(spark, sf_dir)
+    return writers.json_array(C.compare(_asked(items), items).select("qid", "rank", "id", "serial"), ["qid"])
+
+
+# ---------------------------------------------------------------------- search
+
+
+@_query(f"SELECT id, trademark_name, applicant_name FROM {_MARKS} WHERE trademark_name ILIKE '%bolt%' OR applicant_name ILIKE '%bolt%' OR description ILIKE '%bolt%' OR regexp_replace(serial_number, '\\s+', '', 'g') ILIKE '%bolt%'")
+def text_search_ilike(spark, sf_dir):
+    return search.search(_marks(spark, sf_dir), "bolt").select("id", "trademark_name", "applicant_name")
+
+
+@_query("SELECT doc_id FROM documents WHERE text ILIKE '%licensed%'")
+def document_search(spark, sf_dir):
+    return _t(spark, sf_dir, "documents", "doc_id", "text").where(search.words_match("licensed", ("text",), serial=None)).select("doc_id")
+
+
+@_query(f"SELECT id, serial_number FROM {_MARKS} WHERE regexp_replace(serial_number, '\\s+', '', 'g') ILIKE '%TM00000000_7%' OR trademark_name ILIKE '%TM00000000_7%' OR applicant_name ILIKE '%TM00000000_7%' OR description ILIKE '%TM00000000_7%'")
+def serial_normalized_search(spark, sf_dir):
+    return search.search(_marks(spark, sf_dir), "TM 00000000_7").select("id", "serial_number")
+
+
+@_query(f"SELECT id, class_indices FROM {_MARKS} WHERE class_indices ILIKE '%9%'")
+def class_filter_substring(spark, sf_dir):
+    return search.search(_marks(spark, sf_dir), class_filter="9").select("id", "class_indices")
+
+
+@_query(f"SELECT id, class_indices FROM {_MARKS} WHERE class_indices = '9'")
+def class_filter_exact(spark, sf_dir):
+    return search.search(_marks(spark, sf_dir), class_filter="9", exact_class=True).select("id", "class_indices")
+
+
+@_query(f"SELECT id, trademark_name FROM {_MARKS} WHERE trademark_name ILIKE '%ring%' AND class_indices ILIKE '%1%' AND batch_number = '3' AND batch_year = '2025'")
+def dynamic_predicates(spark, sf_dir):
+    return search.search(_marks(spark, sf_dir).drop("applicant_name").withColumn("applicant_name", F.lit("")).withColumn("description", F.lit("")), "ring", "1", batch="3", year="2025").select("id", "trademark_name")
+
+
+@_query("SELECT o_orderkey, o_orderdate, o_totalprice FROM orders WHERE o_orderpriority = '1-URGENT'")
+def listing_recent(spark, sf_dir):
+    return _t(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select("o_orderkey", "o_orderdate", "o_totalprice").orderBy(F.desc("o_orderkey"))
+
+
+@_query("""SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'file-' || o_orderkey || '.pdf' WHEN o_orderkey % 3 = 0 THEN o_orderstatus || '/2025.pdf' WHEN o_orderkey % 2 = 0 THEN o_orderpriority ELSE 'id-' || o_orderkey END AS display_name FROM orders""")
+def listing_display_name(spark, sf_dir):
+    k = F.col("o_orderkey")
+    file, batch, serial = F.when(k % 5 == 0, F.concat(F.lit("file-"), k, F.lit(".pdf"))), F.when(k % 3 == 0, F.col("o_orderstatus")).otherwise(""), F.when(k % 2 == 0, F.col("o_orderpriority"))
+    return _t(spark, sf_dir, "orders").select("o_orderkey", X.display_label(file, batch, F.lit("2025"), serial, k).alias("display_name"))
+
+
+@_query("SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN c_acctbal END AS uploaded, row_number() OVER (ORDER BY CASE WHEN c_acctbal > 0 THEN c_acctbal END DESC NULLS FIRST, c_custkey DESC) AS place FROM customer QUALIFY place <= 200")
+def listing_nulls_first(spark, sf_dir):
+    c = _t(spark, sf_dir, "customer", "c_custkey", "c_acctbal").select("c_custkey", F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")).alias("uploaded"))
+    top = c.orderBy(F.desc_nulls_first("uploaded"), F.desc("c_custkey")).limit(200)
+    return top.withColumn("place", F.row_number().over(W.orderBy(F.desc_nulls_first("uploaded"), F.desc("c_custkey"))).cast("long"))
+
+
+@_query("SELECT doc_id, text IS NOT NULL AS has_logo, coalesce(nullif(source, ''), 'N/A') AS source, CASE WHEN length(text) > 120 THEN substr(text, 1, 120) || '…' ELSE text END AS preview FROM documents")
+def has_blob_flag_and_defaults(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents", "doc_id", "text", "source")
+    return d.select("doc_id", F.col("text").isNotNull().alias("has_logo"), X.or_na(F.col("source")).alias("source"), X.preview(F.col("text")).alias("preview"))
+
+
+@_query("SELECT s_suppkey, coalesce(nullif(s_name, ''), 'no_name') AS name FROM supplier ORDER BY s_suppkey LIMIT 50")
+def export_listing(spark, sf_dir):
+    return _t(spark, sf_dir, "supplier", "s_suppkey", "s_name").select("s_suppkey", X.first_filled(F.col("s_name"), default="no_name").alias("name")).orderBy("s_suppkey").limit(50)
+
+
+@_query("SELECT p_partkey AS id, p_name AS trademark_name FROM part WHERE p_partkey IN (3, 5, 8, 13, 999999999)")
+def lookup_ids(spark, sf_dir):
+    return search.with_ids(_marks(spark, sf_dir), [3, 5, 8, 13, 999999999]).select("id", "trademark_name")
+
+
+@_query("SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'MACHINERY')")
+def semi_join_ids(spark, sf_dir):
+    ids = _t(spark, sf_dir, "customer", "c_custkey", "c_mktsegment").where("c_mktsegment = 'MACHINERY'").select(F.col("c_custkey").alias("o_custkey"))
+    return search.with_ids(_t(spark, sf_dir, "orders", "o_orderkey", "o_custkey"), ids, "o_custkey").select("o_orderkey")
+
+
+# ---------------------------------------------------------------- similarities
+
+_NORMAL = "regexp_replace(upper(replace(text, 'ß', 'ss')), '[^A-Z0-9]', '', 'g')"
+
+
+@_query(f"""SELECT item_id, doc_id, CAST(CASE WHEN b.s = d.s THEN 1.0 ELSE 0.85 END AS DOUBLE) AS score FROM (SELECT item_id, {_NORMAL} AS s FROM benchmark) b, (SELECT doc_id, {_NORMAL} AS s FROM documents) d
+  WHERE b.s <> '' AND d.s <> '' AND (contains(d.s, b.s) OR contains(b.s, d.s))""")
+def containment_literal(spark, sf_dir):
+    return contain.literal_matches(_t(spark, sf_dir, "benchmark", "item_id", "text"), _t(spark, sf_dir, "documents", "doc_id", "text"), "item_id", "doc_id")
+
+
+@_query("""SELECT id, other, CAST(len(list_intersect(x, y)) AS DOUBLE) / len(list_distinct(list_concat(x, y))) AS score FROM (
+  SELECT a.p_partkey AS id, b.p_partkey AS other, list_distinct(string_split(lower(a.p_name), ' ')) AS x, list_distinct(string_split(lower(b.p_name), ' ')) AS y FROM part a JOIN part b ON a.p_partkey + 1 = b.p_partkey)""")
+def token_jaccard(spark, sf_dir):
+    m = _marks(spark, sf_dir).select("id", "trademark_name")
+    other = m.select(F.col("id").alias("other"), (F.col("id") - 1).alias("id"), F.col("trademark_name").alias("b"))
+    return m.join(other, "id").select("id", "other", S.jaccard(F.col("trademark_name"), F.col("b")).alias("score"))
+
+
+@_query("SELECT p_partkey AS id, greatest(0.0, 1 - bit_count(xor(p_partkey * 2654435761, (p_partkey + 7) * 40503)) / 64.0) AS score FROM part")
+def hamming_similarity(spark, sf_dir):
+    return _marks(spark, sf_dir).select("id", S.hash_similarity(F.col("id") * 2654435761, (F.col("id") + 7) * 40503).alias("score"))
+
+
+@_query()
+def sequence_ratio(spark, sf_dir):
+    m = _marks(spark, sf_dir).select("id", X.normalized(F.col("trademark_name")).alias("a"))
+    other = m.select((F.col("id") - 1).alias("id"), F.col("a").alias("b"))
+    return m.join(other, "id").select("id", F.round(S.sequence_ratio("a", "b"), 6).alias("score"), S.python_percent(S.sequence_ratio("a", "b")).alias("percent"))
+
+
+@_query("""SELECT vec_id, round(sqrt(list_inner_product(v, v)), 6) AS norm, round(list_inner_product(list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))), list_transform(v, lambda x: x / sqrt(list_inner_product(v, v)))), 6) AS unit_norm, len(list_filter(v, lambda x: x <> 0)) > 0 AS nonzero
+  FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)""")
+def vector_units(spark, sf_dir):
+    e = K.usable(_t(spark, sf_dir, "embeddings", "vec_id", "embedding"), "embedding")
+    u = V.unit(F.col("embedding"))
+    return e.select("vec_id", F.round(V.norm(F.col("embedding")), 6).alias("norm"), F.round(V.dot(u, u), 6).alias("unit_norm"), V.is_nonzero(K.or_zeros(F.col("embedding"), 64)).alias("nonzero"))
+
+
+@_query()
+def embed_texts(spark, sf_dir):
+    m = _marks(spark, sf_dir)
+    v = E.text_embedding(X.embeddable(X.combined(F.col("trademark_name"), F.col("description"))))
+    return m.select("id", v.alias("v")).select("id", F.size("v").alias("dim"), F.round(V.norm(F.col("v")), 4).alias("norm"))
+
+
+@_query()
+def picture_operators(spark, sf_dir):
+    """Pictures drawn from vectors: hash, crop, transparency, logo zone and embedding of each."""
+
+    @F.pandas_udf("binary")
+    def drawn(vectors):
+        import numpy as np
+        import pandas as pd
+
+        out = []
+        for v in vectors:
+            ink = (np.asarray(v, float).reshape(8, 8) * 255 * 3 % 200).astype("uint8")
+            page = np.full((60, 80), 255, "uint8")
+            page[6:38, 4:36] = np.kron(ink, np.ones((4, 4), "uint8"))
+            out.append(I.encode(page))
+        return pd.Series(out)
+
+    p = _t(spark, sf_dir, "embeddings", "vec_id", "embedding").select("vec_id", drawn("embedding").alias("png"))
+    size = lambda c: F.coalesce(F.length(c), F.lit(-1))
+    return p.select(
+        "vec_id", I.hash_of(F.col("png")).alias("phash"), I.is_picture(F.col("png")).alias("is_picture"), (size(I.picture(F.col("png"), I.tight_crop)) > 0).alias("cropped"), (size(I.picture(F.col("png"), I.without_white)) > 0).alias("cleared"),
+        (size(I.logo_of(F.col("png"))) > 0).alias("logo"), (size(I.picture(F.col("png"), I.logo_beside_text, keep=True)) > 0).alias("split"), F.size(E.image_embedding(F.col("png"))).alias("dim"),
+    )
+
+
+# ---------------------------------------------------------------------- tables
+
+_UPSERT_BATCH = "SELECT p_partkey, p_name || ' new' AS p_name, p_brand, p_type, p_partkey AS seq FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT p_partkey, p_name || ' newer', p_brand || '!', p_type || '!', p_partkey + 1000000000 FROM part WHERE p_partkey % 4 = 0"
+
+
+@_query(f"""SELECT coalesce(c.p_partkey, b.key) AS p_partkey, CASE WHEN b.key IS NULL THEN c.p_name ELSE b.name END AS p_name, CASE WHEN c.p_partkey IS NULL THEN b.brand ELSE c.p_brand END AS p_brand
+  FROM (SELECT * FROM part WHERE p_partkey % 3 <> 0) c FULL JOIN (SELECT p_partkey AS key, arg_max(p_name, seq) AS name, arg_min(p_brand, seq) AS brand FROM ({_UPSERT_BATCH}) GROUP BY 1) b ON c.p_partkey = b.key""")
+def upsert_snapshot(spark, sf_dir):
+    part = _t(spark, sf_dir, "part", "p_partkey", "p_name", "p_brand")
+    one = part.where("p_partkey % 2 = 0").select("p_partkey", F.concat("p_name", F.lit(" new")).alias("p_name"), "p_brand", F.col("p_partkey").alias("seq"))
+    two = part.where("p_partkey % 4 = 0").select("p_partkey", F.concat("p_name", F.lit(" newer")).alias("p_name"), F.concat("p_brand", F.lit("!")).alias("p_brand"), (F.col("p_partkey") + 1000000000).alias("seq"))
+    return dml.upserted(part.where("p_partkey % 3 <> 0"), one.unionByName(two), "p_partkey", overwrite=("p_name",), keep=("p_brand",), id_column=None)
+
+
+@_query("SELECT * FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3)")
+def delete_antijoin(spark, sf_dir):
+    gone = _t(spark, sf_dir, "customer", "c_custkey", "c_nationkey").where("c_nationkey = 3").select(F.col("c_custkey").alias("o_custkey"))
+    return dml.deleted(_t(spark, sf_dir, "orders"), gone, "o_custkey")
+
+
+@_query("SELECT count(*) AS deleted FROM supplier WHERE s_suppkey IN (1, 2, 3)")
+def delete_count(spark, sf_dir):
+    ids = spark.createDataFrame([(1,), (2,), (3,), (-5,)], "s_suppkey long")
+    return _t(spark, sf_dir, "supplier", "s_suppkey").join(ids, "s_suppkey", "left_semi").agg(F.count("*").alias("deleted"))
+
+
+@_query("SELECT c_custkey, c_name, CASE WHEN c_custkey = 7 THEN 'editor' ELSE c_mktsegment END AS c_mktsegment FROM customer")
+def update_where(spark, sf_dir):
+    return dml.updated(_t(spark, sf_dir, "customer", "c_custkey", "c_name", "c_mktsegment"), F.col("c_custkey") == 7, c_mktsegment=F.lit("editor"))
+
+
+@_query("SELECT n_nationkey, n_name FROM nation UNION ALL SELECT 100, 'NATION_100'")
+def insert_unique(spark, sf_dir):
+    n = _t(spark, sf_dir, "nation", "n_nationkey", "n_name")
+    new = spark.createDataFrame([(100, "NATION_100"), (101, "NATION_3")], n.schema)
+    return dml.inserted(n, new, ("n_name",))[0]
+
+
+@_query("SELECT user_id, arg_min(event_id, ts) AS event_id, arg_min(event_type, ts) AS event_type FROM events GROUP BY user_id")
+def dedupe_first(spark, sf_dir):
+    return A.first_of_each(_t(spark, sf_dir, "events", "user_id", "event_id", "event_type", "ts"), ["user_id"], "ts").select("user_id", "event_id", "event_type")
+
+
+# ---------------------------------------------------------- order, ranges, groups
+
+
+@_query("""SELECT event_id, previous, next FROM (SELECT event_id, event_type, max(CASE WHEN event_type = 'click' THEN event_id END) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS previous,
+  min(CASE WHEN event_type = 'click' THEN event_id END) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next FROM events) WHERE event_type = 'purchase'""")
+def asof_prev_next(spark, sf_dir):
+    e = _t(spark, sf_dir, "events", "event_id", "user_id", "event_type", "ts")
+    clicks = e.where("event_type = 'click'").select("user_id", "ts", F.col("event_id").alias("click"))
+    return J.previous_and_next(e.where("event_type = 'purchase'").select("user_id", "ts", "event_id"), clicks, ["user_id"], "ts", "click").select("event_id", "previous", "next")
+
+
+@_query("SELECT o.o_orderkey, c.c_custkey FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey WHERE o.o_totalprice >= c.c_acctbal * 10 AND o.o_totalprice <= c.c_acctbal * 40 AND c.c_nationkey <= 20")
+def range_containment(spark, sf_dir):
+    items = _t(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_totalprice").select("o_orderkey", F.col("o_custkey").alias("page"), *[F.col("o_totalprice").alias(c) for c in ("x0", "x1")], *[F.lit(0.0).alias(c) for c in ("top", "bottom")])
+    boxes = _t(spark, sf_dir, "customer", "c_custkey", "c_acctbal", "c_nationkey").where("c_nationkey <= 20").select(F.col("c_custkey").alias("page"), "c_custkey", (F.col("c_acctbal") * 10).alias("bx0"), (F.col("c_acctbal") * 40).alias("bx1"), F.lit(0.0).alias("by0"), F.lit(0.0).alias("by1"))
+    return J.inside(items, boxes, ["page"]).select("o_orderkey", "c_custkey")
+
+
+@_query("""SELECT conv_id, CAST(entry AS BIGINT) AS entry, count(*) AS lines FROM (SELECT conv_id, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS entry FROM conversations) WHERE entry > 0 GROUP BY ALL""")
+def segment_by_marker(spark, sf_dir):
+    c = _t(spark, sf_dir, "conversations", "conv_id", "turn", "role")
+    return segment.segmented(c, ["conv_id"], "turn", F.col("role") == "user").groupBy("conv_id", "entry").agg(F.count("*").alias("lines"))
+
+
+@_query("""SELECT l_suppkey, l_orderkey, l_linenumber, l_extendedprice FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey DESC, l_linenumber DESC) = 1""")
+def argmax_per_group(spark, sf_dir):
+    items = _t(spark, sf_dir, "lineitem", "l_suppkey", "l_orderkey", "l_linenumber", "l_extendedprice")
+    return A.best_of_each(items, ["l_suppkey"], [F.col(c) for c in ("l_extendedprice", "l_orderkey", "l_linenumber")])
+
+
+@_query("""SELECT l_suppkey, l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS rank FROM lineitem QUALIFY rank <= 3""")
+def topk_per_group(spark, sf_dir):
+    items = _t(spark, sf_dir, "lineitem", "l_suppkey", "l_orderkey", "l_linenumber", "l_extendedprice")
+    top = A.top_of_each(items, ["l_suppkey"], [F.desc("l_extendedprice"), F.asc("l_orderkey"), F.asc("l_linenumber")], 3)
+    return top.select("l_suppkey", "l_orderkey", "l_linenumber", F.col("rank").cast("long").alias("rank"))
+
+
+@_query("""SELECT user_id, start, length FROM (SELECT user_id, min(event_id) AS start, count(*) AS length FROM (
+  SELECT user_id, event_id, f, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - sum(f) OVER (PARTITION BY user_id ORDER BY event_id) AS g FROM (SELECT *, CASE WHEN value < 30 THEN 1 ELSE 0 END AS f FROM events)) WHERE f = 1 GROUP BY user_id, g)
+  QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY length DESC, start) = 1""")
+def longest_run(spark, sf_dir):
+    return A.widest_runs(_t(spark, sf_dir, "events", "user_id", "event_id", "value"), ["user_id"], "event_id", F.col("value") < 30)
+
+
+@_query("SELECT conv_id, round(turn / 3.0, 1) AS y, string_agg(role, ' ' ORDER BY turn, role) AS line FROM conversations GROUP BY ALL")
+def lines_from_words(spark, sf_dir):
+    words = _t(spark, sf_dir, "conversations", "conv_id", "turn", "role").select("conv_id", F.col("role").alias("text"), F.col("turn").cast("double").alias("x0"), (F.col("turn") / 3.0).alias("top"))
+    return A.lines_of(words, ["conv_id"])
+
+
+@_query("SELECT s_suppkey, n_name, coalesce(CASE WHEN s_acctbal > 4000 THEN s_name END, c_name) AS name FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey LEFT JOIN customer ON c_custkey = s_suppkey")
+def coalescing_lookup(spark, sf_dir):
+    s = _t(spark, sf_dir, "supplier").join(_t(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_name"), "s_nationkey", "left").select(F.col("s_suppkey").alias("id"), "n_name")
+    a = _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.when(F.col("s_acctbal") > 4000, F.col("s_name")).alias("name"))
+    b = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    return J.first_blob(s, a, b, "name").withColumnRenamed("id", "s_suppkey")
+
+
+# ------------------------------------------------------------------ extraction
+
+_LINE = "'CLASS : ' || p_size || ', 35  TM' || lpad(CAST(p_partkey AS VARCHAR), 10, '0') || ' ' || (1 + p_partkey % 28) || CASE WHEN p_partkey % 2 = 0 THEN ' January 2025' ELSE ' MAR 2024' END"
+
+
+def _line() -> F.Column:
+    k = F.col("p_partkey")
+    return F.concat(F.lit("CLASS : "), F.col("p_size"), F.lit(", 35  TM"), F.lpad(k.cast("string"), 10, "0"), F.lit(" "), 1 + k % 28, F.when(k % 2 == 0, " January 2025").otherwise(" MAR 2024"))
+
+
+@_query(f"""SELECT p_partkey, regexp_extract(line, '(?:TM|JV|WM|MM|[A-Z]{{2}})[0-9]{{8,12}}') AS serial_number, regexp_extract(line, '[0-9]{{1,2}} (?:January|MAR) [0-9]{{4}}') AS registration_date,
+  trim(regexp_extract(line, 'CLASS\\s*:\\s*([0-9,\\s]+)', 1)) AS class_indices, CAST(make_date(CAST(CASE WHEN p_partkey % 2 = 0 THEN 2025 ELSE 2024 END AS BIGINT), CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE 3 END, 1 + p_partkey % 28) AS VARCHAR) AS day
+  FROM (SELECT p_partkey, {_LINE} AS line FROM part)""")
+def regex_field_extract(spark, sf_dir):
+    lines = _t(spark, sf_dir, "part").select("p_partkey", _line().alias("line"))
+    c = F.col("line")
+    return lines.select("p_partkey", X.serial_of(c).alias("serial_number"), X.date_text(c).alias("registration_date"), X.class_text(c).alias("class_indices"), X.date_of(c).cast("string").alias("day"))
+
+
+_NOTED = "'; ' || p_name || ' All included in Class ' || p_size || '. Mark translation: small thing. Registration of this Trademark is limited. CLASS : ' || p_size || ' ' || p_type || '  end'"
+
+
+@_query(f"""SELECT p_partkey, regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(line, 'Mark\\s+translation:[^.]+\\.\\s*', '', 'g'), '(?i)Registration of this trademark[^.]+\\.', '', 'g'), '(?i)CLASS\\s*:\\s*[0-9,\\s]+', '', 'g'), '\\bCLASS\\s+[0-9]+\\b', '', 'g'), '\\s+', ' ', 'g')), '^[;:,. ]+', '') AS description,
+  trim(regexp_replace(line, '(?i)All included in Class [0-9]+\\.?', '', 'g')) AS scrubbed FROM (SELECT p_partkey, {_NOTED} AS line FROM part)""")
+def description_cleanup(spark, sf_dir):
+    k = [F.lit("; "), F.col("p_name"), F.lit(" All included in Class "), F.col("p_size"), F.lit(". Mark translation: small thing. Registration of this Trademark is limited. CLASS : "), F.col("p_size"), F.lit(" "), F.col("p_type"), F.lit("  end")]
+    lines = _t(spark, sf_dir, "part").select("p_partkey", F.concat(*k).alias("line"))
+    return lines.select("p_partkey", X.clean_description(F.col("line")).alias("description"), X.scrubbed(F.col("line")).alias("scrubbed"))
+
+
+@_query("""SELECT p_partkey, round(CAST(0.25 + CASE WHEN p_partkey % 2 = 0 THEN 0.10 ELSE 0 END + CASE WHEN p_size > 10 THEN 0.15 ELSE 0 END + 0.20 + CASE WHEN p_partkey % 5 = 0 THEN 0.10 ELSE 0 END + CASE WHEN p_partkey % 7 = 0 THEN 0.20 ELSE 0 END AS DOUBLE), 6) AS score FROM part""")
+def completeness_score(spark, sf_dir):
+    k = F.col("p_partkey")
+    record = {"serial_number": k.cast("string"), "registration_date": F.when(k % 2 == 0, "1 Jan 2025"), "class_indices": F.when(F.col("p_size") > 10, F.col("p_size").cast("string")).otherwise(""), "applicant_name": F.col("p_brand"), "agent_details": F.when(k % 5 == 0, "agent"), "description": F.when(k % 7 == 0, F.repeat(F.lit("x"), 51)).otherwise(F.repeat(F.lit("x"), 50))}
+    return _t(spark, sf_dir, "part").select("p_partkey", F.round(X.completeness(record), 6).alias("score"))
+
+
+@_query("""SELECT p_partkey, regexp_replace(upper(p_name), '[^A-Z0-9]', '', 'g') AS normalized, regexp_replace(p_name, '\\s+', '', 'g') AS spaceless, p_name || ' ' || p_type AS combined, regexp_replace(p_name || '?*', '[\\\\/*?:"<>|]', '', 'g') AS file_safe,
+  p_type = upper(p_type) AND lower(p_type) <> p_type AS is_upper, CASE WHEN p_partkey % 2 = 0 THEN 'empty' ELSE p_name END AS embeddable FROM part""")
+def text_functions(spark, sf_dir):
+    n = F.col("p_name")
+    odd = F.when(F.col("p_partkey") % 4 == 0, " n/a ").when(F.col("p_partkey") % 2 == 0, "  ").otherwise(n)
+    return _t(spark, sf_dir, "part").select("p_partkey", X.normalized(n).alias("normalized"), X.without_spaces(n).alias("spaceless"), X.combined(n, F.col("p_type")).alias("combined"), X.file_safe(F.concat(n, F.lit("?*"))).alias("file_safe"), X.is_upper(F.col("p_type")).alias("is_upper"), X.embeddable(odd).alias("embeddable"))
+
+
+@_query("""SELECT c_custkey, CASE WHEN n <= 2 THEN 'weak' WHEN n <= 4 THEN 'medium' ELSE 'strong' END AS strength, FALSE AS is_email, c_custkey < 100 AS batch_ok FROM (
+  SELECT c_custkey, (length(p) >= 8)::INT + regexp_matches(p, '[A-Z]')::INT + regexp_matches(p, '[a-z]')::INT + regexp_matches(p, '[0-9]')::INT + regexp_matches(p, '[!@#$%^&*(),.?":{}|<>]')::INT AS n FROM (SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN c_name WHEN 1 THEN lower(c_mktsegment) ELSE c_mktsegment || '#a1' END AS p FROM customer))""")
+def validation(spark, sf_dir):
+    k = F.col("c_custkey")
+    p = F.when(k % 3 == 0, F.col("c_name")).when(k % 3 == 1, F.lower("c_mktsegment")).otherwise(F.concat("c_mktsegment", F.lit("#a1")))
+    return _t(spark, sf_dir, "customer").select("c_custkey", X.password_strength(p).alias("strength"), X.is_email(F.col("c_name")).alias("is_email"), X.batch_is_valid(k.cast("string")).alias("batch_ok"))
+
+
+@_query("SELECT trim(split_part(line, ';', 1)) AS owner, trim(substr(line, strpos(line, ';') + 1)) AS address, id FROM (SELECT p_partkey AS id, p_brand || ' SDN ; ' || p_type || '; ' || p_size AS line FROM part)")
+def owner_split(spark, sf_dir):
+    line = F.concat("p_brand", F.lit(" SDN ; "), "p_type", F.lit("; "), F.col("p_size"))
+    owner, address = X.owner_parts(line)
+    return _t(spark, sf_dir, "part").where(X.has_company_word(line)).select(F.col("p_partkey").alias("id"), owner.alias("owner"), address.alias("address"))
+
+
+def _journal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts laid out as pages of words, two blocks on each."""
+    k, half = F.col("p_partkey"), F.col("p_partkey") % 2
+    lines = [F.concat(F.lit("CLASS : "), F.col("p_size")), F.concat(F.lit("TM"), F.lpad(k.cast("string"), 10, "0"), F.lit(" 1 January 2025")), F.concat("p_name", F.lit(" for all that is "), "p_type"), F.concat(F.upper("p_brand"), F.lit(" SDN BHD ; 1 ROAD")), F.lit("AGENT : A & B")]
+    rows = _t(spark, sf_dir, "part").select(F.floor(k / 40).cast("string").alias("doc_id"), F.floor(k % 40 / 2).cast("int").alias("page"), half.alias("half"), F.posexplode(F.array(*lines)).alias("line_no", "line"))
+    words = rows.select("doc_id", "page", "half", "line_no", F.posexplode(F.split("line", " ")).alias("at", "text"))
+    top = 100.0 + F.col("half") * 300 + F.col("line_no") * 40
+    return words.select("doc_id", "page", F.lit(600.0).alias("page_w"), F.lit(800.0).alias("page_h"), "text", (F.col("at") * 50.0).alias("x0"), (F.col("at") * 50.0 + 40).alias("x1"), top.alias("top"), (top + 10).alias("bottom"))
+
+
+@_query()
+def block_fields_parse(spark, sf_dir):
+    return extract.records(_journal(spark, sf_dir))
+
+
+@_query()
+def extraction_progress(spark, sf_dir):
+    words = _journal(spark, sf_dir)
+    return extract.page_status(words, extract.records(words))
+
+
+def _plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    entry = F.concat(F.lit("CLASS:"), F.col("p_size"), F.lit(" TM"), F.lpad(k.cast("string"), 10, "0"), F.lit(" 18 April 2025\n"), "p_name", F.lit(" of every kind\n"), "p_brand", F.lit(" COMPANY SDN BHD MALAYSIA;\nAGENT : one two three\n\n"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(k.alias("k"), entry.alias("e")))), lambda x: x["e"]), "")
+    return _t(spark, sf_dir, "part").groupBy(F.floor(k / 20).cast("string").alias("doc_id")).agg(text.alias("text"))
+
+
+@_query()
+def entry_records(spark, sf_dir):
+    return extract.entry_records(readers.plain_pages(_plain(spark, sf_dir))).drop("at")
+
+
+@_query()
+def entry_records_compat(spark, sf_dir):
+    return extract.entry_records(readers.plain_pages(_plain(spark, sf_dir)), compat=True).drop("at")
+
+
+@_query()
+def hit_records(spark, sf_dir):
+    return extract.hit_records(_plain(spark, sf_dir)).drop("at")
+
+
+@_query("SELECT event_type, count(*) AS n, CAST(floor(count(*) * 100 / (SELECT count(*) FROM events)) AS INT) AS percent FROM events GROUP BY event_type")
+def progress_percent(spark, sf_dir):
+    e = _t(spark, sf_dir, "events", "event_type")
+    counts = e.groupBy("event_type").agg(F.count("*").alias("n"))
+    return counts.withColumn("percent", A.progress(F.col("n"), F.sum("n").over(W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))))
