@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import table
 
 #: Entries of a generation of the per-process caches, and characters of a piece that may enter them.
-CACHE_ENTRIES, CACHE_CHARS = 300_000, 48
+CACHE_ENTRIES, CACHE_CHARS = 150_000, 48
 #: Pieces that are hashed at once.
 BLOCK = 32_768
 
@@ -47,9 +47,11 @@ class Encoder:
             self.automaton.add_word(token.decode("latin-1"), (rank, len(token)))
         self.automaton.make_automaton()
         self.halves: dict[int, tuple[int, int]] = {}
+        self.prefixes: dict[int, tuple[int, int] | None] = {}
         self.fits: dict[tuple[int, int], bool] = {}
-        self.known: dict[str, tuple[tuple[int, ...], str]] = {}  # in use since the last change of generations
-        self.older: dict[str, tuple[tuple[int, ...], str]] = {}
+        self.known: dict[str, tuple[int, ...]] = {}  # in use since the last change of generations
+        self.older: dict[str, tuple[int, ...]] = {}
+        self.written = [str(i) for i in range(len(self.entry))]
 
     @classmethod
     def load(cls, path: str, pattern: str) -> Encoder:
@@ -105,51 +107,57 @@ class Encoder:
         if piece in self.ranks:
             return [self.ranks[piece]]
         n = len(piece)
-        starts: list[list[tuple[int, int]]] = [[] for _ in range(n)]  # (rank, length) of the entries that begin here, longest last
+        longest: list[tuple[int, int] | None] = [None] * n  # (rank, length) of the longest entry that begins here
         for end, found in self.automaton.iter(piece.decode("latin-1")):
-            starts[end + 1 - found[1]].append(found)
+            longest[end + 1 - found[1]] = found  # of one start, longer ones end later
         alive = bytearray(b"\1") * (n + 1)
-        out: list[int] = []
-        tried: list[int] = []  # for each entry of out, how many shorter ones are left
         fits, entry = self.fits, self.entry
-        at, left = 0, len(starts[0])
+        out: list[int] = []
+        at, last, here = 0, -1, longest[0]
         while at < n:
-            here = starts[at]
-            while left:
-                left -= 1
-                token, length = here[left]
-                end = at + length
-                if alive[end] and (not out or fits.get((out[-1], token)) or self._fit(out[-1], token)):
-                    out.append(token)
-                    tried.append(left)
-                    at = end
-                    left = len(starts[at]) if at < n else 0
+            while here is not None:
+                token, length = here
+                if alive[at + length] and (last < 0 or fits.get((last, token)) or self._fit(last, token)):
                     break
-            else:
+                here = self._shorter(token)
+            else:  # nothing that begins here fits: shorten what stands before
                 alive[at] = 0
-                at -= len(entry[out.pop()])
-                left = tried.pop()
+                at -= len(entry[last])
+                here = self._shorter(out.pop())
+                last = out[-1] if out else -1
+                continue
+            out.append(token)
+            last, at = token, at + length
+            here = longest[at] if at < n else None
         return out
 
-    def _known(self, piece: str) -> tuple[tuple[int, ...], str]:
+    def _shorter(self, token: int) -> tuple[int, int] | None:
+        """The longest entry that is a proper prefix of this one."""
+        if (got := self.prefixes.get(token, 0)) == 0:
+            whole = self.entry[token]
+            got = next(((self.ranks[whole[:k]], k) for k in range(len(whole) - 1, 0, -1) if whole[:k] in self.ranks), None)
+            self.prefixes[token] = got
+        return got
+
+    def _known(self, piece: str) -> tuple[int, ...]:
         if (got := self.older.get(piece)) is None:
-            ids = tuple(self.encode_piece(piece.encode("utf-8", "surrogatepass")))
-            got = ids, " ".join(map(str, ids))
+            got = tuple(self.encode_piece(piece.encode("utf-8", "surrogatepass")))
         if len(piece) <= CACHE_CHARS:
             if len(self.known) >= CACHE_ENTRIES:
                 self.known, self.older = {}, self.known
             self.known[piece] = got
         return got
 
-    def blocks(self, text: str) -> Iterator[list[tuple[tuple[int, ...], str]]]:
-        """The text's pieces in order, encoded, as lists of bounded length."""
-        pieces = (m.group() for m in self.pieces.finditer(text))
+    def blocks(self, text: str) -> Iterator[list[int]]:
+        """The text's ids in order, for blocks of pieces."""
+        short = len(text) <= 16 * BLOCK  # all pieces at once are quicker, if they are few
+        pieces = iter(self.pieces.findall(text)) if short else (m.group() for m in self.pieces.finditer(text))
         while block := list(islice(pieces, BLOCK)):
             known = self.known
-            yield [known.get(p) or self._known(p) for p in block]
+            yield list(chain.from_iterable([known.get(p) or self._known(p) for p in block]))
 
     def encode(self, text: str) -> list[int]:
-        return [i for block in self.blocks(text) for ids, _ in block for i in ids]
+        return list(chain.from_iterable(self.blocks(text)))
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.entry.__getitem__, ids))
@@ -193,10 +201,9 @@ def digests(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: s
             counts, of_ids, of_bytes = [], [], []
             for value in batch.column(1):
                 n, h_ids, h_bytes, gap = 0, hashlib.sha256(), hashlib.sha256(), b""
-                for block in own.blocks(value.as_py() or ""):
-                    ids = list(chain.from_iterable(i for i, _ in block))
+                for ids in own.blocks(value.as_py() or ""):
                     n += len(ids)
-                    h_ids.update(gap + " ".join([s for _, s in block]).encode())
+                    h_ids.update(gap + " ".join(map(own.written.__getitem__, ids)).encode())
                     h_bytes.update(own.decode(ids))
                     gap = b" "
                 counts.append(n)
