@@ -52,7 +52,7 @@ def nearest_each(queries: DataFrame, corpus: DataFrame, k: int, qid: str = "qid"
                 batch = batch.filter(batch.column(1).is_valid())
                 if not batch.num_rows or not len(ids):
                     continue
-                rows = np.array([v for v in batch.column(1).to_pylist()], np.float64)
+                rows = np.array(batch.column(1).to_pylist(), np.float64)
                 keys = np.array(batch.column(0).to_pylist(), dtype=object)
                 sims = matrix @ rows.T
                 most = min(k, sims.shape[1])
@@ -66,7 +66,7 @@ def nearest_each(queries: DataFrame, corpus: DataFrame, k: int, qid: str = "qid"
     for b in range(blocks):
         block = there if blocks == 1 else there.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b)
         rows = block.collect()  # BLOCK_VALUES values, evenly hashed
-        matrix = np.array([r["v"] for r in rows], np.float64).reshape(len(rows), -1)
+        matrix = np.array([r["v"] for r in rows], np.float64).reshape(len(rows), width)
         parts.append(corpus.select(key, F.col(vector).cast("array<double>").alias("v")).mapInArrow(search([r["qid"] for r in rows], matrix), f"qid {q_type}, `{key}` {id_type}, sim double"))
     found = reduce(DataFrame.unionByName, parts)
     best = W.partitionBy("qid").orderBy(F.desc("sim"), key)

@@ -159,7 +159,7 @@ def compare_topk(spark, sf_dir):
 @_query()
 def compare_grouped(spark, sf_dir):
     items = _items(spark, sf_dir)
-    return C.grouped(C.compare(_asked(items), items, exclude_self=True))
+    return C.grouped(C.compare(_asked(items), items))
 
 
 @_query(f"""SELECT qid, 'TM ' || lpad(CAST(qid AS VARCHAR), 10, '0') AS query_serial, count(*) FILTER (WHERE high) AS high, count(*) FILTER (WHERE NOT high) AS low, count(*) AS matches
