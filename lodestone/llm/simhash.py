@@ -231,9 +231,10 @@ def components(fps: DataFrame, key: str = "doc_id", limit: int = LIMIT, dense: i
     """(fp, root, component_id) for every distinct fingerprint of (key, fp)."""
     reps = checkpoint(fps.groupBy("fp").agg(F.min(key).alias("least")))
     nodes = connected_components(links(reps, plan(reps, limit), limit, dense), "a", "b")
-    placed = reps.join(nodes.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    return placed.join(named, "root").select("fp", "root", "component_id")
+    placed = checkpoint(nodes.withColumnRenamed("node", "fp").join(reps, "fp"))
+    named = checkpoint(placed.groupBy("root").agg(F.min("least").alias("component_id")))
+    linked = placed.join(named, "root").select("fp", "root", "component_id")
+    return reps.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
