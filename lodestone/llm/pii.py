@@ -204,6 +204,6 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], gap).otherwise(acc["out"]).alias("out"))
 
     clean = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.char_length("text"))))
-    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(clean)
-    columns = [text.alias("text") if c == "text" else F.char_length(text).cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return joined.select(*columns)
+    done = joined.withColumn("_clean", F.when(F.col("spans").isNull(), F.col("text")).otherwise(clean))
+    columns = {"text": F.col("_clean").alias("text"), "n_chars": F.char_length("_clean").cast("long").alias("n_chars")}
+    return done.select(*[columns.get(c, F.col(c)) for c in docs.columns])
