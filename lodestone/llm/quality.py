@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import table
 
-PIECE, LEVEL, DICTIONARY = 512, 3, 32_768
-ROWS, PIECES, SEED = 4_000, 8, 6
+PIECE, LEVEL, DICTIONARY = 512, 3, 49_152
+ROWS, PIECES, SEED = 4_000, 16, 6
 THRESHOLD = 0.7
 FOLDS, HELD = 4, 2
 #: Weight of the squared coefficients in the calibration.
