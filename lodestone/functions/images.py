@@ -247,6 +247,110 @@ def perceptual_hash(p: np.ndarray) -> int:
     return int.from_bytes(np.packbits(bits).tobytes(), "big", signed=True)
 
 
+def snapshot(page: np.ndarray, box_: tuple[float, float, float, float], page_size: tuple[float, float]) -> np.ndarray:
+    """The part of a page's raster that a block (x0, y0, x1, y1, in page units) covers."""
+    sy, sx = page.shape[0] / page_size[1], page.shape[1] / page_size[0]
+    x0, y0, x1, y1 = box_
+    return page[max(0, round(y0 * sy)) : round(y1 * sy), max(0, round(x0 * sx)) : round(x1 * sx)]
+
+
+# -------------------------------------------------------------- pictures in pairs
+
+# Sides and thresholds of edge maps, key points and the ratio of their matches.
+EDGE_SIDE, EDGE_LOW, EDGE_HIGH, POINTS, RATIO = 128, 100.0, 200.0, 500, 0.75
+#: Half the side of the patch that a descriptor compares points of, and how many pairs it compares.
+PATCH, PAIRS = 12, 256
+
+
+def _gradient(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    p = np.pad(g, 1, mode="edge")
+    gx = p[:-2, 2:] + 2 * p[1:-1, 2:] + p[2:, 2:] - p[:-2, :-2] - 2 * p[1:-1, :-2] - p[2:, :-2]
+    gy = p[2:, :-2] + 2 * p[2:, 1:-1] + p[2:, 2:] - p[:-2, :-2] - 2 * p[:-2, 1:-1] - p[:-2, 2:]
+    return gx, gy
+
+
+def edges(g: np.ndarray, low: float = EDGE_LOW, high: float = EDGE_HIGH) -> np.ndarray:
+    """Crests of the gradient above high, and those above low that touch them."""
+    gx, gy = _gradient(g)
+    size = np.abs(gx) + np.abs(gy)
+    turn = np.round(np.arctan2(gy, gx) / (np.pi / 4)).astype(int) % 4
+    padded = np.pad(size, 1)
+    h, w = g.shape
+    at = lambda dy, dx: padded[1 + dy : 1 + dy + h, 1 + dx : 1 + dx + w]
+    crest = np.zeros_like(size, bool)
+    for t, (dy, dx) in enumerate(((0, 1), (1, 1), (1, 0), (1, -1))):
+        crest |= (turn == t) & (size > at(dy, dx)) & (size >= at(-dy, -dx))
+    weak, strong = crest & (size > low), crest & (size > high)
+    out = np.zeros_like(strong)
+    while (out != strong).any():
+        out = strong
+        wide = np.pad(strong, 1)
+        near = np.logical_or.reduce([wide[1 + dy : 1 + dy + h, 1 + dx : 1 + dx + w] for dy in (-1, 0, 1) for dx in (-1, 0, 1)])
+        strong = strong | weak & near
+    return strong
+
+
+def edge_similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """1 minus the share of pixels in which the edge maps of two pictures differ."""
+    x, y = (edges(resized(gray(p), EDGE_SIDE, EDGE_SIDE)) for p in (a, b))
+    return 1.0 - float((x != y).mean())
+
+
+def descriptors(p: np.ndarray, most: int = POINTS) -> np.ndarray:
+    """Binary descriptors of a picture's corners: which of two points of the patch around each is darker."""
+    g = gray(p)
+    gx, gy = _gradient(g)
+
+    def smooth(x):
+        for _ in range(2):
+            q = np.pad(x, 1, mode="edge")
+            x = (q[:-2, 1:-1] + q[2:, 1:-1] + q[1:-1, :-2] + q[1:-1, 2:] + x) / 5
+        return x
+
+    xx, yy, xy = smooth(gx * gx), smooth(gy * gy), smooth(gx * gy)
+    corner = xx * yy - xy * xy - 0.04 * (xx + yy) ** 2
+    h, w = g.shape
+    q = np.pad(corner, 1, constant_values=-np.inf)
+    peak = np.logical_and.reduce([corner >= q[1 + dy : 1 + dy + h, 1 + dx : 1 + dx + w] for dy in (-1, 0, 1) for dx in (-1, 0, 1)])
+    y, x = np.nonzero(peak & (corner > 1e-3 * max(corner.max(), 1e-9)))
+    best = np.argsort(-corner[y, x], kind="stable")[:most]
+    y, x = y[best], x[best]
+    around = np.pad(smooth(g), PATCH, mode="edge")
+    pairs = np.random.default_rng(11).integers(0, 2 * PATCH + 1, (PAIRS, 4))
+    first = around[y[:, None] + pairs[:, 0], x[:, None] + pairs[:, 1]]
+    return np.packbits(first < around[y[:, None] + pairs[:, 2], x[:, None] + pairs[:, 3]], axis=1)
+
+
+def ratio_matches(a: np.ndarray, b: np.ndarray, ratio: float = RATIO) -> int:
+    """How many descriptors of the first are clearly nearer to one of the second than to any other."""
+    if not len(a) or len(b) < 2:
+        return 0
+    apart = np.bitwise_count(a[:, None, :] ^ b[None, :, :]).sum(axis=2)
+    two = np.partition(apart, 1, axis=1)[:, :2]
+    return int((two[:, 0] < ratio * two[:, 1]).sum())
+
+
+def key_point_score(a: np.ndarray, b: np.ndarray, over: str = "fewer", extract: Callable = descriptors) -> float:
+    """Matched key points over the fewer of both pictures, or over those of the first."""
+    x, y = extract(a), extract(b)
+    n = min(len(x), len(y)) if over == "fewer" else len(x)
+    return ratio_matches(x, y) / max(1, n)
+
+
+def pair_score(a: Column, b: Column, f: Callable, decoder: Callable = decode) -> Column:
+    """A score of two binary columns; 0 where a picture can't be read."""
+
+    @F.pandas_udf("double")
+    def run(one: pd.Series, two: pd.Series) -> pd.Series:
+        def of(x, y):
+            p, q = attempt(decoder, x), attempt(decoder, y)
+            return 0.0 if p is None or q is None else float(attempt(f, p, q) or 0.0)
+
+        return pd.Series([of(x, y) for x, y in zip(one, two, strict=True)], dtype="float64")
+
+    return run(a, b)
+
+
 # ---------------------------------------------------------------- on binary columns
 
 

@@ -63,6 +63,18 @@ class Engine:
         """Insert users; one whose name or address is taken raises ValueError."""
         return self.catalog.insert(USERS, rows, unique=("username", "email"))
 
+    def set_role(self, user_id: int, role: str) -> int:
+        return self.catalog.update(USERS, F.col("id") == user_id, role=F.lit(role))
+
+    def delete_user(self, user_id: int) -> int:
+        return self.catalog.delete(USERS, self._ids([user_id]))
+
+    def user_by_email(self, email: str) -> DataFrame:
+        return self.catalog.read(USERS).where(F.col("email") == email)
+
+    def users(self) -> DataFrame:
+        return self.catalog.read(USERS).select("id", "username", "email", "role").orderBy("id")
+
     def set_password(self, user_id: int, password_hash: str) -> int:
         return self.catalog.update(USERS, F.col("id") == user_id, password_hash=F.lit(password_hash), is_temporary_password=F.lit(False))
 

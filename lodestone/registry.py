@@ -303,7 +303,7 @@ def embed_texts(spark, sf_dir):
 
 @_query()
 def picture_operators(spark, sf_dir):
-    """Pictures drawn from vectors: hash, crop, transparency, logo zone and embedding of each."""
+    """Pictures drawn from vectors: hash, crop, transparency, logo zone, embedding and scores against themselves."""
 
     @F.pandas_udf("binary")
     def drawn(vectors):
@@ -323,6 +323,7 @@ def picture_operators(spark, sf_dir):
     return p.select(
         "vec_id", I.hash_of(F.col("png")).alias("phash"), I.is_picture(F.col("png")).alias("is_picture"), (size(I.picture(F.col("png"), I.tight_crop)) > 0).alias("cropped"), (size(I.picture(F.col("png"), I.without_white)) > 0).alias("cleared"),
         (size(I.logo_of(F.col("png"))) > 0).alias("logo"), (size(I.picture(F.col("png"), I.logo_beside_text, keep=True)) > 0).alias("split"), F.size(E.image_embedding(F.col("png"))).alias("dim"),
+        I.pair_score(F.col("png"), F.col("png"), I.edge_similarity).alias("edges"), F.round(I.pair_score(F.col("png"), F.col("png"), I.key_point_score), 3).alias("points"),
     )
 
 
@@ -346,6 +347,17 @@ def delete_antijoin(spark, sf_dir):
     return dml.deleted(_t(spark, sf_dir, "orders"), gone, "o_custkey")
 
 
+@_query("SELECT c_custkey, c_name FROM customer WHERE c_name = 'Customer#000000042'")
+def point_lookup(spark, sf_dir):
+    return _t(spark, sf_dir, "customer", "c_custkey", "c_name").where(F.col("c_name") == "Customer#000000042")
+
+
+@_query("SELECT n_nationkey, n_name, row_number() OVER (ORDER BY n_nationkey) AS place FROM nation")
+def listing_ascending(spark, sf_dir):
+    n = _t(spark, sf_dir, "nation", "n_nationkey", "n_name").orderBy("n_nationkey")
+    return n.withColumn("place", F.row_number().over(W.orderBy("n_nationkey")).cast("long"))
+
+
 @_query("SELECT count(*) AS deleted FROM supplier WHERE s_suppkey IN (1, 2, 3)")
 def delete_count(spark, sf_dir):
     ids = spark.createDataFrame([(1,), (2,), (3,), (-5,)], "s_suppkey long")

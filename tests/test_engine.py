@@ -130,6 +130,8 @@ def test_catalog(spark, tmp_path):
     c.update("users", F.col("id") == 2, role=F.lit("admin"))
     assert [r["role"] for r in c.read("users").orderBy("id").collect()] == ["viewer", "admin"]
     ids = spark.createDataFrame([(2,), (77,)], "id long")
+    e = api.Engine(c)
+    assert e.user_by_email("b@x").first()["role"] == "admin" and [r["id"] for r in e.users().collect()] == [1, 2]
     assert c.delete("users", ids) == 1
     assert [r["id"] for r in c.read("users").collect()] == [1] and c.version("users") == 4
 
@@ -168,6 +170,11 @@ def test_images():
     noisy = np.clip(page.astype(int) + rng.integers(-3, 4, page.shape), 0, 255).astype(np.uint8)
     differ = lambda a, b: ((I.perceptual_hash(a) ^ I.perceptual_hash(b)) & (2**64 - 1)).bit_count()
     assert differ(page, noisy) < 20 < differ(page, page[::-1, ::-1])
+    textured = rng.integers(0, 256, (60, 60)).repeat(2, 0).repeat(2, 1).astype(np.uint8)
+    assert I.edge_similarity(page, page) == 1.0 > I.edge_similarity(page, textured)
+    assert I.key_point_score(textured, textured) > 0.5 > I.key_point_score(textured, textured[::-1])
+    assert I.key_point_score(page, np.zeros((9, 9), np.uint8), over="first") == 0.0
+    assert I.snapshot(page, (0, 10, 45, 25), (45, 25)).shape == (30, 90)
     # resizing keeps the mean
     assert I.resized(page, 8, 8).mean() == pytest.approx(page.mean())
     assert I.attempt(I.decode, b"junk") is None
