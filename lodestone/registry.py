@@ -263,7 +263,8 @@ _NORMAL = "regexp_replace(upper(replace(text, 'ß', 'ss')), '[^A-Z0-9]', '', 'g'
 @_query(f"""SELECT item_id, doc_id, CAST(CASE WHEN b.s = d.s THEN 1.0 ELSE 0.85 END AS DOUBLE) AS score FROM (SELECT item_id, {_NORMAL} AS s FROM benchmark) b, (SELECT doc_id, {_NORMAL} AS s FROM documents) d
   WHERE b.s <> '' AND d.s <> '' AND (contains(d.s, b.s) OR contains(b.s, d.s))""")
 def containment_literal(spark, sf_dir):
-    return contain.literal_matches(_t(spark, sf_dir, "benchmark", "item_id", "text"), _t(spark, sf_dir, "documents", "doc_id", "text"), "item_id", "doc_id")
+    texts = readers.spread(_t(spark, sf_dir, "documents", "doc_id", "text"))
+    return contain.literal_matches(_t(spark, sf_dir, "benchmark", "item_id", "text"), texts, "item_id", "doc_id")
 
 
 @_query("""SELECT id, other, CAST(len(list_intersect(x, y)) AS DOUBLE) / len(list_distinct(list_concat(x, y))) AS score FROM (

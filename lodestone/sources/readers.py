@@ -16,6 +16,12 @@ def parquet(spark: SparkSession, path: str, *columns: str) -> DataFrame:
     return df.select(*columns) if columns else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows dealt out over all cores where a table is so small that its files make fewer tasks; for costly functions."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def jdbc(spark: SparkSession, url: str, table: str, key: str | None = None, bounds: tuple[int, int] | None = None, parts: int = 8, **options: str) -> DataFrame:
     """A database table, read by ranges of a numeric key where its bounds are given."""
     reader = spark.read.format("jdbc").options(url=url, dbtable=table, **options)
