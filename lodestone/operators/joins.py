@@ -12,16 +12,20 @@ from pyspark.sql import functions as F
 def previous_and_next(left: DataFrame, right: DataFrame, on: Sequence[str], at: str, value: str) -> DataFrame:
     """The rows of left with previous and next: value of the nearest row of right strictly before and after.
 
-    Both sides are laid in one sequence for each key, so nothing is joined and each row is read once.
+    Both sides are laid in one sequence for each key, once forwards and once backwards, so nothing
+    is joined and each window grows by a row at a time. Where rows of right are tied, the largest
+    value counts.
     """
     columns = [c for c in left.columns if c not in (*on, at)]
     rows = left.select(*on, at, F.struct(*columns).alias("_row"), F.lit(None).cast(right.schema[value].dataType).alias("_v"))
     marks = right.select(*on, at, F.lit(None).cast(rows.schema["_row"].dataType).alias("_row"), F.col(value).alias("_v"))
-    both = rows.unionByName(marks)
-    seq = W.partitionBy(*on).orderBy(at)
-    groups = both.groupBy(*on, at).agg(F.max("_v").alias("here"), F.collect_list("_row").alias("_rows"))
-    ordered = groups.withColumn("previous", F.last("here", ignorenulls=True).over(seq.rowsBetween(W.unboundedPreceding, -1))).withColumn("next", F.first("here", ignorenulls=True).over(seq.rowsBetween(1, W.unboundedFollowing)))
-    return ordered.select(*on, at, F.explode("_rows").alias("_row"), "previous", "next").select(*on, at, *[F.col("_row")[c].alias(c) for c in columns], "previous", "next")
+    # Of equal places the rows of left come first either way, so what precedes them is strictly before or after.
+    both = rows.withColumn("_mark", F.lit(0)).unionByName(marks.withColumn("_mark", F.lit(1)))
+    seq = W.partitionBy(*on)
+    so_far = (W.unboundedPreceding, W.currentRow)
+    placed = both.withColumn("previous", F.last("_v", ignorenulls=True).over(seq.orderBy(F.asc(at), "_mark", "_v").rowsBetween(*so_far)))
+    placed = placed.withColumn("next", F.last("_v", ignorenulls=True).over(seq.orderBy(F.desc(at), "_mark", "_v").rowsBetween(*so_far)))
+    return placed.where("_mark = 0").select(*on, at, *[F.col("_row")[c].alias(c) for c in columns], "previous", "next")
 
 
 def inside(items: DataFrame, boxes: DataFrame, on: Sequence[str]) -> DataFrame:
