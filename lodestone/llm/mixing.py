@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import checkpoint, table
+from lodestone.llm.common import checkpoint, free, table
 
 WEIGHTS, CAP, SEED = (1, 2, 3), 3.0, 8
 #: Rows of a group on the first level; groups that meet on a further one.
@@ -164,7 +164,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it; of repeated rows the first ones are taken more often."""
-    taken = rounded(docs.select("doc_id", "source", "text")).groupBy("k").agg(*[F.count_if(F.col("copies") >= c).alias(f"_{c}") for c in range(1, int(CAP) + 1)])
-    keyed = docs.withColumn("k", F.xxhash64("doc_id", "source", "text")).withColumn("_row", F.row_number().over(W.partitionBy("k").orderBy("k")))
-    copies = sum((F.when(F.col("_row") <= F.col(f"_{c}"), 1).otherwise(0) for c in range(1, int(CAP) + 1)), F.lit(0))
-    return keyed.join(taken, "k").withColumn("_n", copies).where("_n > 0").withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns)
+    key, row, n, *least = free(docs, "k", "_row", "_n", *[f"_{c}" for c in range(1, int(CAP) + 1)])
+    taken = rounded(docs.select("doc_id", "source", "text")).groupBy(F.col("k").alias(key)).agg(*[F.count_if(F.col("copies") >= c).alias(name) for c, name in enumerate(least, 1)])
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "source", "text")).withColumn(row, F.row_number().over(W.partitionBy(key).orderBy(key)))
+    copies = sum((F.when(F.col(row) <= F.col(name), 1).otherwise(0) for name in least), F.lit(0))
+    return keyed.join(taken, key).withColumn(n, copies).where(F.col(n) > 0).withColumn(n, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*docs.columns)

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import checkpoint, table
+from lodestone.llm.common import checkpoint, free, table
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -194,8 +194,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, its spans replaced by the name of their kind in angle brackets; n_chars follows."""
-    got = find(docs.select("doc_id", "text")).where(F.size("spans") > 0).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "spans").distinct()
-    joined = docs.withColumn("_hash", F.xxhash64("text")).join(got, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_h")), "left")
+    key, mine, theirs, spans_, clean = free(docs, "_id", "_hash", "_h", "spans", "_clean")
+    got = find(docs.select("doc_id", "text")).where(F.size("spans") > 0).select(F.col("doc_id").alias(key), F.col("h").alias(theirs), F.col("spans").alias(spans_)).distinct()
+    joined = docs.withColumn(mine, F.xxhash64("text")).join(got, F.col("doc_id").eqNullSafe(F.col(key)) & (F.col(mine) == F.col(theirs)), "left")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     tag = lambda s: F.concat(F.lit("<"), F.element_at(F.array(*[F.lit(k.upper()) for k in KINDS]), s["kind"] + 1), F.lit(">"))
 
@@ -203,7 +204,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         gap = F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), tag(s))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], gap).otherwise(acc["out"]).alias("out"))
 
-    clean = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.char_length("text"))))
-    done = joined.withColumn("_clean", F.when(F.col("spans").isNull(), F.col("text")).otherwise(clean))
-    columns = {"text": F.col("_clean").alias("text"), "n_chars": F.char_length("_clean").cast("long").alias("n_chars")}
+    redacted = F.aggregate(spans_, start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.char_length("text"))))
+    done = joined.withColumn(clean, F.when(F.col(spans_).isNull(), F.col("text")).otherwise(redacted))
+    columns = {"text": F.col(clean).alias("text"), "n_chars": F.char_length(clean).cast("long").alias("n_chars")}
     return done.select(*[columns.get(c, F.col(c)) for c in docs.columns])

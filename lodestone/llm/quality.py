@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import table
+from lodestone.llm.common import free, table
 
 PIECE, LEVEL, DICTIONARY = 512, 3, 49_152
 ROWS, PIECES, SEED = 4_000, 16, 6
@@ -183,4 +183,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents whose score reaches the threshold."""
     model = fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels", ("doc_id", "quality")))
-    return scored(docs, model, to="_score").where(F.col("_score") >= THRESHOLD).select(*docs.columns)
+    (score,) = free(docs, "score")
+    return scored(docs, model, to=score).where(F.col(score) >= THRESHOLD).select(*docs.columns)

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import checkpoint, connected_components, table
+from lodestone.llm.common import checkpoint, connected_components, free, table
 
 BITS, LIMIT, SHINGLE, SEED = 64, 4, 4, 42
 #: Shingles that are hashed at once.
@@ -252,12 +252,11 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A component none of whose rows has an id keeps the row whose text has the smallest hash.
     """
-    fps = checkpoint(fingerprints(docs))
-    found = checkpoint(components(fps))
+    (row,) = free(docs, "_row")
+    found = checkpoint(components(checkpoint(fingerprints(docs))))
     named = docs.join(found.where("component_id is not null").select(F.col("component_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    first = W.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    kept = named.withColumn("_row", F.row_number().over(first)).where("_row = 1").drop("_row")
-    nameless = docs.where("doc_id is null").withColumn("_row", F.xxhash64("text"))
-    own = fingerprints(nameless.select("_row", "text"), "_row").join(found.where("component_id is null"), "fp").groupBy("root").agg(F.min("_row").alias("_row"))
-    rest = nameless.join(own.select("_row"), "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")
+    kept = named.withColumn(row, F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text")))).where(F.col(row) == 1)
+    nameless = docs.where("doc_id is null").withColumn(row, F.xxhash64("text"))
+    own = fingerprints(nameless.select(row, "text"), row).join(found.where("component_id is null"), "fp").groupBy("root").agg(F.min(row).alias(row))
+    rest = nameless.join(own.select(row), row, "left_semi").dropDuplicates([row])
     return kept.select(*docs.columns).unionByName(rest.select(*docs.columns))

@@ -12,8 +12,10 @@ def small(spark, tmp_path_factory):
         (7, "mail me at a.b@c.example or +1 (212) 555-0100, not 10.0.0.256 but 10.0.0.25\nnext line", "é"),
         (8, "word " * 30_000, "a"), (9, "x" * 60_000, "\U0001f600"), (-4, "4111 1111 1111 1111 is a card", "a"), (2**53 + 1, "large id", "b"),
     ]
-    docs = [(i, t, s, "en", "clash", 5, "clash2") for i, t, s in base]
-    schema = "doc_id long, text string, source string, lang string, fp string, size int, k string"
+    # Names that the operators use themselves; their values must come through.
+    clash = ["fp", "size", "k", "spans", "score", "_row", "_n", "_1", "_h", "_hash", "_clean", "h", "root", "base"]
+    docs = [(i, t, s, "en", *[f"{c} of {i}" for c in clash]) for i, t, s in base]
+    schema = "doc_id long, text string, source string, lang string, " + ", ".join(f"{c} string" for c in clash)
     spark.createDataFrame(docs, schema).write.parquet(f"{folder}/documents.parquet")
     labels = [(1, 1, 0), (2, 1, 0), (6, 0, 0), (8, 0, 0), (None, 1, 0), (9, None, 0), (7, 1, 0), (77, 1, 1)]
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")

@@ -296,6 +296,8 @@ def test_pipeline_on_odd_and_empty_tables(spark, small, empty):
     for folder in (small, empty):
         docs = spark.read.parquet(f"{folder}/documents.parquet")
         for name, stage in corpus_pipeline.STAGES[:-1]:
-            docs = common.checkpoint(stage(spark, docs, folder))
-            assert docs.columns, name
+            before, docs = docs, common.checkpoint(stage(spark, docs, folder))
+            assert docs.columns == before.columns, name
+            for r in docs.collect():
+                assert folder == empty or all(r[c] == f"{c} of {r['doc_id']}" for c in docs.columns[4:]), name
         assert corpus_pipeline.run(spark, folder).count() == docs.count()
