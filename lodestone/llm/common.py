@@ -27,7 +27,13 @@ def table(spark: SparkSession, sf_dir: str, name: str, columns: Sequence[str] =
     """One input table; only the named columns, so that others that clash with ours never matter."""
     small_batches(spark)
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return df.select(*columns) if columns else df
+    return spread(df.select(*columns) if columns else df)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows dealt out over all cores where a table is so small that its files make fewer tasks."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
 def shared_folder(spark: SparkSession) -> str:
