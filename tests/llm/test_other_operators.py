@@ -69,7 +69,9 @@ def brute(rows, threshold=0.95):
     return out
 
 
-def test_embeddings_against_all_pairs(spark, monkeypatch):
+@pytest.mark.parametrize("block", [embed.BLOCK, 16])
+def test_embeddings_against_all_pairs(spark, monkeypatch, block):
+    monkeypatch.setattr(embed, "BLOCK", block)
     rng = np.random.default_rng(0)
     base = rng.standard_normal((12, 16))
     rows = [(i, [float(x) for x in base[i % 12] + 0.16 * rng.standard_normal(16) * (i >= 12)]) for i in range(400)]
