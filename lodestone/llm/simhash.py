@@ -240,7 +240,7 @@ def components(fps: DataFrame, key: str = "doc_id", limit: int = LIMIT, dense: i
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, fingerprint, component_id): one row per row of the input."""
     fps = checkpoint(fingerprints(df, key, text))
-    return fps.join(components(fps, key), "fp", "left").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return fps.join(checkpoint(components(fps, key)), "fp", "left").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
