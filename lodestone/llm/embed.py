@@ -181,17 +181,17 @@ def links(reps: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             dims = np.array(batch.column(1).to_pylist(), np.int64)
             for d in np.unique(dims):
                 part = batch.filter(pa.array(dims == d))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(keys(units(part.column(2)), plans[d])), pa.list_(pa.int64()))], names=["c", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(list(keys(units(part.column(2)), plans[d])), pa.list_(pa.int64()))], names=["c", "dim", "keys"])
 
-    filed = checkpoint(reps.select("c", "dim", "_v").mapInArrow(file, "c long, keys array<long>"))
-    met = filed.select("c", F.posexplode("keys").alias("t", "key")).join(reps.select("c", "dim"), "c")
-    shared = met.groupBy("dim", "t", "key").agg(F.count("*").alias("members")).where("members > 1")
+    filed = checkpoint(reps.select("c", "dim", "_v").mapInArrow(file, "c long, dim int, keys array<long>"))
+    met = filed.select("c", "dim", F.posexplode("keys").alias("t", "key"))
+    shared = checkpoint(met.groupBy("dim", "t", "key").agg(F.count("*").alias("members")).where("members > 1"))
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     seats = met.join(shared, ["dim", "t", "key"]).withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("c", "t"), F.col("blocks")).cast("int"))
     # Block i meets every block j >= i in the task (i, j).
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("own", o).alias("i"), F.greatest("own", o).alias("j")))
     seated = seats.select("c", "dim", "t", "key", "own", F.explode(pairs).alias("m")).select("c", "dim", "t", "key", "own", "m.*")
-    vectors = reps.select("c", F.col("_v").alias("v"), "n").join(filed, "c")
+    vectors = reps.select("c", F.col("_v").alias("v"), "n").join(filed.select("c", "keys"), "c")
     dealt = seated.join(vectors, "c").repartition("dim", "t", "key", "i", "j").sortWithinPartitions("dim", "t", "key", "i", "j", "own")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
