@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodestone.llm import shingles
 from lodestone.llm.common import checkpoint, connected_components, free, table
 
 BITS, LIMIT, SHINGLE, SEED = 64, 4, 4, 42
@@ -248,15 +249,16 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component the document with the smallest id stays; of repeated rows, one.
+    """Of texts that are near copies by their five-word shingles (see shingles) the document with the smallest id stays; of repeated rows, one.
 
     A component none of whose rows has an id keeps the row whose text has the smallest hash.
     """
     (row,) = free(docs, "_row")
-    found = checkpoint(components(checkpoint(fingerprints(docs))))
-    named = docs.join(found.where("component_id is not null").select(F.col("component_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    rows = checkpoint(shingles.filed(docs, "doc_id", "text"))
+    rooted = rows.select("key", "t", "h").join(shingles.components(rows, docs), "h", "left").withColumn("root", F.coalesce("root", "h"))
+    found = checkpoint(rooted.groupBy("root").agg(F.min("key").alias("doc_id"), F.min("t").alias(row)))
+    named = docs.join(found.where("doc_id is not null").select("doc_id").distinct(), "doc_id", "left_semi")
     kept = named.withColumn(row, F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text")))).where(F.col(row) == 1)
     nameless = docs.where("doc_id is null").withColumn(row, F.xxhash64("text"))
-    own = fingerprints(nameless.select(row, "text"), row).join(found.where("component_id is null"), "fp").groupBy("root").agg(F.min(row).alias(row))
-    rest = nameless.join(own.select(row), row, "left_semi").dropDuplicates([row])
+    rest = nameless.join(found.where("doc_id is null").select(row), row, "left_semi").dropDuplicates([row])
     return kept.select(*docs.columns).unionByName(rest.select(*docs.columns))

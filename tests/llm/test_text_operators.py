@@ -146,6 +146,28 @@ def test_simhash_odd_rows(spark, small):
     assert kept.columns == docs.columns and ids[1] == 1 and ids[2] == 0 and ids[6] == 1 and ids[3] == 1 and ids[None] == 1
 
 
+def test_stage_keeps_one_of_each_similar_group(spark):
+    rng = np.random.default_rng(11)
+    texts = {}
+    for g in range(30):
+        words = [f"w{v}" for v in rng.integers(0, 400, 20 + 8 * g)]
+        for i in range(6):
+            own = list(words)
+            for at in rng.integers(0, len(own), i):
+                own[at] = f"x{rng.integers(0, 9999)}"
+            texts[10 * g + i] = " ".join(own)
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in ((i, t.split()) for i, t in texts.items())}
+    alike = [(i, j) for i in sets for j in sets if i < j and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    parent = {i: i for i in sets}
+    for i, j in sorted(alike):
+        a, b = parent[i], parent[j]
+        parent = {k: min(a, b) if v in (a, b) else v for k, v in parent.items()}
+    fps = {i: plain_fingerprint(t) for i, t in texts.items()}
+    assert any((fps[i] ^ fps[j]).bit_count() > simhash.LIMIT for i, j in alike)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r["doc_id"] for r in simhash.stage(spark, df, "").collect()} == set(parent.values())
+
+
 @pytest.mark.parametrize("dense", [512, 3])
 def test_links_on_clusters(spark, dense):
     rng = np.random.default_rng(3)
