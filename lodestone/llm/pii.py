@@ -4,7 +4,8 @@ Base spans of four kinds are found by pattern and check. They are the seeds: the
 make lexical patterns (the two words before; the word before with the word after). Patterns and the
 strings that stand in them, seeds as well as other strings that look like identifiers, form a
 graph. A pattern's confidence in a kind is the mean score of its strings, a string's score is the
-noisy-or of its patterns' confidences, seeds keep score 1; after a few rounds a string of a fitting
+noisy-or of its patterns' confidences, seeds keep score 1. Strings that look like identifiers are
+words with an at sign or enough digits and runs of digit groups. After a few rounds a string of a fitting
 shape becomes a span where both of its patterns are confident and have several different seeds.
 
 The patterns differ from the contract's only in possessive repeats and an anchor at the start of a
@@ -35,12 +36,14 @@ _SEARCH = {
 _HINT = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 #: A word with a digit or an at sign, and its core without marks around it.
 _WORD, _CORE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+", r"[0-9A-Za-z+@](?:\S*[0-9A-Za-z])?"
+#: Groups of digits joined by spaces, dots, dashes and brackets, taken whole as the base phone and card patterns do.
+_RUN = r"(?<![0-9A-Za-z])[+(]{0,2}+[0-9]++(?:[\x20().-]{1,3}+[0-9]++)++"
 #: Shapes that a discovered span of each kind must have.
 _SHAPE = {
     "email": r"^[^@\s]+@[^@\s]+$",
     "ip": r"^[0-9]+(?:[.:][0-9]++){2,}+$",
-    "card": r"^[0-9](?:-?[0-9]){11,}+$",
-    "phone": r"^[+0-9][0-9().+/-]{6,}$",
+    "card": r"^[0-9](?:[\x20.-]?[0-9]){11,}+$",
+    "phone": r"^[+(0-9][\x200-9().+/-]{6,}$",
 }
 #: Digits that an identifier has at least unless it has an at sign.
 LEAST_DIGITS = 6
@@ -106,7 +109,11 @@ def spans(df: DataFrame, text: str = "text") -> DataFrame:
         core(h).alias("text"), h["before"].alias("before"), h["after"].alias("after"),
     )
     like = lambda h: h["text"].contains("@") | (F.length(_digits(h["text"])) >= LEAST_DIGITS)
-    df = df.withColumn("other", F.transform(F.filter("_words", like), cut)).drop("_words")
+    df = _hits(df, "_runs", _RUN, some)
+    # A run without a space lies in one word, which is a candidate itself.
+    wide = lambda h: h["text"].contains(" ") & like(h)
+    runs = F.transform(F.filter("_runs", wide), lambda h: _span(F.lit(-1), h))
+    df = df.withColumn("other", F.concat(F.transform(F.filter("_words", like), cut), runs)).drop("_words", "_runs")
     clear = lambda h: ~F.exists("base", lambda b: (b["start"] < h["end"]) & (h["start"] < b["end"]))
     return df.withColumn("other", F.filter("other", clear)).drop("_text")
 

@@ -90,6 +90,18 @@ def test_context_discovers_and_leaves_others_alone(spark):
     assert again == got  # copies aren't more evidence
 
 
+def test_context_discovers_spaced_forms(spark):
+    rows = [(i, f"please call me at +1 (212) 555-{1000 + i} or write") for i in range(20)]
+    cards = [c for c in range(4111111111110000, 4111111111110400) if luhn(str(c))][:20]
+    spaced = lambda c: " ".join(str(c)[k : k + 4] for k in range(0, 16, 4))
+    rows += [(50 + i, f"charge it to card {spaced(c)} before noon") for i, c in enumerate(cards)]
+    bad = spaced(cards[-1] + 1)
+    more = {100: "please call me at 555 867 5309 or write", 101: "please call me at (212) 555-0199 or write", 102: f"charge it to card {bad} before noon", 103: "the total of 12 345 678 was paid"}
+    df = spark.createDataFrame([*rows, *more.items()], "doc_id long, text string")
+    got = {r["doc_id"]: r["s"] for r in pii.find(df).select("doc_id", pii._written("spans").alias("s")).where("doc_id >= 100").collect()}
+    assert got == {100: "phone:18:30", 101: "phone:18:32", 102: "card:18:37", 103: ""}
+
+
 def test_redaction(spark, small):
     df = spark.read.parquet(f"{small}/documents.parquet").withColumn("n_chars", F.lit(0).cast("long"))
     out = {r["doc_id"]: r for r in pii.stage(spark, df, small).where("doc_id is not null").collect()}
