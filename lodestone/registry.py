@@ -228,11 +228,18 @@ def listing_display_name(spark, sf_dir):
 
 @_query("SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN c_acctbal END AS uploaded, row_number() OVER (ORDER BY CASE WHEN c_acctbal > 0 THEN c_acctbal END DESC NULLS FIRST, c_custkey DESC) AS place FROM customer QUALIFY place <= 200")
 def listing_nulls_first(spark, sf_dir):
-    c = _t(spark, sf_dir, "customer", "c_custkey", "c_acctbal").select("c_custkey", F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")).alias("uploaded"))
-    top = c.orderBy(F.desc_nulls_first("uploaded"), F.desc("c_custkey")).limit(200)
+    top = listing_clients(spark, sf_dir).limit(200)
     return top.withColumn("place", F.row_number().over(W.orderBy(F.desc_nulls_first("uploaded"), F.desc("c_custkey"))).cast("long"))
 
 
+@_query("SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN c_acctbal END AS uploaded FROM customer ORDER BY uploaded DESC NULLS FIRST, c_custkey DESC")
+def listing_clients(spark, sf_dir):
+    """The whole listing, in order."""
+    uploaded = F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")).alias("upload_date")
+    c = _t(spark, sf_dir, "customer", "c_custkey", "c_acctbal").select(F.col("c_custkey").alias("id"), uploaded)
+    return search.search_clients(c).select(F.col("id").alias("c_custkey"), F.col("upload_date").alias("uploaded"))
+
+
 @_query("SELECT doc_id, text IS NOT NULL AS has_logo, coalesce(nullif(source, ''), 'N/A') AS source, CASE WHEN length(text) > 120 THEN substr(text, 1, 120) || '…' ELSE text END AS preview FROM documents")
 def has_blob_flag_and_defaults(spark, sf_dir):
     d = _t(spark, sf_dir, "documents", "doc_id", "text", "source")

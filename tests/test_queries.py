@@ -34,6 +34,12 @@ def test_query(spark, smallest, duck, name):
     assert sorted(tuple(plain(r[c]) for c in columns) for r in rows) == sorted(tuple(plain(r[i]) for i in at) for r in want.fetchall())
 
 
+def test_client_listing_is_whole_and_in_order(spark, smallest, duck):
+    got = [tuple(r) for r in registry.queries()["listing_clients"](spark, smallest).collect()]
+    assert got == duck.sql("SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN c_acctbal END AS u FROM customer ORDER BY u DESC NULLS FIRST, c_custkey DESC").fetchall()
+    assert len(got) == duck.sql("SELECT count(*) FROM customer").fetchall()[0][0]
+
+
 def test_entry_and_registration(spark):
     import __spark_entry__ as e
 
