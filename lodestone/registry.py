@@ -400,13 +400,23 @@ def asof_prev_next(spark, sf_dir):
     return J.previous_and_next(e.where("event_type = 'purchase'").select("user_id", "ts", "event_id"), clicks, ["user_id"], "ts", "click").select("event_id", "previous", "next")
 
 
-@_query("SELECT o.o_orderkey, c.c_custkey FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey WHERE o.o_totalprice >= c.c_acctbal * 10 AND o.o_totalprice <= c.c_acctbal * 40 AND c.c_nationkey <= 20")
-def range_containment(spark, sf_dir):
+def _contained(spark, sf_dir, customers):
     items = _t(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_totalprice").select("o_orderkey", F.col("o_custkey").alias("page"), *[F.col("o_totalprice").alias(c) for c in ("x0", "x1")], *[F.lit(0.0).alias(c) for c in ("top", "bottom")])
-    boxes = _t(spark, sf_dir, "customer", "c_custkey", "c_acctbal", "c_nationkey").where("c_nationkey <= 20").select(F.col("c_custkey").alias("page"), "c_custkey", (F.col("c_acctbal") * 10).alias("bx0"), (F.col("c_acctbal") * 40).alias("bx1"), F.lit(0.0).alias("by0"), F.lit(0.0).alias("by1"))
+    boxes = customers.select(F.col("c_custkey").alias("page"), "c_custkey", (F.col("c_acctbal") * 10).alias("bx0"), (F.col("c_acctbal") * 40).alias("bx1"), F.lit(0.0).alias("by0"), F.lit(0.0).alias("by1"))
     return J.inside(items, boxes, ["page"]).select("o_orderkey", "c_custkey")
 
 
+@_query("SELECT o.o_orderkey, c.c_custkey FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey WHERE o.o_totalprice >= c.c_acctbal * 10 AND o.o_totalprice <= c.c_acctbal * 40 AND c.c_nationkey <= 20")
+def range_containment(spark, sf_dir):
+    return _contained(spark, sf_dir, _t(spark, sf_dir, "customer", "c_custkey", "c_acctbal", "c_nationkey").where("c_nationkey <= 20"))
+
+
+@_query("SELECT o.o_orderkey, c.c_custkey FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey WHERE o.o_totalprice >= c.c_acctbal * 10 AND o.o_totalprice <= c.c_acctbal * 40")
+def range_containment_all(spark, sf_dir):
+    """The join over the whole customer table."""
+    return _contained(spark, sf_dir, _t(spark, sf_dir, "customer", "c_custkey", "c_acctbal"))
+
+
 @_query("""SELECT conv_id, CAST(entry AS BIGINT) AS entry, count(*) AS lines FROM (SELECT conv_id, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS entry FROM conversations) WHERE entry > 0 GROUP BY ALL""")
 def segment_by_marker(spark, sf_dir):
     c = _t(spark, sf_dir, "conversations", "conv_id", "turn", "role")
