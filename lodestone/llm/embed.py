@@ -1,11 +1,12 @@
-"""Near-duplicate embeddings by collision counting over sorted one-dimensional projections.
+"""Near-duplicate embeddings by shared keys and a pairwise collision count over projections.
 
 Every vector is projected on many random directions, in blocks of an orthonormal basis each. Sorted
 by size, the largest projection of a block says which way the vector points; the directions that
 come first in ``k`` blocks are the vector's key in a table. Vectors that share a key in one of the
 tables are compared there by collision counting: further projections are windows centred on each
 vector, a pair's count is in how many of them the other one falls within the window, and pairs
-whose count reaches a bound are verified by cosine in double precision. Window and bound are set so
+whose count reaches a bound are verified by cosine in double precision. No projection is sorted: the
+windows are tested for every pair of a key, so n vectors of one key cost n^2 tests. Window and bound are set so
 that a pair exactly at the threshold passes with the wanted recall, as is the number of tables; the
 probabilities are measured on random pairs at the threshold.
 
