@@ -249,16 +249,17 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts that are near copies by their five-word shingles (see shingles) the document with the smallest id stays; of repeated rows, one.
+    """Of texts that are near copies by their five-word shingles (see shingles) one row stays, that of the smallest id.
 
-    A component none of whose rows has an id keeps the row whose text has the smallest hash.
+    A component none of whose rows has an id keeps the row whose text has the smallest hash; so do
+    rows of one id. Of repeated rows, one stays.
     """
-    (row,) = free(docs, "_row")
+    none, key, text, row = free(docs, "_none", "_key", "_t", "_row")
     rows = checkpoint(shingles.filed(docs, "doc_id", "text"))
-    rooted = rows.select("key", "t", "h").join(shingles.components(rows, docs), "h", "left").withColumn("root", F.coalesce("root", "h"))
-    found = checkpoint(rooted.groupBy("root").agg(F.min("key").alias("doc_id"), F.min("t").alias(row)))
-    named = docs.join(found.where("doc_id is not null").select("doc_id").distinct(), "doc_id", "left_semi")
-    kept = named.withColumn(row, F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text")))).where(F.col(row) == 1)
-    nameless = docs.where("doc_id is null").withColumn(row, F.xxhash64("text"))
-    rest = nameless.join(found.where("doc_id is null").select(row), row, "left_semi").dropDuplicates([row])
-    return kept.select(*docs.columns).unionByName(rest.select(*docs.columns))
+    rooted = rows.select("key", "t", "h").join(shingles.components(rows, docs), "h", "left")
+    least = rooted.groupBy(F.coalesce("root", "h").alias("root")).agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "t")).alias("x"))
+    wanted = checkpoint(least.select(F.col("x.none").alias(none), F.coalesce("x.key", F.lit(0)).alias(key), F.col("x.t").alias(text)))
+    own = docs.withColumns({none: F.col("doc_id").isNull(), key: F.coalesce("doc_id", F.lit(0)), text: F.xxhash64("text")})
+    kept = own.join(wanted, [none, key, text], "left_semi")
+    kept = kept.withColumn(row, F.row_number().over(W.partitionBy(none, key, text).orderBy(F.lit(0)))).where(F.col(row) == 1)
+    return kept.select(*docs.columns)

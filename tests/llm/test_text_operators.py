@@ -180,6 +180,15 @@ def test_stage_keeps_one_of_each_similar_group(spark):
     assert {r["doc_id"] for r in simhash.stage(spark, df, "").collect()} == set(parent.values())
 
 
+def test_stage_with_an_id_of_several_texts(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(40)) for c in "ab")
+    rows = [(5, a), (5, b), (3, a + " more"), (5, b), (None, b + " more")]
+    kept = simhash.stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted(map(tuple, kept)) == [(3, a + " more"), (5, b)]
+    kept = simhash.stage(spark, spark.createDataFrame(rows[:2], "doc_id long, text string"), "").collect()
+    assert sorted(map(tuple, kept)) == [(5, a), (5, b)]
+
+
 @pytest.mark.parametrize("dense", [512, 3])
 def test_links_on_clusters(spark, dense):
     rng = np.random.default_rng(3)
