@@ -1,7 +1,13 @@
 """Every registered query against its SQL, and those without SQL for rows and a stable schema."""
 
+import os
+import shutil
+import subprocess
+import sys
+
 import duckdb
 import pytest
+from conftest import ROOT
 
 from lodestone import registry
 
@@ -51,3 +57,15 @@ def test_entry_and_registration(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_the_rest_stands_without_the_corpus_folders(tmp_path):
+    """In a copy without the corpus operators the entry still imports and registers everything else."""
+    for name in ("lodestone", "__spark_entry__.py", "corpus_pipeline.py"):
+        (shutil.copytree if (ROOT / name).is_dir() else shutil.copy)(ROOT / name, tmp_path / name)
+    shutil.rmtree(tmp_path / "lodestone" / "llm", ignore_errors=True)
+    code = "import __spark_entry__ as e; print(sorted(e.queries())); assert set(e.oracle_sql()) <= set(e.queries())"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=120)
+    assert out.returncode == 0, out.stderr
+    assert out.stdout.strip() == str(sorted(registry.queries()))
