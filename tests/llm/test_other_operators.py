@@ -3,13 +3,16 @@
 import hashlib
 import html
 import json
+import math
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
 import pytest
+import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from llm_helpers import rows_of
@@ -197,26 +200,111 @@ def test_urls(spark):
     assert verdicts["http://bestcasinopoker.org/x"] == "block" and verdicts["http://museumofmusic.org/"] == verdicts["http://thecatsat.org/x"] == verdicts[None] == "allow"
 
 
-def test_segmentation(spark):
-    assert url_filter.viterbi("thecatsat", {"the": 50, "cat": 5, "sat": 5, "he": 9, "at": 20}, 100) == ["the", "cat", "sat"]
-    assert url_filter.viterbi("qqq", {}, 0) == ["qqq"] and url_filter.viterbi("a", {"a": 1}, 1) == ["a"]
-    counts = {"a": 4, "ab": 3, "b": 2, "ba": 1}
-    import itertools
-    import math
-
-    def score(words):
-        return sum(math.log(counts[w] / 10) if w in counts else math.log(1.0) - len(w) * math.log(10) for w in words)
-
-    for name in ("abab", "bbaab", "abcba"):
-        cuts = [[name[i:j] for i, j in zip((0, *c), (*c, len(name)), strict=True)] for k in range(len(name)) for c in itertools.combinations(range(1, len(name)), k)]
-        assert score(url_filter.viterbi(name, counts, 10)) == pytest.approx(max(map(score, cuts)))
-
-
-def test_url_query(spark, smallest):
-    pages = {r["page_id"]: r["url"] for r in rows_of(spark, smallest, "pages")}
-    for r in url_filter.query(spark, smallest).collect():
-        host, path, rule, verdict = plain_url(pages[r["page_id"]])
-        assert (r["host"], r["path"], r["rule"]) == (host, path, rule) and (verdict is None or r["verdict"] == verdict)
+def split_plainly(label, counts, total):
+    """The likeliest words of a label, by trying every last word of every beginning."""
+    unknown, each = url_filter.costs(total)
+    if len(label) > url_filter.LABEL:
+        return [label]
+    best = [(0.0, [])]
+    for end in range(1, len(label) + 1):
+        ways = []
+        for start in range(end):
+            word = label[start:end]
+            if word in counts and len(word) <= url_filter.WORD:
+                ways.append((best[start][0] + math.log(counts[word] / total), -start, word))
+            ways.append((best[start][0] + (unknown - (end - start) * each), -start, word))
+        score, back, word = max(ways)
+        best.append((score, [*best[-back][1], word]))
+    return best[-1][1]
+
+
+def counts_plainly(pages):
+    n = Counter(w for side in url_filter.LISTS.values() for w in set(side.split()))
+    for r in pages:
+        n.update(w for w in regex.split(r"\P{L}+", re.sub("<[^<>]*>", " ", r["html"] or "").lower()) if 0 < len(w) <= url_filter.WORD)
+    return n
+
+
+@pytest.mark.parametrize("label", ["thecatsat", "abab", "bbaab", "q" * 63, "q" * 64, "cat" * 21, "élan", "x"])
+def test_segmentation(spark, label):
+    counts = {"the": 50, "cat": 5, "sat": 5, "he": 9, "at": 20, "a": 4, "ab": 3, "b": 2, "ba": 1, "lan": 2}
+    hosts = spark.createDataFrame([(label + ".", )], "host string")
+    got = url_filter.segmented(hosts, spark.createDataFrame(list(counts.items()), "word string, n long")).first()["tokens"]
+    assert got == split_plainly(label, counts, sum(counts.values()))
+
+
+def weights_plainly(told, spark):
+    """Log odds by bucket, from {(host, verdict): buckets}; held-out hosts are not learned from."""
+    hosts, side = defaultdict(set), {"block": Counter(), "allow": Counter()}
+    for (host, verdict), at in told.items():
+        if zlib.crc32(host.encode()) % url_filter.FOLDS != url_filter.HELD:
+            for x in at:
+                hosts[x].add(host)
+                side[verdict][x] += 1
+    learned = [x for x in hosts if len(hosts[x]) >= url_filter.SEEN]
+    e = url_filter.SMOOTH
+    base = math.log((sum(side["block"][x] for x in learned) + e) / (sum(side["allow"][x] for x in learned) + e))
+    total = {v: Counter() for v in side}
+    for x in learned:
+        b, a = side["block"][x] + e, side["allow"][x] + e
+        if abs(math.log(b / a) - base) >= url_filter.SURE * math.sqrt(1 / a + 1 / b):
+            for v in side:
+                total[v][x] += side[v][x]
+    for v, words in url_filter.LISTS.items():
+        for x in bucket(spark, (words + " " + url_filter.NEUTRAL).split()):
+            total[v][x] += url_filter.LISTED
+    known = set(total["block"]) | set(total["allow"])
+    named = set(bucket(spark, "com example com en www example com en net es net fr".split()))
+    return {x: math.log((total["block"][x] + e) / (total["allow"][x] + e)) for x in known - named}
+
+
+def bucket(spark, words):
+    df = spark.createDataFrame([(w,) for w in words], "w string").coalesce(1)
+    return [r[0] for r in df.select(F.pmod(F.xxhash64("w"), F.lit(url_filter.BUCKETS)).cast("int")).collect()]
+
+
+@pytest.mark.parametrize("seen", [url_filter.SEEN, 1])
+def test_url_query_against_plain_viterbi_and_bayes(spark, smallest, monkeypatch, seen):
+    """Every host, path, rule and verdict of the whole table; with one host enough, words are learned as well."""
+    monkeypatch.setattr(url_filter, "SEEN", seen)
+    monkeypatch.setattr(url_filter, "SURE", url_filter.SURE if seen > 1 else 0.5)
+    pages = rows_of(spark, smallest, "pages")
+    counts = counts_plainly(pages)
+    total = sum(counts.values())
+    words, urls = {}, {}
+    for r in pages:
+        host, path, rule, verdict = urls[r["page_id"]] = plain_url(r["url"])
+        words[host] = [w for label in re.split("[.-]", host) if label for w in split_plainly(label, counts, total)]
+    paths = {i: [re.sub("^[0-9]+$", "0", w) for w in regex.findall(r"\p{L}+|\p{N}+", u[1].lower())] for i, u in urls.items()}
+    every = sorted({w for ws in [*words.values(), *paths.values()] for w in ws})
+    at = dict(zip(every, bucket(spark, every), strict=True))
+    told = defaultdict(set)
+    for i, (host, _, rule, verdict) in urls.items():
+        if rule:
+            told[host, verdict] |= {at[w] for w in [*words[host], *paths[i]]}
+    odds = weights_plainly(told, spark)
+    if seen == 1:
+        assert len(odds) > len(weights_plainly({}, spark))
+    got = {r["page_id"]: r for r in url_filter.judged(spark.read.parquet(f"{smallest}/pages.parquet")).collect()}
+    assert len(got) == len(pages)
+    blocked = 0
+    for i, (host, path, rule, verdict) in urls.items():
+        score = sum(odds.get(at[w], 0.0) for w in [*words[host], *paths[i]]) + math.log(url_filter.PRIOR)
+        assert got[i]["score"] == pytest.approx(score, abs=1e-6)
+        own = "block" if score > 0 else "allow"
+        blocked += own == "block"
+        assert (got[i]["host"], got[i]["path"], got[i]["rule"], got[i]["verdict"]) == (host, path, rule, verdict or own)
+    assert blocked
+    right = {r["verdict"]: r["right"] for r in url_filter.accuracy(spark.createDataFrame(list(got.values()))).collect()}
+    assert set(right) == {"allow", "block"}
+
+
+def test_url_ties_hot_host_and_long_pages(spark):
+    """A host that most pages share, an even score, and a page of a megabyte."""
+    rows = [(i, f"http://hot.thecatsat.org/{i}", None) for i in range(3000)] + [(5000, "http://zzz.org/", "word " * 200_000), (5001, "http://casino.org/", "casino")]
+    got = {r["page_id"]: r for r in url_filter.judged(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(got) == len(rows) and len({r["score"] for i, r in got.items() if i < 3000}) == 1
+    assert got[5000]["verdict"] == "allow" and got[5001]["verdict"] == "block"
 
 
 # -------------------------------------------------------------------------------- chats
