@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -56,6 +57,23 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def apart(df: DataFrame, column: str) -> DataFrame:
+    """An aggregate dealt out by another column: a join on its key then shuffles both sides, and can split hot keys."""
+    return df.repartition(column)
+
+
+def stored(df: DataFrame, path: str) -> DataFrame:
+    """The frame written as a table and read again: for loops, where Spark would carry each round's constraints on."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder of the shared store."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def free(df: DataFrame, *names: str) -> list[str]:
     """The names, each with as many underscores in front as keep it apart from the frame's columns."""
     taken = {c.lower() for c in df.columns}
@@ -84,25 +102,24 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
 
     Alternates the large-star and small-star steps, which keep the number of edges from growing
     and end after few rounds also on long chains. A node with very many neighbours is reduced
-    before any shuffle by the aggregate and split by the adaptive join; nothing is gathered on the
-    driver but one count and one sum per round. No edges give no rows; loops are ignored.
+    before any shuffle by the aggregate, whose result is dealt apart, so that the join with it has a
+    shuffle of its own on either side and the adaptive join can split the node. Nothing is gathered
+    on the driver but one count and one sum per round. No edges give no rows; loops are ignored.
     """
-    links = checkpoint(
-        edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct()
-    )
-    seen = None
-    while True:
+    spark = edges.sparkSession
+    folder = f"{shared_folder(spark)}/components-{uuid.uuid4().hex}"
+    links = stored(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct(), f"{folder}/0")
+    seen, i = None, 0
+    while not links.isEmpty():
+        i += 1
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        links = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-        least = links.groupBy("u").agg(F.min("v").alias("m"))
-        links = checkpoint(
-            links.join(least, "u")
-            .select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
-            .select("e.u", "e.v")
-            .where("u > v")
-            .distinct()
-        )
+        least = apart(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "m")
+        large = stored(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct(), f"{folder}/{i}-large")
+        smaller = apart(large.groupBy("u").agg(F.min("v").alias("m")), "m")
+        stars = F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v"))))
+        links = stored(large.join(smaller, "u").select(stars.alias("e")).select("e.u", "e.v").where("u > v").distinct(), f"{folder}/{i}")
+        for done in (f"{i - 1}", f"{i}-large"):
+            delete(spark, f"{folder}/{done}")
         now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             break

@@ -32,7 +32,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestone.llm import shingles
 from lodestone.llm.common import checkpoint, connected_components, free, table
 
 BITS, LIMIT, SHINGLE, SEED = 64, 4, 4, 42
@@ -58,7 +57,17 @@ def fingerprint(text: bytes, width: int = SHINGLE) -> int:
         to = min(n, at + BLOCK)
         ends = starts[at + width : to + width] if n > 1 or len(words) >= width else [len(whole) + 1]
         hashes = b"".join([digest(whole[a : b - 1], SEED) for a, b in zip(starts[at:to], ends, strict=True)])
-        ones += np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        ones += set_bits(np.frombuffer(hashes, np.uint8))
+    return majority(ones, n)
+
+
+def set_bits(hashes: np.ndarray) -> np.ndarray:
+    """In how many of the hashes, given as bytes with the highest first, each bit is set."""
+    return np.unpackbits(hashes.reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+
+
+def majority(ones: np.ndarray, n: int) -> int:
+    """The fingerprint of n hashes as a signed number."""
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big", signed=True)
 
 
@@ -165,13 +174,13 @@ def allocate(costs: list[np.ndarray], total: int) -> tuple[float, tuple[int, ...
 
 
 def plan(reps: DataFrame, limit: int = LIMIT) -> list[Part]:
-    """The partitions and thresholds of the cheapest of several plans, estimated over all fingerprints."""
+    """The partitions and thresholds of the cheapest of several plans, estimated over all fingerprints; five partitions at most."""
     n, both = bit_statistics(reps)
     mean = np.diag(both) / max(n, 1)
     sd = np.sqrt(np.maximum(mean * (1 - mean), 1e-12))
     correlation = (both / max(n, 1) - np.outer(mean, mean)) / np.outer(sd, sd)
     same = mean**2 + (1 - mean) ** 2
-    tried = {m: grouped(correlation, m) for m in range(2, limit + 2)}
+    tried = {m: grouped(correlation, m) for m in range(2, min(limit, 4) + 2)}
     flat = [(m, i) for m, groups in tried.items() for i in range(m)]
     keys = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(Part(tried[m][i], 0).mask)).alias("v")) for k, (m, i) in enumerate(flat)]))
     counted = reps.select(keys.alias("x")).groupBy("x").count().groupBy("x.k").agg(F.sum((F.col("count") * (F.col("count") - 1) / 2).cast("double")).alias("pairs"))
@@ -202,12 +211,41 @@ def _keys(parts: list[Part], probes: bool) -> Column:
     return F.array(*each)
 
 
-def links(reps: DataFrame, parts: list[Part], limit: int = LIMIT, dense: int = DENSE) -> DataFrame:
-    """(a, b): edges between fingerprints within the limit that join all that links join."""
+def _dealt(reps: DataFrame, parts: list[Part], dense: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What is filed, what is asked for, and the keys under which so many are filed that their pairs aren't made."""
     filed = reps.select("fp", F.explode(_keys(parts, False)).alias("x")).select("fp", "x.*")
     asked = reps.select("fp", F.explode(_keys(parts, True)).alias("x")).select("fp", "x.*")
-    crowded = checkpoint(filed.groupBy("part", "key").count().where(F.col("count") >= dense).select("part", "key"))
-    near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= limit
+    return filed, asked, checkpoint(filed.groupBy("part", "key").count().where(F.col("count") >= dense).select("part", "key"))
+
+
+def gap(a: str, b: str) -> Column:
+    """In how many bits two fingerprints differ."""
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
+
+
+def candidates(reps: DataFrame, limit: int, dense: int = DENSE) -> DataFrame:
+    """(a, b): fingerprints with the nearest smaller one within the limit, for a caller that verifies texts.
+
+    Under a key that very many share, each is paired with the smallest there; whoever needs all
+    pairs has to look on.
+    """
+    parts = plan(reps, limit)
+    filed, asked, crowded = _dealt(reps, parts, dense)
+    pairs = None
+    if not crowded.isEmpty():
+        hot = filed.unionByName(asked).join(crowded, ["part", "key"], "left_semi")
+        least = checkpoint(hot.groupBy("part", "key").agg(F.min("fp").alias("b")))
+        pairs = hot.join(least, ["part", "key"]).select(F.col("fp").alias("a"), "b")
+        filed, asked = (x.join(crowded, ["part", "key"], "left_anti") for x in (filed, asked))
+    met = filed.withColumnRenamed("fp", "b").join(asked.withColumnRenamed("fp", "a"), ["part", "key"]).select("a", "b")
+    near = (met if pairs is None else pairs.union(met)).where((F.col("a") > F.col("b")) & (gap("a", "b") <= limit))
+    return near.groupBy("a").agg(F.min(F.struct(gap("a", "b").alias("gap"), "b")).alias("x")).select("a", "x.b")
+
+
+def links(reps: DataFrame, parts: list[Part], limit: int = LIMIT, dense: int = DENSE) -> DataFrame:
+    """(a, b): edges between fingerprints within the limit that join all that links join."""
+    filed, asked, crowded = _dealt(reps, parts, dense)
+    near = lambda a, b: gap(a, b) <= limit
     if crowded.isEmpty():
         through = None
     else:
@@ -249,12 +287,15 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts that are near copies by their five-word shingles (see shingles) one row stays, that of the smallest id.
+    """Of texts that are near copies by their five-word shingles one row stays, that of the smallest id.
 
-    A component none of whose rows has an id keeps the row whose text has the smallest hash; so do
+    Fingerprints of these shingles are probed at a wider radius; what they find is verified by the
+    exact similarity and completed (see shingles). A component none of whose rows has an id keeps the row whose text has the smallest hash; so do
     rows of one id. Of repeated rows, one stays.
     """
     none, key, text, row = free(docs, "_none", "_key", "_t", "_row")
+    from lodestone.llm import shingles  # which builds on this module
+
     rows = checkpoint(shingles.filed(docs, "doc_id", "text"))
     rooted = rows.select("key", "t", "h").join(shingles.components(rows, docs), "h", "left")
     least = rooted.groupBy(F.coalesce("root", "h").alias("root")).agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "t")).alias("x"))
