@@ -49,34 +49,60 @@ _SHAPE = {
 LEAST_DIGITS = 6
 #: Different seeds a pattern needs, confidence it needs, rounds, and characters of context read.
 SEEDS, CONFIDENCE, ROUNDS, REACH = 5, 0.8, 3, 80
+#: Characters of a block of text in redaction.
+PIECE = 4096
 
 
-def _ends(lengths: Column) -> Column:
-    """Running sums of an array of lengths, by blocks of 256, so long arrays don't cost their square."""
-    total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / 256).cast("int")), lambda b: total(F.slice(lengths, b * 256 + 1, 256)))
-    before = F.transform(blocks, lambda _, b: total(F.slice(blocks, 1, b)))
+def _let(value: Column, body) -> Column:
+    """The body with the value worked out once, however often and in whatever lambda the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _running(values: Column, most: bool = False) -> Column:
+    """Running sums (or maxima) of an array of integers, by blocks of 256, so long arrays don't cost their square."""
+    of = (lambda a: F.coalesce(F.array_max(a), F.lit(0))) if most else (lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y))
+    join = (lambda x, y: F.greatest(x, y)) if most else (lambda x, y: x + y)
     block = lambda i: F.floor(i / 256).cast("int")
-    return F.transform(lengths, lambda _, i: F.get(before, block(i)) + total(F.slice(lengths, block(i) * 256 + 1, i % 256 + 1)))
+
+    def cut(v: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), block(F.size(v) - 1)), lambda b: of(F.slice(v, b * 256 + 1, 256)))
+        return _let(_let(blocks, lambda x: F.transform(x, lambda _, b: of(F.slice(x, 1, b)))), lambda before: F.transform(v, lambda _, i: join(F.get(before, block(i)), of(F.slice(v, block(i) * 256 + 1, i % 256 + 1)))))
+
+    return _let(values, lambda v: F.when(F.size(v) > 0, cut(v)).otherwise(v))
+
+
+def _below(ordered: Column, x: Column) -> Column:
+    """How many of an ascending array are less than x, by halving."""
+    start = F.struct(F.lit(0).alias("lo"), F.size(ordered).alias("hi"))
+
+    def step(at: Column, _: Column) -> Column:
+        mid = F.floor((at["lo"] + at["hi"]) / 2).cast("int")
+        less = F.get(ordered, mid) < x
+        moved = F.struct(F.when(less, mid + 1).otherwise(at["lo"]).alias("lo"), F.when(less, at["hi"]).otherwise(mid).alias("hi"))
+        return F.when(at["lo"] < at["hi"], moved).otherwise(at)
+
+    return F.aggregate(F.sequence(F.lit(1), F.length(F.bin(F.size(ordered)))), start, step, lambda at: at["lo"])
 
 
 _HIT = "array<struct<text:string,start:int,end:int,before:string,after:string>>"
 
 
-def _hits(df: DataFrame, name: str, search: str, wanted: Column) -> DataFrame:
-    """Adds an array of the matches with their places and the characters around them."""
+def _hits(text: Column, search: str, wanted: Column) -> Column:
+    """An array of the matches with their places and the characters around them."""
     none = F.array().cast("array<string>")
-    df = df.withColumn("_m", F.when(wanted, F.regexp_extract_all("_text", F.lit(search), F.lit(0))).otherwise(none))
-    df = df.withColumn("_p", F.when(F.size("_m") > 0, F.split("_text", search, -1)).otherwise(none))
-    df = df.withColumn("_l", F.transform("_m", lambda m, i: F.char_length(m) + F.char_length(F.get(F.col("_p"), i))))
-    df = df.withColumn("_e", F.when(F.size("_l") > 0, _ends(F.col("_l"))))
-    piece = lambda i: F.get(F.col("_p"), i)
-    end = lambda i: F.get(F.col("_e"), i)
-    hit = lambda m, i: F.struct(
-        m.alias("text"), (end(i) - F.char_length(m)).alias("start"), end(i).alias("end"),
-        F.right(piece(i), F.lit(REACH)).alias("before"), F.left(piece(i + 1), F.lit(REACH)).alias("after"),
-    )
-    return df.withColumn(name, F.transform("_m", hit).cast(_HIT)).drop("_m", "_p", "_l", "_e")
+    matches = F.when(wanted, F.regexp_extract_all(text, F.lit(search), F.lit(0))).otherwise(none)
+
+    def placed(m: Column) -> Column:
+        pieces = F.when(F.size(m) > 0, F.split(text, search, -1)).otherwise(none)
+        return _let(pieces, lambda p: _let(_running(F.transform(m, lambda x, i: F.char_length(x) + F.char_length(F.get(p, i)))), lambda e: F.transform(m, hit(p, e))))
+
+    def hit(p: Column, e: Column):
+        return lambda m, i: F.struct(
+            m.alias("text"), (F.get(e, i) - F.char_length(m)).alias("start"), F.get(e, i).alias("end"),
+            F.right(F.get(p, i), F.lit(REACH)).alias("before"), F.left(F.get(p, i + 1), F.lit(REACH)).alias("after"),
+        )
+
+    return _let(matches, placed).cast(_HIT)
 
 
 def _digits(c: Column) -> Column:
@@ -95,13 +121,15 @@ def _passes(kind: str, hit: Column) -> Column:
 
 def spans(df: DataFrame, text: str = "text") -> DataFrame:
     """The frame with base (kind, start, end and context of each base span) and other (candidates)."""
-    some = F.col("_text").rlike("[0-9@]")
-    df = df.withColumn("_text", F.coalesce(F.col(text).cast("string"), F.lit("")))
-    for kind in KINDS:
-        df = _hits(df, f"_{kind}", _SEARCH[kind], some & F.col("_text").contains(_HINT[kind]))
-    kept = [_kept(kind) for kind in KINDS]
-    df = df.withColumn("base", F.array_sort(F.concat(*kept))).drop(*[f"_{k}" for k in KINDS])
-    df = _hits(df, "_words", _WORD, some)
+    own = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    some = own.rlike("[0-9@]")
+
+    def kept(i: int, kind: str) -> Column:
+        """The matches of a kind that pass its check, as spans."""
+        found = _hits(own, _SEARCH[kind], some & own.contains(_HINT[kind]))
+        return F.transform(F.filter(found, lambda h: _passes(kind, h["text"])), lambda h: _span(F.lit(i), h))
+
+    base = F.array_sort(F.concat(*[kept(i, k) for i, k in enumerate(KINDS)]))
     core = lambda h: F.regexp_extract(h["text"], _CORE, 0)
     skip = lambda h: F.length(F.regexp_extract(h["text"], "^[^0-9A-Za-z+@]*", 0))
     cut = lambda h: F.struct(
@@ -109,19 +137,19 @@ def spans(df: DataFrame, text: str = "text") -> DataFrame:
         core(h).alias("text"), h["before"].alias("before"), h["after"].alias("after"),
     )
     like = lambda h: h["text"].contains("@") | (F.length(_digits(h["text"])) >= LEAST_DIGITS)
-    df = _hits(df, "_runs", _RUN, some)
     # A run without a space lies in one word, which is a candidate itself.
     wide = lambda h: h["text"].contains(" ") & like(h)
-    runs = F.transform(F.filter("_runs", wide), lambda h: _span(F.lit(-1), h))
-    df = df.withColumn("other", F.concat(F.transform(F.filter("_words", like), cut), runs)).drop("_words", "_runs")
-    clear = lambda h: ~F.exists("base", lambda b: (b["start"] < h["end"]) & (h["start"] < b["end"]))
-    return df.withColumn("other", F.filter("other", clear)).drop("_text")
+    words = F.transform(F.filter(_hits(own, _WORD, some), like), cut)
+    runs = F.transform(F.filter(_hits(own, _RUN, some), wide), lambda h: _span(F.lit(-1), h))
 
+    def both(base: Column) -> Column:
+        """Base spans, and the candidates that overlap none: no base span that starts before one's end reaches beyond its start."""
+        starts, reach = F.transform(base, lambda b: b["start"]), _running(F.transform(base, lambda b: b["end"]), most=True)
+        clear = lambda s, r: lambda h: F.coalesce(F.get(r, _below(s, h["end"]) - 1) <= h["start"], F.lit(True))
+        other = _let(starts, lambda s: _let(reach, lambda r: F.filter(F.concat(words, runs), clear(s, r))))
+        return F.struct(base.alias("base"), other.alias("other"))
 
-def _kept(kind: str) -> Column:
-    """The matches of a kind that pass its check, as spans."""
-    passing = F.filter(f"_{kind}", lambda h: _passes(kind, h["text"]))
-    return F.transform(passing, lambda h: _span(F.lit(KINDS.index(kind)), h))
+    return df.withColumn("_both", _let(base, both)).withColumns({"base": F.col("_both.base"), "other": F.col("_both.other")}).drop("_both")
 
 
 def _span(kind: Column, h: Column) -> Column:
@@ -199,19 +227,33 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", *counts, F.sha2(_written("base"), 256).alias("base_sha256"), _written("spans").alias("spans"))
 
 
+def _redacted(text: Column, spans: Column) -> Column:
+    """The text with each span replaced by its kind; of overlapping ones the first, and what the others cover goes.
+
+    The text is cut into blocks once, so that a piece is taken from its blocks and not counted off from the start.
+    """
+    tag = lambda s: F.concat(F.lit("<"), F.element_at(F.array(*[F.lit(k.upper()) for k in KINDS]), s["kind"] + 1), F.lit(">"))
+    block = lambda i: F.floor(i / PIECE).cast("int")
+
+    def written(blocks: Column, at: Column) -> Column:
+        def piece(a: Column, b: Column) -> Column:
+            own = lambda k: F.substring(F.get(blocks, k), F.greatest(a - k * PIECE, F.lit(0)) + 1, F.least(b, (k + 1) * PIECE) - F.greatest(a, k * PIECE))
+            return F.when(a < b, F.array_join(F.transform(F.sequence(block(a), block(b - 1)), own), "")).otherwise("")
+
+        before = lambda i: F.coalesce(F.get(at, i - 1), F.lit(0))
+        parts = F.transform(spans, lambda s, i: F.when(s["start"] >= before(i), F.concat(piece(before(i), s["start"]), tag(s))).otherwise(""))
+        return F.concat(F.array_join(parts, ""), piece(before(F.size(at)), F.char_length(text)))
+
+    blocks = F.transform(F.sequence(F.lit(0), block(F.char_length(text))), lambda k: F.substring(text, k * PIECE + 1, F.lit(PIECE)))
+    return _let(blocks, lambda b: _let(_running(F.transform(spans, lambda s: s["end"]), most=True), lambda at: written(b, at)))
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, its spans replaced by the name of their kind in angle brackets; n_chars follows."""
     key, mine, theirs, spans_, clean = free(docs, "_id", "_hash", "_h", "spans", "_clean")
     got = find(docs.select("doc_id", "text")).where(F.size("spans") > 0).select(F.col("doc_id").alias(key), F.col("h").alias(theirs), F.col("spans").alias(spans_)).distinct()
     joined = docs.withColumn(mine, F.xxhash64("text")).join(got, F.col("doc_id").eqNullSafe(F.col(key)) & (F.col(mine) == F.col(theirs)), "left")
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    tag = lambda s: F.concat(F.lit("<"), F.element_at(F.array(*[F.lit(k.upper()) for k in KINDS]), s["kind"] + 1), F.lit(">"))
-
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), tag(s))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], gap).otherwise(acc["out"]).alias("out"))
-
-    redacted = F.aggregate(spans_, start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.char_length("text"))))
+    redacted = _redacted(F.col("text"), F.col(spans_))
     done = joined.withColumn(clean, F.when(F.col(spans_).isNull(), F.col("text")).otherwise(redacted))
     columns = {"text": F.col(clean).alias("text"), "n_chars": F.char_length(clean).cast("long").alias("n_chars")}
     return done.select(*[columns.get(c, F.col(c)) for c in docs.columns])
