@@ -12,7 +12,7 @@ pieces of each text for the dictionaries and whole texts for the calibration. Cl
 as they are among all labelled rows. Only the text enters a score.
 
 Defined results: null and empty texts have no difference and get the score of zero difference;
-labels that are null, or not 0 or 1, aren't used; a row without an id is never held out; repeated
+labels that are null, or not 0 or 1, aren't used; of an id's several texts one is learned from; a row without an id is never held out; repeated
 rows each give their row; if either label is missing, every score is the share of label 1 (0.5
 without any); an empty table gives no rows; other columns are ignored (query) or kept (stage).
 """
@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import free, table
+from lodestone.llm.common import checkpoint, free, table
 
 PIECE, LEVEL, DICTIONARY = 512, 3, 49_152
 ROWS, PIECES, SEED = 4_000, 16, 6
@@ -122,13 +122,24 @@ def dictionary(samples: list[bytes]) -> bytes:
         return b"".join(samples)[-DICTIONARY:]
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """Learn from the labelled documents that aren't held out."""
+def sample(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict[int, int]]:
+    """(doc_id, _t, _y) of at most ROWS labelled documents of each label, one row for an id, and how many there are of each.
+
+    An id that repeats with different texts gives the one of the smallest hash, picked where the rows
+    lie, so that however often an id repeats, one row of it reaches the model.
+    """
     usable = labels.select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("_y")).where("_y in (0, 1) and _id is not null").where(~held_out(F.col("_id")))
     totals = {r["_y"]: r["n"] for r in usable.groupBy("_y").agg(F.count("*").alias("n")).collect()}
     chosen = [usable.where(F.col("_y") == y).dropDuplicates(["_id"]).orderBy(F.xxhash64(F.lit(SEED), "_id"), "_id").limit(ROWS) for y in (0, 1)]
-    sample = chosen[0].union(chosen[1])  # at most 2 * ROWS ids, so it may be broadcast
-    rows = docs.select("doc_id", F.col("text").cast("binary").alias("_t")).join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).where("_t is not null and length(_t) > 0").select("doc_id", "_t", "_y")
+    ids = chosen[0].union(chosen[1])  # at most 2 * ROWS ids, so it may be broadcast
+    rows = docs.select("doc_id", F.col("text").cast("binary").alias("_t")).where("length(_t) > 0").join(F.broadcast(ids), F.col("doc_id") == F.col("_id"))
+    one = rows.groupBy("doc_id", "_y").agg(F.min_by("_t", F.struct(F.xxhash64("_t"), "_t")).alias("_t"))
+    return checkpoint(one.select("doc_id", "_t", "_y")), totals
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> Model:
+    """Learn from the labelled documents that aren't held out."""
+    rows, totals = sample(docs, labels)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -141,7 +152,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
                     out.append(text[at * PIECE : (at + 1) * PIECE])
             yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(ys, pa.int32()), pa.array(out, pa.binary())], names=["doc_id", "y", "piece"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    kind = docs.schema["doc_id"].dataType.simpleString()  # of 2 * ROWS * PIECES pieces at most
     pieces = sorted((r["y"], str(r["doc_id"]), bytes(r["piece"])) for r in rows.mapInArrow(cut, f"doc_id {kind}, y int, piece binary").collect())
     by = {y: [p for label, _, p in pieces if label == y] for y in (0, 1)}
     share = totals.get(1, 0) / sum(totals.values()) if totals else 0.5
