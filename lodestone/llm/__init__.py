@@ -21,9 +21,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mixing": mixing.query,
         "op9_html": html_crf.query,
         "op10_chat": chat.query,
+        "chat_layouts": chat.layouts,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL of the operators whose results it can express; the others are tested against plain restatements."""
-    return {"op5_embeddings": embed.SQL, "op9_html": html_crf.SQL, "op10_chat": chat.SQL}
+    return {"op5_embeddings": embed.SQL, "op9_html": html_crf.SQL, "op10_chat": chat.SQL, "chat_layouts": chat.LAYOUTS_SQL}

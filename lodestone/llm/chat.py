@@ -3,8 +3,9 @@ r"""Chat formatting by schema fingerprints.
 Chat records come in many layouts: a list of messages under various names, an instruction with an
 input and an output, a prompt with a response. The nested field paths of a record, with the kind of
 each value, are hashed into its schema fingerprint. The fingerprint selects a declarative mapping,
-which says where roles and texts are; the mapping is worked out once for a fingerprint. Canonical
-turns are then written in one template::
+which says where roles and texts are and whether its roles go by other names; the mapping is worked
+out once for a fingerprint. A row of a table of turns is a layout of its own, whose roles are taken
+as they are. Canonical turns are then written in one template::
 
     \### Role: text</turn>
 
@@ -35,7 +36,7 @@ OPEN, MIDDLE, CLOSE = "\\### ", ": ", "</turn>"
 OTHER = "="
 #: How roles are written in the template, and back.
 ROLES = {"system": "System", "user": "User", "assistant": "Assistant"}
-#: Names that roles go by in the layouts.
+#: Names that roles go by in foreign layouts; a row of a table of turns is taken at its word.
 ALIASES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "chatgpt": "assistant"}
 
 # ------------------------------------------------------------ schemas and mappings
@@ -74,8 +75,8 @@ def mapping(record) -> dict | None:
         if len(_MAPPINGS) >= 10_000:
             _MAPPINGS.clear()
         names = {p.rsplit(":", 1)[0] for p in own}
-        found = None
-        for path, role, text in LISTS:
+        found = {"row": True} if names == {".role", ".text"} else None
+        for path, role, text in LISTS if found is None else ():
             if f".{path}[].{role}" in names and f".{path}[].{text}" in names or f".{path}[]" in own:
                 found = {"list": path, "role": role, "text": text}
                 break
@@ -92,6 +93,8 @@ def canonical(record) -> list[tuple[str, str]] | None:
     """The turns (role, text) of a record in any known layout; None if its layout isn't known."""
     if not isinstance(record, dict) or (how := mapping(record)) is None:
         return None
+    if "row" in how:
+        return [tuple("" if record[f] is None else str(record[f]) for f in ("role", "text"))]
     if "list" in how:
         turns = [(m.get(how["role"]), m.get(how["text"])) for m in record[how["list"]]]
         return [(ALIASES.get(str(r).lower(), str(r)) if r is not None else "", "" if t is None else str(t)) for r, t in turns]
@@ -183,15 +186,15 @@ def format_records(df: DataFrame, column: str = "record") -> DataFrame:
 def segments(rows: DataFrame) -> DataFrame:
     """(conv_id, turn, role, text, formatted) of every row of a conversation.
 
-    Each row is a message of a record {"messages": [...]}; formatting it alone gives the same text
-    as formatting the whole record, so a conversation of any length is never gathered.
+    Each row is a record of its own layout; a conversation's text is that of its turns one after the
+    other, so a conversation of any length is never gathered.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
             for role, text in zip(frame["role"], frame["text"], strict=True):
-                out.append("".join(format_turn(*t) for t in canonical({"messages": [{"role": role, "text": text}]})))
+                out.append("".join(format_turn(*t) for t in canonical({"role": role, "text": text})))
             yield frame.assign(formatted=out)[["conv_id", "turn", "role", "text", "formatted"]]
 
     kind = rows.schema["conv_id"].dataType.simpleString()
@@ -242,6 +245,33 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(segments(rows.unionByName(more)))
 
 
+def layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(conv_id, turn, layout, n, formatted_sha256, loss_chars) of every row written as a record of one of five foreign layouts."""
+    rows = table(spark, sf_dir, "conversations", ("conv_id", "turn", "role", "text"))
+    role, text = F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
+    by = F.when(role == "user", "human").when(role == "assistant", "gpt").otherwise(role)
+    said = lambda r, t, a, b: F.array(F.struct(r.alias(a), t.alias(b)))
+    kinds = [
+        F.to_json(F.struct(said(role, text, "role", "content").alias("messages"))),
+        F.to_json(F.struct(said(by, text, "from", "value").alias("conversations"))),
+        F.to_json(F.struct(said(role, text, "speaker", "text").alias("dialog"), F.lit(1).alias("version"))),
+        F.to_json(F.struct(text.alias("prompt"), text.alias("response"))),
+        F.to_json(F.struct(text.alias("instruction"), F.lit("").alias("input"), text.alias("output"))),
+    ]
+    layout = F.pmod(F.coalesce("conv_id", F.lit(0)) + F.coalesce("turn", F.lit(0)), F.lit(len(kinds))).cast("int")
+    records = rows.select("conv_id", "turn", layout.alias("layout"), F.get(F.array(*kinds), layout).alias("record"))
+    got = format_records(records)
+    loss = F.aggregate("mask", F.lit(0), lambda n, m: n + m["end"] - m["start"]).cast("long")
+    return got.select("conv_id", "turn", "layout", F.sha2("formatted", 256).alias("formatted_sha256"), loss.alias("loss_chars"))
+
+
+#: The same in SQL: the template over each row's text, and of flat records the question before the answer.
+LAYOUTS_SQL = r"""WITH said AS (SELECT conv_id, turn, CAST((((coalesce(conv_id, 0) + coalesce(turn, 0)) % 5) + 5) % 5 AS INTEGER) AS layout, coalesce(role, '') AS role,
+  replace(replace(coalesce(text, ''), '', '\'), '</turn>', '\</turn>') AS t FROM conversations),
+named AS (SELECT *, CASE role WHEN 'system' THEN 'System' WHEN 'user' THEN 'User' WHEN 'assistant' THEN 'Assistant' ELSE '=' || replace(replace(replace(role, '', '\'), '</turn>', '\</turn>'), ': ', '\: ') END AS name FROM said)
+SELECT conv_id, turn, layout, sha256(CASE WHEN layout < 3 THEN '\### ' || name || ': ' || t || '</turn>' ELSE '\### User: ' || t || '</turn>\### Assistant: ' || t || '</turn>' END) AS formatted_sha256,
+  CAST(CASE WHEN layout >= 3 OR role = 'assistant' THEN length(t) ELSE 0 END AS BIGINT) AS loss_chars FROM named"""
+
 #: The query in SQL.
 SQL = r"""WITH said AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

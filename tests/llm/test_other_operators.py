@@ -407,3 +407,11 @@ def test_pipeline_on_odd_and_empty_tables(spark, small, empty):
             for r in docs.collect():
                 assert folder == empty or all(r[c] == f"{c} of {r['doc_id']}" for c in docs.columns[4:]), name
         assert corpus_pipeline.run(spark, folder).count() == docs.count()
+
+
+def test_rows_keep_their_roles(spark):
+    """Names that other layouts use for roles are roles of their own in a table of turns."""
+    rows = [(1, 0, "human", "q"), (1, 1, "bot", "a"), (1, 2, "assistant", "b"), (2, 0, "User", "x"), (3, None, None, None)]
+    got = {r["conv_id"]: r for r in chat.read_back(chat.segments(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()}
+    assert got[1]["loss_chars"] == 1 and got[1]["turns_sha256"] == hashlib.sha256(b"human\nq\nbot\na\nassistant\nb\n").hexdigest()
+    assert got[2]["turns_sha256"] == hashlib.sha256(b"User\nx\n").hexdigest() and got[3]["turns_sha256"] == hashlib.sha256(b"\n\n").hexdigest()

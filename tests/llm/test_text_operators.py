@@ -1,6 +1,7 @@
 """Personal data, fingerprints, near duplicates, quality, encoding and mixing against plain restatements."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
@@ -102,6 +103,21 @@ def test_context_discovers_spaced_forms(spark):
     assert got == {100: "phone:18:30", 101: "phone:18:32", 102: "card:18:37", 103: ""}
 
 
+def test_many_spans_in_one_long_text(spark):
+    """Two thousand identifiers of all kinds in 60 KB, with blocks of text cut anywhere: found and replaced as by plain code."""
+    rng = random.Random(2)
+    words = [rng.choice(["+1 (212) 555-%04d" % rng.randrange(10**4), f"a{i}@b.example", "10.0.0.%d" % rng.randrange(300), "%08d é" % rng.randrange(10**8), "plain text"]) for i in range(3000)]
+    df = spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string")
+    got = pii.find(df).select("*", pii._written("base").alias("b")).first()
+    assert got["b"] == base_spans(df.first()["text"]) and len(got["base"]) > 1000
+    text, at, out = df.first()["text"], 0, []
+    for s in got["spans"]:
+        if s["start"] >= at:
+            out += [text[at : s["start"]], f"<{pii.KINDS[s['kind']].upper()}>"]
+        at = max(at, s["end"])
+    assert pii.stage(spark, df, "").first()["text"] == "".join(out) + text[at:]
+
+
 def test_redaction(spark, small):
     df = spark.read.parquet(f"{small}/documents.parquet").withColumn("n_chars", F.lit(0).cast("long"))
     out = {r["doc_id"]: r for r in pii.stage(spark, df, small).where("doc_id is not null").collect()}
@@ -269,6 +285,55 @@ def test_quality_separates_held_out(spark):
     assert all((got[i] >= quality.THRESHOLD) == bool(y) for i, _, y in rows if i in held)
 
 
+def test_quality_takes_one_text_for_each_labelled_id(spark, tmp_path):
+    """An id that thirty thousand rows share gives one text, whatever their order."""
+    rows = [(1, f"good words number {i % 7}", 1) for i in range(3000)] + [(3, "bad bad", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, y int")
+    labels = docs.select("doc_id", F.col("y").alias("quality"))
+    got = quality.sample(docs, labels.distinct())[0].collect()
+    assert sorted(r["doc_id"] for r in got) == [1, 3]
+    assert got == quality.sample(docs.orderBy(F.desc("text")), labels.distinct())[0].collect()
+
+
+def test_quality_query_against_a_plain_restatement(spark, smallest):
+    """Every score of the whole table: same rows, dictionaries by the library, sizes piece by piece, a plain fit."""
+    import zstandard
+
+    docs = {r["doc_id"]: (r["text"] or "").encode() for r in rows_of(spark, smallest)}
+    fold = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    y = {r["doc_id"]: r["quality"] for r in rows_of(spark, smallest, "labels") if r["quality"] in (0, 1) and not fold(r["doc_id"])}
+    used = sorted((y[i], str(i), docs[i]) for i in y if docs.get(i))  # fewer than the bound at this size
+    cut = lambda t: [t[a * 512 : (a + 1) * 512] for a in sorted({-(-len(t) // 512) * k // 16 for k in range(16)})]
+    made = []
+    for label in (1, 0):
+        pieces = [(i, p) for lab, i, t in used if lab == label for p in cut(t)]
+        made.append(zstandard.train_dictionary(49_152, [p for _, p in sorted(pieces)]).as_bytes())
+
+    def size(piece, content):
+        kind = zstandard.ZstdCompressionDict(content)
+        return len(zstandard.ZstdCompressor(level=3, dict_data=kind, write_content_size=False, write_checksum=False, write_dict_id=False).compress(piece))
+
+    def differences(t):
+        g, b = (sum(size(t[a : a + 512], d) for a in range(0, len(t), 512)) for d in made)
+        return ((b - g) / (b + g), (b - g) / len(t)) if t else (0.0, 0.0)
+
+    x = np.array([differences(t) for _, _, t in used])
+    label = np.array([lab for lab, _, _ in used], float)
+    mean, scale = x.mean(axis=0), x.std(axis=0)
+    z = lambda v: (lambda a, b: np.column_stack([a * 0 + 1, a, b, a * a, a * b, b * b]))(*np.clip((v - mean) / scale, -6, 6).T)
+    design, w = z(x), np.where(label == 1, sum(v == 1 for v in y.values()) / (label == 1).sum(), sum(v == 0 for v in y.values()) / (label == 0).sum())
+    beta = np.zeros(6)
+    for _ in range(200):  # Newton steps, each halved
+        p = 1 / (1 + np.exp(-design @ beta))
+        ridge = quality.RIDGE * w.sum() / 100
+        beta -= 0.5 * np.linalg.solve((design * (w * p * (1 - p))[:, None]).T @ design + ridge * np.eye(6), design.T @ (w * (p - label)) + ridge * beta)
+    got = {r["doc_id"]: r for r in quality.query(spark, smallest).collect()}
+    assert set(got) == set(docs)
+    for i, t in docs.items():
+        want = float(1 / (1 + np.exp(-np.clip(z(np.array([differences(t)])) @ beta, -35, 35)))[0])
+        assert got[i]["score"] == pytest.approx(want, abs=1e-3) and got[i]["held_out"] == fold(i) and got[i]["predicted"] == (got[i]["score"] >= 0.7)
+
+
 def test_quality_without_contrast(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
     none = quality.fit(docs, spark.createDataFrame([], "doc_id long, quality int"))
