@@ -8,6 +8,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lodestone.functions import similarity as S
 from lodestone.functions import text as X
@@ -27,6 +28,7 @@ def literal_matches(passages: DataFrame, texts: DataFrame, passage_id: str, text
     total = p.agg(F.coalesce(F.sum(F.char_length("s")), F.lit(0))).first()[0]
     blocks = max(1, -(-total // BLOCK_CHARS))
     p_type, t_type = passages.schema[passage_id].dataType.simpleString(), texts.schema[text_id].dataType.simpleString()
+    kinds = [to_arrow_type(passages.schema[passage_id].dataType), to_arrow_type(texts.schema[text_id].dataType), pa.float64()]
     normal = texts.select(F.col(text_id).alias("t"), X.normalized(F.col(text)).alias("s")).where("s <> ''")
 
     def search(rows: list[tuple]):
@@ -46,7 +48,7 @@ def literal_matches(passages: DataFrame, texts: DataFrame, passage_id: str, text
                     if len(s) < longest and s in whole:
                         held |= {x for x in ids if s in x}
                     out += [(i, t, 1.0 if x == s else S.CONTAINED) for x in held for i in ids[x]]
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in ((0, pa.int64()), (1, pa.int64()), (2, pa.float64()))], names=["p", "t", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names=["p", "t", "score"])
 
         return run
 

@@ -1,14 +1,19 @@
 """Keyed tables as snapshots: create, insert, upsert, update and delete by writing a new version.
 
-A table is a folder of versions and a pointer to the current one. A change writes the next version
-whole and then moves the pointer, so readers see the old or the new one, and a failed write leaves
-the old. Paths go through Hadoop's file system, so any store that Spark reads will do.
+A table is a folder of snapshots and a list of versions, one small file for each, that names the
+snapshot. A change writes a snapshot under a name of its own and then adds the next version to the
+list by a rename that never replaces a file. So readers see the old version or the new one, a failed
+write leaves the old, nothing is ever overwritten, and of two writers that began at the same version
+the second one fails. Paths go through Hadoop's file system, so any store that Spark reads will do;
+the store's rename has to be atomic.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -90,60 +95,83 @@ class Catalog:
         p = jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
-    def _pointer(self, name: str) -> str:
-        return f"{self.root}/{name}/_CURRENT"
+    def _listed(self, name: str) -> str:
+        return f"{self.root}/{name}/_versions"
 
     def version(self, name: str) -> int:
         """The current version of a table; 0 before it is created."""
-        fs, path = self._fs(self._pointer(name))
+        fs, path = self._fs(self._listed(name))
         if not fs.exists(path):
             return 0
+        names = [f.getPath().getName() for f in fs.listStatus(path)]
+        return max((int(n) for n in names if n.isdigit()), default=0)
+
+    def snapshot(self, name: str, version: int) -> str:
+        """The folder of a version's rows."""
+        fs, path = self._fs(f"{self._listed(name)}/{version}")
         stream = fs.open(path)
         try:
-            return int(bytes(stream.readAllBytes()).decode())
+            return f"{self.root}/{name}/{bytes(stream.readAllBytes()).decode()}"
         finally:
             stream.close()
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{name}/v={self.version(name)}")
-
-    def commit(self, name: str, df: DataFrame, partition_by: Sequence[str] = ()) -> int:
-        """Write a new version and make it the current one."""
-        to = self.version(name) + 1
-        writer = df.write.mode("overwrite")  # what a failed write of the same version left
-        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{self.root}/{name}/v={to}")
-        fs, path = self._fs(self._pointer(name))
-        _, fresh = self._fs(f"{self._pointer(name)}.{to}")
-        out = fs.create(fresh, True)
-        out.write(bytearray(str(to).encode()))
+        return self.spark.read.parquet(self.snapshot(name, self.version(name)))
+
+    def commit(self, name: str, df: DataFrame, partition_by: Sequence[str] = (), base: int | None = None) -> int:
+        """Write a snapshot and list it as the version after base, the current one if base isn't given.
+
+        OSError, and no change, if there is a version after base already.
+        """
+        base = self.version(name) if base is None else base
+        folder = f"v={base + 1}-{uuid.uuid4().hex}"
+        (df.write.partitionBy(*partition_by) if partition_by else df.write).parquet(f"{self.root}/{name}/{folder}")
+        self._list(name, base + 1, folder)
+        return base + 1
+
+    def _list(self, name: str, version: int, folder: str) -> None:
+        jvm, gateway = self.spark.sparkContext._jvm, self.spark.sparkContext._gateway
+        fs, fresh = self._fs(f"{self._listed(name)}/_new-{uuid.uuid4().hex}")
+        out = fs.create(fresh, False)
+        out.write(bytearray(folder.encode()))
         out.close()
-        if fs.exists(path):
-            fs.delete(path, False)
-        if not fs.rename(fresh, path):
-            raise OSError(f"{name}: the pointer could not be moved to version {to}")
-        return to
+        _, path = self._fs(f"{self._listed(name)}/{version}")
+        hadoop = jvm.org.apache.hadoop.fs
+        context = hadoop.FileContext.getFileContext(fs.makeQualified(path).toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        try:
+            context.rename(fs.makeQualified(fresh), fs.makeQualified(path), gateway.new_array(getattr(hadoop, "Options$Rename"), 0))
+        except Py4JJavaError as e:
+            fs.delete(fresh, False)
+            raise OSError(f"{name}: version {version} is already there; read again and repeat the change") from e
 
     def create(self, name: str, schema: T.StructType) -> None:
         """An empty table, unless it exists."""
         if self.version(name) == 0:
             self.commit(name, self.spark.createDataFrame([], schema))
 
+    def _current(self, name: str) -> tuple[int, DataFrame]:
+        at = self.version(name)
+        return at, self.spark.read.parquet(self.snapshot(name, at))
+
     def upsert(self, name: str, batch: DataFrame, **how) -> int:
-        return self.commit(name, upserted(self.read(name), batch, **how))
+        at, current = self._current(name)
+        return self.commit(name, upserted(current, batch, **how), base=at)
 
     def insert(self, name: str, rows: DataFrame, unique: Sequence[str] = ()) -> int:
         """Append rows; ValueError, and no change, if one of them clashes in a unique column."""
-        new, clashing = inserted(self.read(name), rows, unique)
+        at, current = self._current(name)
+        new, clashing = inserted(current, rows, unique)
         if unique and not clashing.isEmpty():
             raise ValueError(f"{name}: already there: {', '.join(unique)}")
-        return self.commit(name, new)
+        return self.commit(name, new, base=at)
 
     def update(self, name: str, where: Column, **values: Column) -> int:
-        return self.commit(name, updated(self.read(name), where, **values))
+        at, current = self._current(name)
+        return self.commit(name, updated(current, where, **values), base=at)
 
     def delete(self, name: str, ids: DataFrame, key: str = "id") -> int:
         """Remove rows and say how many there were."""
-        current = self.read(name)
+        at, current = self._current(name)
         n = hits(current, ids, key)
-        self.commit(name, deleted(current, ids, key))
+        self.commit(name, deleted(current, ids, key), base=at)
         return n

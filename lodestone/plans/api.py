@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone import schema
@@ -41,7 +42,10 @@ class Engine:
         The text is embedded as extracted; what is stored has its class boilerplate dropped.
         """
         found = extract.records(words, start_page)
-        rows = found.withColumn("seq", F.xxhash64("doc_id").bitwiseAND(F.lit(0xFFFF)) * F.lit(2**40) + F.col("page").cast("long") * F.lit(2**20) + F.col("class_y").cast("long"))
+        # Keys alone are numbered in one order, so that ids of new rows are dense and never meet.
+        place = ["doc_id", "page", "class_y"]
+        numbers = found.select(*place).distinct().withColumn("seq", F.row_number().over(W.orderBy(*place)).cast("long"))
+        rows = found.join(numbers, place)
         rows = rows.withColumn("text_embedding", E.text_embedding(X.combined(F.col("trademark_name"), F.col("description")))).withColumn("description", X.scrubbed(F.col("description")))
         filled = {"category": F.lit(category), "batch_number": F.lit(batch), "batch_year": F.lit(year), "is_split": F.lit(False), "created_at": F.current_timestamp()}
         for field in schema.MARKS:

@@ -278,3 +278,38 @@ def test_tiers_and_labels(spark):
     assert [tuple(r) for r in df.select(S.tier(F.col("i"), F.col("t")), S.has_badge(F.col("i"), F.col("t"))).collect()] == [("low", False), ("high", False), ("high", True)]
     r = spark.range(1).select(X.normalized(X.normalized(F.lit("a-B c9é"))), X.file_safe(F.lit('a\\/*?:"<>|b')), X.or_na(F.lit("")), A.progress(F.lit(2), F.lit(3))).first()
     assert tuple(r) == ("ABC9", "ab", "N/A", 66)
+
+
+def test_commit_survives_a_crash_at_every_step(spark, tmp_path, monkeypatch):
+    """Whatever step fails, the old version stays, creating again changes nothing, and the next commit works."""
+    from pyspark.sql import readwriter
+
+    catalog = dml.Catalog(spark, str(tmp_path / "crash"))
+    schema = "id long, name string"
+    one, two = (spark.createDataFrame([(i, str(i))], schema) for i in (1, 2))
+    catalog.create("t", one.schema)
+    catalog.commit("t", one)
+
+    def fail(*_, **__):
+        raise RuntimeError("killed")
+
+    steps = [(readwriter.DataFrameWriter, "parquet"), (dml.Catalog, "_list")]
+    for owner, step in steps:
+        with monkeypatch.context() as m:
+            m.setattr(owner, step, fail)
+            with pytest.raises(RuntimeError):
+                catalog.commit("t", two)
+        catalog.create("t", one.schema)
+        assert [r["id"] for r in catalog.read("t").collect()] == [1]
+    at = catalog.version("t")
+    assert catalog.commit("t", two, base=at) == at + 1
+    with pytest.raises(OSError):
+        catalog.commit("t", one, base=at)  # a second writer that began at the same version
+    assert [r["id"] for r in dml.Catalog(spark, str(tmp_path / "crash")).read("t").collect()] == [2]
+
+
+def test_containment_of_any_kind_of_id(spark):
+    passages = spark.createDataFrame([("p1", "some words"), ("p2", "other")], "pid string, text string")
+    texts = spark.createDataFrame([("t1", "here are some words"), ("t2", "Other")], "tid string, text string")
+    got = {(r["pid"], r["tid"]) for r in contain.literal_matches(passages, texts, "pid", "tid").collect()}
+    assert got == {("p1", "t1"), ("p2", "t2")}
