@@ -76,7 +76,3 @@ def nearest_each(queries: DataFrame, corpus: DataFrame, k: int, qid: str = "qid"
 def usable(corpus: DataFrame, vector: str) -> DataFrame:
     """Rows whose vector is there and not all zero."""
     return corpus.where(F.col(vector).isNotNull() & V.is_nonzero(F.col(vector)))
-
-
-def or_zeros(vector: Column, n: int) -> Column:
-    return V.or_zeros(vector, n)

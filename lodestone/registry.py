@@ -6,6 +6,7 @@ embeddings for logos, conversations for lines, events for feeds in time.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +22,7 @@ from lodestone.operators import aggregates as A
 from lodestone.operators import contain, dml, extract, search, segment
 from lodestone.operators import joins as J
 from lodestone.operators import knn as K
+from lodestone.plans import api
 from lodestone.plans import compare as C
 from lodestone.sources import readers, writers
 
@@ -209,14 +211,15 @@ def class_filter_exact(spark, sf_dir):
     return search.search(_marks(spark, sf_dir), class_filter="9", exact_class=True).select("id", "class_indices")
 
 
-@_query(f"SELECT id, trademark_name FROM {_MARKS} WHERE trademark_name ILIKE '%ring%' AND class_indices ILIKE '%1%' AND batch_number = '3' AND batch_year = '2025'")
+@_query(f"SELECT id, trademark_name FROM {_MARKS} WHERE (serial_number ILIKE '%ring%' OR trademark_name ILIKE '%ring%' OR applicant_name ILIKE '%ring%' OR description ILIKE '%ring%') AND class_indices ILIKE '%1%' AND batch_number = '3' AND batch_year = '2025'")
 def dynamic_predicates(spark, sf_dir):
-    return search.search(_marks(spark, sf_dir).drop("applicant_name").withColumn("applicant_name", F.lit("")).withColumn("description", F.lit("")), "ring", "1", batch="3", year="2025").select("id", "trademark_name")
+    return search.search(_marks(spark, sf_dir), "ring", "1", batch="3", year="2025").select("id", "trademark_name")
 
 
-@_query("SELECT o_orderkey, o_orderdate, o_totalprice FROM orders WHERE o_orderpriority = '1-URGENT'")
+@_query("SELECT o_orderkey AS id, o_orderdate, o_totalprice, o_orderstatus = 'F' AS has_logo FROM orders")
 def listing_recent(spark, sf_dir):
-    return _t(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select("o_orderkey", "o_orderdate", "o_totalprice").orderBy(F.desc("o_orderkey"))
+    flagged = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), "o_orderdate", "o_totalprice", F.when(F.col("o_orderstatus") == "F", F.lit("x").cast("binary")).alias("logo_data"))
+    return search.listed(flagged, "o_orderdate", "o_totalprice")
 
 
 @_query("""SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'file-' || o_orderkey || '.pdf' WHEN o_orderkey % 3 = 0 THEN o_orderstatus || '/2025.pdf' WHEN o_orderkey % 2 = 0 THEN o_orderpriority ELSE 'id-' || o_orderkey END AS display_name FROM orders""")
@@ -226,10 +229,11 @@ def listing_display_name(spark, sf_dir):
     return _t(spark, sf_dir, "orders").select("o_orderkey", X.display_label(file, batch, F.lit("2025"), serial, k).alias("display_name"))
 
 
-@_query("SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN c_acctbal END AS uploaded, row_number() OVER (ORDER BY CASE WHEN c_acctbal > 0 THEN c_acctbal END DESC NULLS FIRST, c_custkey DESC) AS place FROM customer QUALIFY place <= 200")
+@_query("SELECT c_custkey AS id, c_name AS applicant_name, CASE WHEN c_acctbal > 0 THEN c_acctbal END AS upload_date FROM customer WHERE c_name ILIKE '%7%' OR c_mktsegment ILIKE '%7%' ORDER BY upload_date DESC NULLS FIRST, c_custkey DESC")
 def listing_nulls_first(spark, sf_dir):
-    top = listing_clients(spark, sf_dir).limit(200)
-    return top.withColumn("place", F.row_number().over(W.orderBy(F.desc_nulls_first("uploaded"), F.desc("c_custkey"))).cast("long"))
+    uploaded = F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")).alias("upload_date")
+    c = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("applicant_name"), F.col("c_mktsegment").alias("description"), uploaded)
+    return search.search_clients(c, "7").select("id", "applicant_name", "upload_date")
 
 
 @_query("SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN c_acctbal END AS uploaded FROM customer ORDER BY uploaded DESC NULLS FIRST, c_custkey DESC")
@@ -355,21 +359,62 @@ def delete_antijoin(spark, sf_dir):
     return dml.deleted(_t(spark, sf_dir, "orders"), gone, "o_custkey")
 
 
-@_query("SELECT c_custkey, c_name FROM customer WHERE c_name = 'Customer#000000042'")
+@_query("SELECT c_name FROM customer WHERE c_custkey = 42")
 def point_lookup(spark, sf_dir):
-    return _t(spark, sf_dir, "customer", "c_custkey", "c_name").where(F.col("c_name") == "Customer#000000042")
+    return search.blob(_t(spark, sf_dir, "customer", "c_custkey", "c_name"), 42, "c_name", "c_custkey")
+
 
+def _engine(spark) -> api.Engine:
+    """An engine over a new catalog in the folder that executors share."""
+    shared = spark.conf.get("spark.checkpoint.dir", "") or spark.conf.get("spark.sql.warehouse.dir")
+    return api.Engine(dml.Catalog(spark, f"{shared}/catalog-{uuid.uuid4().hex}"))
 
-@_query("SELECT n_nationkey, n_name, row_number() OVER (ORDER BY n_nationkey) AS place FROM nation")
+
+@_query("SELECT n_nationkey AS id, n_name AS username, lower(n_name) || '@example.org' AS email, CASE n_nationkey WHEN 3 THEN 'editor' ELSE 'user' END AS role FROM nation WHERE n_nationkey <> 5 ORDER BY id")
 def listing_ascending(spark, sf_dir):
-    n = _t(spark, sf_dir, "nation", "n_nationkey", "n_name").orderBy("n_nationkey")
-    return n.withColumn("place", F.row_number().over(W.orderBy("n_nationkey")).cast("long"))
+    """Users of a catalog after an insert, an update and a delete."""
+    e, n = _engine(spark), F.col("n_name")
+    users = _t(spark, sf_dir, "nation").select(
+        F.col("n_nationkey").cast("long").alias("id"), n.alias("username"), F.concat(F.lower(n), F.lit("@example.org")).alias("email"), F.lit("x").alias("password_hash"),
+        F.lit("user").alias("role"), F.lit(True).alias("is_temporary_password"), F.lit(None).cast("timestamp").alias("created_at"),
+    )
+    e.add_user(users)
+    e.set_role(3, "editor")
+    e.set_password(4, "y")
+    e.delete_user(5)
+    return e.users()
+
+
+@_query("SELECT n_nationkey AS id, 'user' AS role, TRUE AS is_temporary_password FROM nation WHERE n_name = 'CANADA'")
+def user_by_email(spark, sf_dir):
+    e = _engine(spark)
+    n = F.col("n_name")
+    e.add_user(_t(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("id"), n.alias("username"), F.concat(F.lower(n), F.lit("@example.org")).alias("email"), F.lit("x").alias("password_hash"), F.lit("user").alias("role"), F.lit(True).alias("is_temporary_password"), F.lit(None).cast("timestamp").alias("created_at")))
+    return e.user_by_email("canada@example.org").select("id", "role", "is_temporary_password")
+
+
+@_query("SELECT CAST(o_custkey AS BIGINT) AS o_custkey, string_agg(o_orderkey, ',' ORDER BY rank) FILTER (rank <= 3) AS matches, string_agg(o_orderkey, ',' ORDER BY rank) AS all_matches FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders) WHERE rank <= 20 GROUP BY o_custkey")
+def topk_arrays(spark, sf_dir):
+    top = A.top_of_each(_t(spark, sf_dir, "orders", "o_custkey", "o_orderkey", "o_totalprice"), ["o_custkey"], [F.desc("o_totalprice"), F.col("o_orderkey")], 20)
+    packed = A.as_arrays(top, ["o_custkey"], ["o_orderkey"], 3)
+    keys = lambda c: F.array_join(F.transform(c, lambda x: x["o_orderkey"].cast("string")), ",").alias(c)
+    return packed.select(F.col("o_custkey").cast("long").alias("o_custkey"), keys("matches"), keys("all_matches"))
+
+
+@_query("SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN p_name END AS name FROM part")
+def translated_names(spark, sf_dir):
+    n, k = F.col("p_name"), F.col("p_partkey") % 4
+    line = F.when(k == 0, F.concat(F.lit('Mark translation: "'), n, F.lit('".'))).when(k == 1, F.concat(F.lit("Mark transliteration: "), n, F.lit(" The mark is limited."))).when(k == 2, F.concat(F.lit('Mark: "'), n, F.lit('"')))
+    return _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), X.translated_name(line).alias("name"))
 
 
 @_query("SELECT count(*) AS deleted FROM supplier WHERE s_suppkey IN (1, 2, 3)")
 def delete_count(spark, sf_dir):
+    """How many rows a catalog's delete says that it removed."""
+    catalog = dml.Catalog(spark, _engine(spark).catalog.root)
+    catalog.commit("suppliers", _t(spark, sf_dir, "supplier", "s_suppkey"))
     ids = spark.createDataFrame([(1,), (2,), (3,), (-5,)], "s_suppkey long")
-    return _t(spark, sf_dir, "supplier", "s_suppkey").join(ids, "s_suppkey", "left_semi").agg(F.count("*").alias("deleted"))
+    return spark.range(1).select(F.lit(catalog.delete("suppliers", ids, "s_suppkey")).cast("long").alias("deleted"))
 
 
 @_query("SELECT c_custkey, c_name, CASE WHEN c_custkey = 7 THEN 'editor' ELSE c_mktsegment END AS c_mktsegment FROM customer")
@@ -406,14 +451,8 @@ def _contained(spark, sf_dir, customers):
     return J.inside(items, boxes, ["page"]).select("o_orderkey", "c_custkey")
 
 
-@_query("SELECT o.o_orderkey, c.c_custkey FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey WHERE o.o_totalprice >= c.c_acctbal * 10 AND o.o_totalprice <= c.c_acctbal * 40 AND c.c_nationkey <= 20")
-def range_containment(spark, sf_dir):
-    return _contained(spark, sf_dir, _t(spark, sf_dir, "customer", "c_custkey", "c_acctbal", "c_nationkey").where("c_nationkey <= 20"))
-
-
 @_query("SELECT o.o_orderkey, c.c_custkey FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey WHERE o.o_totalprice >= c.c_acctbal * 10 AND o.o_totalprice <= c.c_acctbal * 40")
-def range_containment_all(spark, sf_dir):
-    """The join over the whole customer table."""
+def range_containment(spark, sf_dir):
     return _contained(spark, sf_dir, _t(spark, sf_dir, "customer", "c_custkey", "c_acctbal"))
 
 
@@ -502,12 +541,14 @@ def text_functions(spark, sf_dir):
     return _t(spark, sf_dir, "part").select("p_partkey", X.normalized(n).alias("normalized"), X.without_spaces(n).alias("spaceless"), X.combined(n, F.col("p_type")).alias("combined"), X.file_safe(F.concat(n, F.lit("?*"))).alias("file_safe"), X.is_upper(F.col("p_type")).alias("is_upper"), X.embeddable(odd).alias("embeddable"))
 
 
-@_query("""SELECT c_custkey, CASE WHEN n <= 2 THEN 'weak' WHEN n <= 4 THEN 'medium' ELSE 'strong' END AS strength, FALSE AS is_email, c_custkey < 100 AS batch_ok FROM (
+@_query("""SELECT c_custkey, CASE WHEN n <= 2 THEN 'weak' WHEN n <= 4 THEN 'medium' ELSE 'strong' END AS strength, c_custkey % 2 = 0 AS is_email, c_custkey < 100 AS batch_ok, c_custkey % 60 + 2000 <= year(current_date) AND c_custkey % 7 > 0 AS year_ok FROM (
   SELECT c_custkey, (length(p) >= 8)::INT + regexp_matches(p, '[A-Z]')::INT + regexp_matches(p, '[a-z]')::INT + regexp_matches(p, '[0-9]')::INT + regexp_matches(p, '[!@#$%^&*(),.?":{}|<>]')::INT AS n FROM (SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN c_name WHEN 1 THEN lower(c_mktsegment) ELSE c_mktsegment || '#a1' END AS p FROM customer))""")
 def validation(spark, sf_dir):
     k = F.col("c_custkey")
     p = F.when(k % 3 == 0, F.col("c_name")).when(k % 3 == 1, F.lower("c_mktsegment")).otherwise(F.concat("c_mktsegment", F.lit("#a1")))
-    return _t(spark, sf_dir, "customer").select("c_custkey", X.password_strength(p).alias("strength"), X.is_email(F.col("c_name")).alias("is_email"), X.batch_is_valid(k.cast("string")).alias("batch_ok"))
+    mail = F.when(k % 2 == 0, F.concat("c_name", F.lit("@example.org"))).when(k % 3 == 0, F.concat("c_name", F.lit("@example"))).otherwise(F.col("c_name"))
+    year = F.concat(F.when(k % 7 == 0, "x").otherwise(""), (k % 60 + 2000).cast("string"))
+    return _t(spark, sf_dir, "customer").select("c_custkey", X.password_strength(p).alias("strength"), X.is_email(mail).alias("is_email"), X.batch_is_valid(k.cast("string")).alias("batch_ok"), X.year_is_valid(year).alias("year_ok"))
 
 
 @_query("SELECT trim(split_part(line, ';', 1)) AS owner, trim(substr(line, strpos(line, ';') + 1)) AS address, id FROM (SELECT p_partkey AS id, p_brand || ' SDN ; ' || p_type || '; ' || p_size AS line FROM part)")
