@@ -303,7 +303,7 @@ def sequence_ratio(spark, sf_dir):
 def vector_units(spark, sf_dir):
     e = K.usable(_t(spark, sf_dir, "embeddings", "vec_id", "embedding"), "embedding")
     u = V.unit(F.col("embedding"))
-    return e.select("vec_id", F.round(V.norm(F.col("embedding")), 6).alias("norm"), F.round(V.dot(u, u), 6).alias("unit_norm"), V.is_nonzero(K.or_zeros(F.col("embedding"), 64)).alias("nonzero"))
+    return e.select("vec_id", F.round(V.norm(F.col("embedding")), 6).alias("norm"), F.round(V.dot(u, u), 6).alias("unit_norm"), V.is_nonzero(V.or_zeros(F.col("embedding"), 64)).alias("nonzero"))
 
 
 @_query()
