@@ -19,6 +19,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -57,7 +58,7 @@ _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", r
 
 @dataclass
 class Leaf:
-    """A leaf block: its text with white space as single spaces, its open tags and cues, and what share of it is links."""
+    """A leaf block: its text with white space as single spaces, its open block tags and links, cues, and what share of it is links."""
 
     text: str
     tags: tuple[str, ...]
@@ -68,7 +69,9 @@ class Leaf:
 def leaves(page: str) -> list[Leaf]:
     """The leaf blocks of a page in order."""
     out: list[Leaf] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    # Each open element with the tags and cues of itself and all around it, so a leaf needn't walk up.
+    stack: list[tuple[str, tuple[str, ...], tuple[str, ...]]] = []
+    open_: Counter[str] = Counter()
     hidden = links = 0
     text: list[str] = []
     in_links = 0
@@ -85,7 +88,8 @@ def leaves(page: str) -> list[Leaf]:
 
     def pop(n):
         nonlocal hidden, links
-        for name, _ in stack[n:]:
+        for name, _, _ in stack[n:]:
+            open_[name] -= 1
             hidden -= name in HIDDEN_TAGS
             links -= name == "a"
         del stack[n:]
@@ -99,7 +103,7 @@ def leaves(page: str) -> list[Leaf]:
             if page[m.start()] != "<" or m.end() - m.start() == 1:
                 if not hidden:
                     if state is None and not m.group().isspace():
-                        state = tuple(dict.fromkeys(n for n, _ in stack)), tuple(dict.fromkeys(c for _, cs in stack for c in cs))
+                        state = stack[-1][1:] if stack else ((), ())
                     text.append(m.group())
                     in_links += len(m.group()) if links else 0
             continue
@@ -107,7 +111,7 @@ def leaves(page: str) -> list[Leaf]:
         if m.group(1):
             if name in BLOCK_TAGS or name in HIDDEN_TAGS:
                 flush()
-            for i in range(len(stack) - 1, -1, -1):
+            for i in range(len(stack) - 1, -1, -1) if open_[name] else ():
                 if stack[i][0] == name:
                     pop(i)
                     break
@@ -122,7 +126,7 @@ def leaves(page: str) -> list[Leaf]:
             flush()
         elif name == "br":
             text.append(" ")
-        if name in _CLOSES:
+        if name in _CLOSES and any(open_[x] for x in _CLOSES[name]):
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] in _CLOSES[name]:
                     pop(i)
@@ -135,7 +139,13 @@ def leaves(page: str) -> list[Leaf]:
             if attributes:
                 words = {w for v in _NAMES.findall(attributes) for w in re.findall("[a-z]+", v.lower())}
                 cues = tuple(sorted(words & CUES))
-            stack.append((name, cues))
+            tags, around = stack[-1][1:] if stack else ((), ())
+            if (name in BLOCK_TAGS or name == "a") and name not in tags:
+                tags = (*tags, name)
+            if new := [c for c in cues if c not in around]:
+                around = (*around, *new)
+            stack.append((name, tags, around))
+            open_[name] += 1
             hidden += name in HIDDEN_TAGS
             links += name == "a"
     flush()
@@ -206,7 +216,7 @@ def labelled_page(rng: random.Random) -> tuple[str, list[str]]:
     }
 
     def paragraph():
-        text = " ".join(sentence() for _ in range(rng.choice([1, 1, 2, 3, 6])))
+        text = " ".join(sentence(*((1, 5) if short else (3, 18))) for _ in range(1 if short else rng.choice([1, 1, 2, 3, 6])))
         kind = rng.random()
         said = say(text, True)
         if kind < 0.72:
@@ -223,16 +233,19 @@ def labelled_page(rng: random.Random) -> tuple[str, list[str]]:
             return f"<table><tr><td>{said}</td></tr></table>"
         return f"<div>{said}</div>"
 
-    before = [rest[k]() for k in rng.sample(["nav", "header", "ad", "notice", "form", "side"], rng.randint(0, 4))]
-    inside = [f"<h1>{say(sentence(1, 12), True)}</h1>"] if rng.random() < 0.85 else []
-    for _ in range(rng.choice([1, 1, 2, 3, 5, 9, 16])):
+    # Some pages hold hardly more than a few short paragraphs, marked by nothing.
+    bare = rng.random() < 0.2
+    short = bare and rng.random() < 0.7
+    before = [] if bare and rng.random() < 0.7 else [rest[k]() for k in rng.sample(["nav", "header", "ad", "notice", "form", "side"], rng.randint(0, 4))]
+    inside = [f"<h1>{say(sentence(1, 12), True)}</h1>"] if rng.random() < (0.3 if bare else 0.85) else []
+    for _ in range(rng.choice([1, 1, 2, 3] if bare else [1, 1, 2, 3, 5, 9, 16])):
         inside.append(paragraph())
         if rng.random() < 0.06:
             inside.append(rest[rng.choice(["ad", "side", "form", "notice"])]())
     if rng.random() < 0.15:
         inside.append(rest["comments"]())
-    start, end = rng.choice([("<article>", "</article>")] * 4 + [("<main>", "</main>"), ("<main><article>", "</article></main>"), ('<div id="content">', "</div>"), ('<div class="post entry">', "</div>"), ('<section class="story">', "</section>"), ("<div>", "</div>"), ("", "")])
-    after = [rest[k]() for k in rng.sample(["ad", "notice", "form", "side", "comments", "nav", "footer", "footer"], rng.randint(0, 5))]
+    start, end = rng.choice([("<article>", "</article>")] * 4 + [("<main>", "</main>"), ("<main><article>", "</article></main>"), ('<div id="content">', "</div>"), ('<div class="post entry">', "</div>"), ('<section class="story">', "</section>"), ('<div class="content">', "</div>"), ("<div>", "</div>"), ("", "")][7 if bare else 0 :])
+    after = [] if bare and rng.random() < 0.6 else [rest[k]() for k in rng.sample(["ad", "notice", "form", "side", "comments", "nav", "footer", "footer"], rng.randint(0, 5))]
     head = f"<!DOCTYPE html><html><head><title>{word()}</title><script>var t='</p>';</script></head>" if rng.random() < 0.8 else ""
     wrap = rng.choice([("<body>", "</body></html>"), ("<body>", ""), ('<body><div class="wrapper">', "</div></body>")])
     return head + wrap[0] + "".join(before) + start + "".join(inside) + end + "".join(after) + wrap[1], wanted

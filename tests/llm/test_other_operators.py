@@ -6,6 +6,7 @@ import json
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -415,3 +416,16 @@ def test_rows_keep_their_roles(spark):
     got = {r["conv_id"]: r for r in chat.read_back(chat.segments(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()}
     assert got[1]["loss_chars"] == 1 and got[1]["turns_sha256"] == hashlib.sha256(b"human\nq\nbot\na\nassistant\nb\n").hexdigest()
     assert got[2]["turns_sha256"] == hashlib.sha256(b"User\nx\n").hexdigest() and got[3]["turns_sha256"] == hashlib.sha256(b"\n\n").hexdigest()
+
+
+@pytest.mark.parametrize("page, want", [("<p>One.</p>", "One."), ("just text", "just text"), ("<body><div class='content'><p>Hello world, this is the story.</p><p>More.</p></div><div class='sidebar'><p>Read this too, friends.</p></div>", "Hello world, this is the story. More.")])
+def test_short_pages_without_marks(page, want):
+    assert html_crf.main_text(page, html_crf.field()) == want
+
+
+def test_reading_is_linear_in_nesting():
+    """A broken page of thirty thousand unclosed elements, stray end tags among them, is read at once."""
+    began = time.perf_counter()
+    found = html_crf.leaves("<div>" * 15_000 + "</p><b>x" * 15_000)
+    assert "".join(b.text for b in found) == "x" * 15_000 and found[0].tags == ("div",)
+    assert time.perf_counter() - began < 20
