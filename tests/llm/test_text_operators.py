@@ -16,7 +16,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lodestone import llm
-from lodestone.llm import bpe, iblt, mixing, pii, quality, simhash
+from lodestone.llm import bpe, iblt, mixing, pii, quality, shingles, simhash
 
 from llm_helpers import rows_of
 
@@ -196,6 +196,27 @@ def test_stage_keeps_one_of_each_similar_group(spark):
     assert {r["doc_id"] for r in simhash.stage(spark, df, "").collect()} == set(parent.values())
 
 
+def test_completion_finds_all_that_probing_leaves(spark, monkeypatch):
+    monkeypatch.setattr(shingles, "found", lambda reps, radius: reps.select(F.col("h").alias("a"), F.col("h").alias("b")).where("false"))
+    rng = np.random.default_rng(12)
+    texts = {}
+    for g in range(12):
+        words = [f"v{g}x{v}" for v in range(60 + 12 * g)]
+        for i in range(12):
+            own = words[: len(words) - int(rng.integers(0, 12))]
+            for at in rng.integers(0, len(own), int(rng.integers(0, 5))):
+                own[at] = f"x{rng.integers(0, 9999)}"
+            texts[100 * g + i] = " ".join(own)
+    sets = {i: set(shingles.shingles(t.encode()).tolist()) for i, t in texts.items()}
+    parent = {i: i for i in sets}
+    for i, j in ((i, j) for i in sets for j in sets if i < j and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])):
+        a, b = parent[i], parent[j]
+        parent = {k: min(a, b) if v in (a, b) else v for k, v in parent.items()}
+    assert len(set(parent.values())) < len(parent) - 40
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r["doc_id"] for r in simhash.stage(spark, df, "").collect()} == set(parent.values())
+
+
 def test_stage_with_an_id_of_several_texts(spark):
     a, b = (" ".join(f"{c}{i}" for i in range(40)) for c in "ab")
     rows = [(5, a), (5, b), (3, a + " more"), (5, b), (None, b + " more")]
