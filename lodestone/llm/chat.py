@@ -267,8 +267,8 @@ def layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The same in SQL: the template over each row's text, and of flat records the question before the answer.
 LAYOUTS_SQL = r"""WITH said AS (SELECT conv_id, turn, CAST((((coalesce(conv_id, 0) + coalesce(turn, 0)) % 5) + 5) % 5 AS INTEGER) AS layout, coalesce(role, '') AS role,
-  replace(replace(coalesce(text, ''), '', '\'), '</turn>', '\</turn>') AS t FROM conversations),
-named AS (SELECT *, CASE role WHEN 'system' THEN 'System' WHEN 'user' THEN 'User' WHEN 'assistant' THEN 'Assistant' ELSE '=' || replace(replace(replace(role, '', '\'), '</turn>', '\</turn>'), ': ', '\: ') END AS name FROM said)
+  replace(replace(coalesce(text, ''), '\', '\\'), '</turn>', '\</turn>') AS t FROM conversations),
+named AS (SELECT *, CASE role WHEN 'system' THEN 'System' WHEN 'user' THEN 'User' WHEN 'assistant' THEN 'Assistant' ELSE '=' || replace(replace(replace(role, '\', '\\'), '</turn>', '\</turn>'), ': ', '\: ') END AS name FROM said)
 SELECT conv_id, turn, layout, sha256(CASE WHEN layout < 3 THEN '\### ' || name || ': ' || t || '</turn>' ELSE '\### User: ' || t || '</turn>\### Assistant: ' || t || '</turn>' END) AS formatted_sha256,
   CAST(CASE WHEN layout >= 3 OR role = 'assistant' THEN length(t) ELSE 0 END AS BIGINT) AS loss_chars FROM named"""
 

@@ -58,8 +58,8 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 def apart(df: DataFrame, column: str) -> DataFrame:
-    """An aggregate dealt out by another column: a join on its key then shuffles both sides, and can split hot keys."""
-    return df.repartition(column)
+    """An aggregate dealt out by a hash of its key: evenly, and so that a join on the key shuffles both sides and can split hot keys."""
+    return df.repartition(F.xxhash64(F.lit("apart"), column))
 
 
 def stored(df: DataFrame, path: str) -> DataFrame:
@@ -113,9 +113,9 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     while not links.isEmpty():
         i += 1
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = apart(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "m")
+        least = apart(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "u")
         large = stored(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct(), f"{folder}/{i}-large")
-        smaller = apart(large.groupBy("u").agg(F.min("v").alias("m")), "m")
+        smaller = apart(large.groupBy("u").agg(F.min("v").alias("m")), "u")
         stars = F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v"))))
         links = stored(large.join(smaller, "u").select(stars.alias("e")).select("e.u", "e.v").where("u > v").distinct(), f"{folder}/{i}")
         for done in (f"{i - 1}", f"{i}-large"):

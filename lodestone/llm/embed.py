@@ -250,7 +250,7 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     nodes = connected_components(found.where("other is not null"), "c", "other").withColumnsRenamed({"node": "c", "root": "r"})
     # Cut off and dealt apart, so that the joins with a large component and a frequent vector can be split.
     placed = checkpoint(reps.select("c", "n", "least").join(nodes, "c", "left").withColumn("r", F.coalesce("r", "c")))
-    named = apart(placed.groupBy("r").agg(F.min("least").alias("component_id")), "component_id")
+    named = apart(placed.groupBy("r").agg(F.min("least").alias("component_id")), "r")
     known = placed.join(named, "r").join(counts, "c", "left").select("c", "component_id", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"))
     joined = rows.join(checkpoint(known), "c", "left").select(key, F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", F.when(F.col("c").isNull(), F.col(key))).alias("component_id"))
     return joined.withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))

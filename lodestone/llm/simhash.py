@@ -41,6 +41,8 @@ BLOCK = 16_384
 DENSE = 512
 #: Cost of writing, sorting and reading one key, about a microsecond, in candidates verified.
 KEY_COST = 30.0
+#: Keys that a fingerprint may file and ask for in all partitions: each is a literal in the plan.
+MOST_KEYS = 512
 
 
 def fingerprint(text: bytes, width: int = SHINGLE) -> int:
@@ -160,7 +162,7 @@ def growth(rates: np.ndarray, limit: int) -> np.ndarray:
 
 
 def allocate(costs: list[np.ndarray], total: int) -> tuple[float, tuple[int, ...]]:
-    """Thresholds of at least -1 that add up to total at the least cost; costs[i][t + 1] is the cost of t."""
+    """Thresholds of at least -1 that add up to total at the least cost; costs[i][t + 1] is the cost of t, infinite if t can't be had."""
     best: dict[int, tuple[float, tuple[int, ...]]] = {0: (0.0, ())}
     for cost in costs:
         new: dict[int, tuple[float, tuple[int, ...]]] = {}
@@ -174,7 +176,11 @@ def allocate(costs: list[np.ndarray], total: int) -> tuple[float, tuple[int, ...
 
 
 def plan(reps: DataFrame, limit: int = LIMIT) -> list[Part]:
-    """The partitions and thresholds of the cheapest of several plans, estimated over all fingerprints; five partitions at most."""
+    """The partitions and thresholds of the cheapest of several plans, estimated over all fingerprints.
+
+    There are five partitions at most, each with ``MOST_KEYS`` keys at most. Keys are priced for one
+    fingerprint at least, so that without any the plan with the fewest keys is taken.
+    """
     n, both = bit_statistics(reps)
     mean = np.diag(both) / max(n, 1)
     sd = np.sqrt(np.maximum(mean * (1 - mean), 1e-12))
@@ -190,8 +196,9 @@ def plan(reps: DataFrame, limit: int = LIMIT) -> list[Part]:
         costs = []
         for i, bits in enumerate(groups):
             at_zero = max(pairs.get((m, i), 0.0), n * n / 2 * float(np.prod(same[list(bits)])))
-            pay = at_zero * growth(same[list(bits)], limit) + KEY_COST * n * np.array([keys_of(len(bits), t) for t in range(limit + 1)])
-            costs.append(np.append(0.0, pay))
+            keyed = np.array([keys_of(len(bits), t) for t in range(limit + 1)], float)
+            pay = at_zero * growth(same[list(bits)], limit) + KEY_COST * max(n, 1) * keyed
+            costs.append(np.append(0.0, np.where(keyed <= MOST_KEYS, pay, np.inf)))
         cost, limits = allocate(costs, limit - m + 1)
         plans.append((cost, [Part(b, t) for b, t in zip(groups, limits, strict=True)]))
     return min(plans, key=lambda x: x[0])[1]
@@ -229,6 +236,8 @@ def candidates(reps: DataFrame, limit: int, dense: int = DENSE) -> DataFrame:
     Under a key that very many share, each is paired with the smallest there; whoever needs all
     pairs has to look on.
     """
+    if reps.isEmpty():
+        return reps.select(F.col("fp").alias("a"), F.col("fp").alias("b"))
     parts = plan(reps, limit)
     filed, asked, crowded = _dealt(reps, parts, dense)
     pairs = None

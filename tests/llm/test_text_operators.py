@@ -252,6 +252,16 @@ def test_plan_covers_all_close_pairs(spark):
     assert sum(limits) == 1 and cost == min(c for c in (6 + 1 + 0, 9 + 1, 5 + 50, 9 + 0 * 1 + 1) if c == cost)
 
 
+@pytest.mark.parametrize("n", [0, 1, 2])
+@pytest.mark.parametrize("limit", [simhash.LIMIT, shingles.RADIUS])
+def test_plan_of_few_fingerprints_is_small(spark, n, limit):
+    fps = spark.createDataFrame([(7 * i,) for i in range(n)], "fp long")
+    parts = simhash.plan(fps, limit)
+    assert sum(p.limit for p in parts) == limit - len(parts) + 1
+    assert sum(simhash.keys_of(len(p.bits), p.limit) for p in parts) <= simhash.MOST_KEYS
+    assert simhash.candidates(fps, limit).count() == max(0, n - 1)
+
+
 # ------------------------------------------------------------------------ fingerprints
 
 
