@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import bpe, chat, embed, html_crf, iblt, mixing, pii, quality, simhash, url_filter
+from lodestone.llm import align, bpe, chat, embed, html_crf, iblt, mixing, negatives, pii, quality, simhash, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,10 +21,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mixing": mixing.query,
         "op9_html": html_crf.query,
         "op10_chat": chat.query,
+        "op11_negatives": negatives.query,
+        "op13_align": align.query,
         "chat_layouts": chat.layouts,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL of the operators whose results it can express; the others are tested against plain restatements."""
-    return {"op5_embeddings": embed.SQL, "op9_html": html_crf.SQL, "op10_chat": chat.SQL, "chat_layouts": chat.LAYOUTS_SQL}
+    return {"op5_embeddings": embed.SQL, "op9_html": html_crf.SQL, "op10_chat": chat.SQL, "op11_negatives": negatives.SQL, "chat_layouts": chat.LAYOUTS_SQL}
