@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import align, bpe, chat, embed, html_crf, iblt, mixing, negatives, pii, quality, simhash, url_filter
+from lodestone.llm import align, bpe, chat, embed, html_crf, iblt, langid, mixing, negatives, pii, quality, simhash, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_html": html_crf.query,
         "op10_chat": chat.query,
         "op11_negatives": negatives.query,
+        "op12_langid": langid.query,
         "op13_align": align.query,
         "chat_layouts": chat.layouts,
     }
