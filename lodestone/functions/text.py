@@ -18,9 +18,16 @@ CLASS_BOILERPLATE = r"All included in Class \d+\.?"
 COMPLETENESS = (("serial_number", 0.25), ("registration_date", 0.10), ("class_indices", 0.15), ("applicant_name", 0.20), ("agent_details", 0.10))
 LONG_DESCRIPTION, LONG_DESCRIPTION_WEIGHT = 50, 0.20
 PREVIEW = 120
+#: Characters that are white space.
+WHITE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 PASSWORD_MARKS = r'[!@#$%^&*(),.?":{}|<>]'
 
 
+def stripped(c: Column) -> Column:
+    """A text without white space at either end."""
+    return F.btrim(c, F.lit(WHITE))
+
+
 def normalized(c: Column) -> Column:
     """Upper case letters A-Z and digits alone."""
     return F.regexp_replace(F.upper(c), "[^A-Z0-9]", "")
@@ -90,7 +97,7 @@ def date_of(c: Column) -> Column:
 
 def class_text(c: Column) -> Column:
     """What a class header lists, else an empty text."""
-    return F.trim(F.regexp_extract(c, f"(?im){CLASS_HEADER}", 1))
+    return stripped(F.regexp_extract(c, f"(?im){CLASS_HEADER}", 1))
 
 
 def class_numbers(c: Column) -> Column:
@@ -114,13 +121,24 @@ def owner_parts(block: Column) -> tuple[Column, Column]:
     return F.trim(parts[0]), F.trim(F.coalesce(F.get(parts, F.lit(1)), F.lit("")))
 
 
+def named(line: Column) -> Column:
+    """The name that a translation or transliteration line gives, empty if that is blank, null if it gives none."""
+    quoted, spelled = "[\"'](.*?)[\"']", r"(?i)transliteration:\s*(.+)"
+    cut = F.regexp_replace(F.regexp_extract(line, spelled, 1), r"\s+(?:Registration|The|This|Class).*$", "")
+    lower = F.lower(line)
+    translated = F.contains(lower, F.lit("translation"))
+    return F.when(translated & line.rlike(quoted), stripped(F.regexp_extract(line, quoted, 1))).when(~translated & line.rlike(spelled), stripped(cut))
+
+
 def translated_name(line: Column) -> Column:
     """The name that a translation or transliteration line gives, else null."""
-    quoted = filled(F.trim(F.regexp_extract(line, "[\"'](.*?)[\"']", 1)))
-    spelled = F.regexp_extract(line, r"(?i)transliteration:\s*(.+)", 1)
-    cut = filled(F.trim(F.regexp_extract(spelled, r"^(.*?)(?:\s+(?:Registration|The|This|Class).*)?$", 1)))
-    lower = F.lower(line)
-    return F.when(F.contains(lower, F.lit("translation")), quoted).when(F.contains(lower, F.lit("transliteration")), cut)
+    return filled(named(line))
+
+
+def name_in_notes(description: Column) -> Column:
+    """The name in a description's note on a translation or, without one, on a transliteration, else null."""
+    quoted, spelled = r"Mark\s+translation:\s*[\"']([^\"']+)[\"']", r"Mark\s+transliteration:\s*([A-Za-z\s]+?)(?=\s*[A-Z]|\.|$)"
+    return stripped(F.when(description.rlike(quoted), F.regexp_extract(description, quoted, 1)).when(description.rlike(spelled), F.regexp_extract(description, spelled, 1)))
 
 
 def clean_description(c: Column, serial: Column | None = None, date: Column | None = None) -> Column:

@@ -36,7 +36,7 @@ def blocks(words: DataFrame) -> DataFrame:
 def block_lines(words: DataFrame, found: DataFrame) -> DataFrame:
     """(…, class_y, lines): the trimmed, non-blank lines of the words wholly inside each block."""
     within = J.inside(words, found, PAGE)
-    lines = A.lines_of(within, (*PAGE, "class_y")).withColumn("line", F.trim("line")).where(F.col("line") != "")
+    lines = A.lines_of(within, (*PAGE, "class_y")).withColumn("line", X.stripped(F.col("line"))).where(F.col("line") != "")
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("y", "line"))), lambda x: x["line"])
     return lines.groupBy(*PAGE, "class_y").agg(ordered.alias("lines"))
 
@@ -44,8 +44,8 @@ def block_lines(words: DataFrame, found: DataFrame) -> DataFrame:
 def records(words: DataFrame, start_page: int = 1) -> DataFrame:
     """A record for each block that has a serial number, from the words of pages from start_page on."""
     wanted = words.where(F.col("page") >= start_page)
-    fields = block_lines(wanted, blocks(wanted)).withColumn("r", R.block_fields(F.col("lines")))
-    return fields.where("r.serial_number is not null").select(*PAGE, "class_y", "r.*")
+    found = R.with_block_fields(block_lines(wanted, blocks(wanted)))
+    return found.where("serial_number is not null").select(*PAGE, "class_y", *R.RECORD)
 
 
 def page_status(words: DataFrame, found: DataFrame, start_page: int = 1) -> DataFrame:
@@ -58,12 +58,12 @@ def page_status(words: DataFrame, found: DataFrame, start_page: int = 1) -> Data
 
 def entry_records(pages: DataFrame, compat: bool = False) -> DataFrame:
     """Records of plain page texts: segmented, parsed, those without a serial dropped, of equal serials the first kept."""
-    parsed = S.entries(pages, compat=compat).withColumn("r", R.entry_fields(F.col("lines"))).where("r.serial_number <> ''")
-    ordered = parsed.select(F.struct("doc_id", "page", "entry").alias("at"), "r.*")
+    parsed = R.with_entry_fields(S.entries(pages, compat=compat)).where("serial_number <> ''")
+    ordered = parsed.select(F.struct("doc_id", "page", "entry").alias("at"), *R.ENTRY)
     return A.first_of_each(ordered, ["serial_number"], "at")
 
 
 def hit_records(texts: DataFrame, text: str = "text") -> DataFrame:
     """Records of whole texts by serial and context, of equal serials the first kept."""
-    found = texts.select("doc_id", F.posexplode(R.hits(F.col(text))).alias("n", "r")).select(F.struct("doc_id", "n").alias("at"), "r.*")
-    return A.first_of_each(found, ["serial_number"], "at")
+    found = R.with_context_fields(R.with_hits(texts.select("doc_id", text), text))
+    return A.first_of_each(found.select(F.struct("doc_id", "n").alias("at"), *R.ENTRY), ["serial_number"], "at")

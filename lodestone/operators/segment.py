@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodestone.functions import text as X
 from lodestone.functions.records import START_MARKERS
 
 
@@ -32,8 +33,8 @@ def entries(pages: DataFrame, keys: Sequence[str] = ("doc_id", "page"), text: st
 
     With compat the line right before a start is lost, as in the format's first reader.
     """
-    lines = pages.select(*keys, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)).alias("at", "raw")).withColumn("line", F.trim("raw"))
-    following = F.lead(F.trim("raw")).over(W.partitionBy(*keys).orderBy("at"))
+    lines = pages.select(*keys, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)).alias("at", "raw")).withColumn("line", X.stripped(F.col("raw")))
+    following = F.lead(X.stripped(F.col("raw"))).over(W.partitionBy(*keys).orderBy("at"))
     lines = lines.withColumn("_next", starts(following)) if compat else lines
     found = segmented(lines.where(F.col("line") != ""), keys, "at", starts(F.col("line")), F.col("_next") if compat else None)
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"])

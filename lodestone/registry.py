@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -19,7 +20,7 @@ from lodestone.functions import similarity as S
 from lodestone.functions import text as X
 from lodestone.functions import vectors as V
 from lodestone.operators import aggregates as A
-from lodestone.operators import contain, dml, extract, search, segment
+from lodestone.operators import contain, dml, extract, search, segment, trigrams
 from lodestone.operators import joins as J
 from lodestone.operators import knn as K
 from lodestone.plans import api
@@ -196,6 +197,23 @@ def document_search(spark, sf_dir):
     return _t(spark, sf_dir, "documents", "doc_id", "text").where(search.words_match("licensed", ("text",), serial=None)).select("doc_id")
 
 
+_ASKED = ("licensed", "LICENSED under", "lic_nsed", "the%licen", "th", "@", "no such words")
+
+
+@_query(" UNION ALL ".join(f"SELECT {i} AS asked, doc_id FROM documents WHERE text ILIKE '%{''.join(w.split())}%'" for i, w in enumerate(_ASKED)))
+def trigram_search(spark, sf_dir):
+    """Several searches by one trigram index of all texts: words, blanks, wildcards, words too short for it, and words that no text has."""
+    index = trigrams.Index.build(_t(spark, sf_dir, "documents", "doc_id", "text"), f"{_shared(spark)}/trigrams-{uuid.uuid4().hex}", ("text",), serial=None, parts=32, buckets=16)
+    return reduce(DataFrame.unionByName, [index.matches(w).select(F.lit(i).alias("asked"), "doc_id") for i, w in enumerate(_ASKED)])
+
+
+@_query(f"SELECT id, trademark_name FROM {_MARKS} WHERE (regexp_replace(serial_number, '\\s+', '', 'g') ILIKE '%00012%' OR trademark_name ILIKE '%00012%' OR applicant_name ILIKE '%00012%' OR description ILIKE '%00012%') AND class_indices ILIKE '%1%'")
+def trigram_search_marks(spark, sf_dir):
+    """The search over marks by an index of all its columns; other filters hold as without one."""
+    index = trigrams.Index.build(_marks(spark, sf_dir), f"{_shared(spark)}/trigrams-{uuid.uuid4().hex}", parts=32, buckets=16)
+    return trigrams.search(index, "00 012", "1").select("id", "trademark_name")
+
+
 @_query(f"SELECT id, serial_number FROM {_MARKS} WHERE regexp_replace(serial_number, '\\s+', '', 'g') ILIKE '%TM00000000_7%' OR trademark_name ILIKE '%TM00000000_7%' OR applicant_name ILIKE '%TM00000000_7%' OR description ILIKE '%TM00000000_7%'")
 def serial_normalized_search(spark, sf_dir):
     return search.search(_marks(spark, sf_dir), "TM 00000000_7").select("id", "serial_number")
@@ -364,10 +382,14 @@ def point_lookup(spark, sf_dir):
     return search.blob(_t(spark, sf_dir, "customer", "c_custkey", "c_name"), 42, "c_name", "c_custkey")
 
 
+def _shared(spark) -> str:
+    """The folder that executors share."""
+    return spark.conf.get("spark.checkpoint.dir", "") or spark.conf.get("spark.sql.warehouse.dir")
+
+
 def _engine(spark) -> api.Engine:
-    """An engine over a new catalog in the folder that executors share."""
-    shared = spark.conf.get("spark.checkpoint.dir", "") or spark.conf.get("spark.sql.warehouse.dir")
-    return api.Engine(dml.Catalog(spark, f"{shared}/catalog-{uuid.uuid4().hex}"))
+    """An engine over a new catalog in the shared folder."""
+    return api.Engine(dml.Catalog(spark, f"{_shared(spark)}/catalog-{uuid.uuid4().hex}"))
 
 
 @_query("SELECT n_nationkey AS id, n_name AS username, lower(n_name) || '@example.org' AS email, CASE n_nationkey WHEN 3 THEN 'editor' ELSE 'user' END AS role FROM nation WHERE n_nationkey <> 5 ORDER BY id")
@@ -568,12 +590,19 @@ def _journal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.select("doc_id", "page", F.lit(600.0).alias("page_w"), F.lit(800.0).alias("page_h"), "text", (F.col("at") * 50.0).alias("x0"), (F.col("at") * 50.0 + 40).alias("x1"), top.alias("top"), (top + 10).alias("bottom"))
 
 
-@_query()
+#: The journal's records from its parts: a line holds twelve words before it leaves the page.
+_RECORDS = """SELECT doc_id, page, class_y, serial_number, '1 January 2025' AS registration_date, '' AS trademark_name, class_indices, applicant_name, '1 ROAD' AS applicant_address, 'A & B' AS agent_details, description,
+  round(0.80 + CASE WHEN length(description) > 50 THEN 0.20 ELSE 0 END, 6) AS completeness FROM (
+  SELECT CAST(CAST(floor(p_partkey / 40) AS BIGINT) AS VARCHAR) AS doc_id, CAST(floor(p_partkey % 40 / 2) AS INTEGER) AS page, 100.0 + p_partkey % 2 * 300 AS class_y, 'TM' || lpad(CAST(p_partkey AS VARCHAR), 10, '0') AS serial_number,
+    CAST(p_size AS VARCHAR) AS class_indices, upper(p_brand) || ' SDN BHD' AS applicant_name, array_to_string(list_slice(string_split(p_name || ' for all that is ' || p_type, ' '), 1, 12), ' ') AS description FROM part) WHERE page >= 1"""
+
+
+@_query(f"SELECT doc_id, page, CAST(class_y AS DOUBLE) AS class_y, serial_number, registration_date, trademark_name, class_indices, applicant_name, applicant_address, agent_details, description, CAST(completeness AS DOUBLE) AS completeness FROM ({_RECORDS})")
 def block_fields_parse(spark, sf_dir):
-    return extract.records(_journal(spark, sf_dir))
+    return extract.records(_journal(spark, sf_dir)).withColumn("completeness", F.round("completeness", 6))
 
 
-@_query()
+@_query(f"SELECT doc_id, page, records, CAST(floor(row_number() OVER (PARTITION BY doc_id ORDER BY page) * 100 / count(*) OVER (PARTITION BY doc_id)) AS INTEGER) AS percent FROM (SELECT doc_id, page, count(*) AS records FROM ({_RECORDS}) GROUP BY ALL)")
 def extraction_progress(spark, sf_dir):
     words = _journal(spark, sf_dir)
     return extract.page_status(words, extract.records(words))
@@ -586,17 +615,38 @@ def _plain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "part").groupBy(F.floor(k / 20).cast("string").alias("doc_id")).agg(text.alias("text"))
 
 
-@_query()
+#: What each part's entry says; a blank line before the next entry keeps the last line in either reading.
+_ENTRIES = """SELECT CAST(p_size AS VARCHAR) AS class_index, 'TM' || lpad(CAST(p_partkey AS VARCHAR), 10, '0') AS serial_number, '18 April 2025' AS application_date, '' AS priority_date, '' AS consent_numbers,
+  p_name || ' of every kind' AS description, p_brand || ' COMPANY SDN BHD MALAYSIA;' AS company_name, 'one two three' AS agent_details FROM part"""
+
+
+@_query(_ENTRIES)
 def entry_records(spark, sf_dir):
     return extract.entry_records(readers.plain_pages(_plain(spark, sf_dir))).drop("at")
 
 
-@_query()
+@_query(_ENTRIES)
 def entry_records_compat(spark, sf_dir):
     return extract.entry_records(readers.plain_pages(_plain(spark, sf_dir)), compat=True).drop("at")
 
 
-@_query()
+#: Contexts cut by place from each text, whose numbers are unique; a pattern that takes in what ends the agent stands for one that looks ahead.
+_HITS = r"""WITH texts AS (SELECT CAST(floor(p_partkey / 20) AS BIGINT) AS doc_id, max(p_partkey) AS latest, string_agg('CLASS:' || p_size || ' TM' || lpad(CAST(p_partkey AS VARCHAR), 10, '0') || ' 18 April 2025' || chr(10) || p_name || ' of every kind' || chr(10) || p_brand || ' COMPANY SDN BHD MALAYSIA;' || chr(10) || 'AGENT : one two three' || chr(10), '' ORDER BY p_partkey) AS text FROM part GROUP BY 1),
+placed AS (SELECT text, serial_number, strpos(text, serial_number) AS place, CASE WHEN p_partkey = latest THEN 1000 ELSE 500 END AS reach FROM (SELECT p_partkey, CAST(floor(p_partkey / 20) AS BIGINT) AS doc_id, 'TM' || lpad(CAST(p_partkey AS VARCHAR), 10, '0') AS serial_number FROM part) JOIN texts USING (doc_id)),
+around AS (SELECT serial_number, substr(text, greatest(1, place - 500), place - greatest(1, place - 500) + 26 + reach) AS c FROM placed),
+named AS (SELECT *, regexp_extract(substr(c, strpos(c, serial_number) + 12, 500), '[A-Z][^;
+]{20,};') AS company, strpos(c, '18 April 2025') AS dated FROM around)
+SELECT replace(trim(regexp_extract(substr(c, 1, 200), '(?i)CLASS\s*[:]?\s*([\d,\s]+)', 1)), ' ', '') AS class_index, serial_number, '18 April 2025' AS application_date, '' AS priority_date, '' AS consent_numbers,
+  CASE WHEN dated > 1 AND company <> '' AND strpos(c, company) > dated THEN substr(trim(regexp_replace(substr(c, dated + 13, greatest(0, strpos(c, company) - dated - 13)), '\s+', ' ', 'g')), 1, 500) ELSE '' END AS description,
+  company AS company_name, trim(regexp_extract(c, '(?is)AGENT\s*[:]?\s*(.*?)(?:
+\s*
+|
+CLASS\s*[:]|
+TM\d|
+?\z)', 1), chr(10) || ' ') AS agent_details FROM named"""
+
+
+@_query(_HITS)
 def hit_records(spark, sf_dir):
     return extract.hit_records(_plain(spark, sf_dir)).drop("at")
 

@@ -1,5 +1,8 @@
 """Golden cases of the record parsers, worked out from the format's rules."""
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -19,8 +22,20 @@ BLOCK = [
 ]
 
 
-def test_block_by_semicolon():
-    r = R.block_record(BLOCK)
+def block(spark, lines):
+    return R.with_block_fields(spark.createDataFrame([(lines, "x", "y")], "lines array<string>, _serial string, completeness string").drop("_serial", "completeness")).first()
+
+
+def entry(spark, lines):
+    return R.with_entry_fields(spark.createDataFrame([(lines,)], "lines array<string>")).drop("lines").first().asDict()
+
+
+def hits(spark, text):
+    return [r.asDict() for r in R.with_context_fields(R.with_hits(spark.createDataFrame([(text,)], "text string"))).orderBy("n").collect()]
+
+
+def test_block_by_semicolon(spark):
+    r = block(spark, BLOCK)
     assert (r["serial_number"], r["registration_date"], r["class_indices"]) == ("TM2025001234", "18 April 2025", "9, 35")
     assert r["trademark_name"] == "small star"
     assert (r["applicant_name"], r["applicant_address"]) == ("NORTHERN LIGHT STAR SDN BHD", "12 High Road")
@@ -29,52 +44,94 @@ def test_block_by_semicolon():
     assert r["completeness"] == pytest.approx(1.0)
 
 
-def test_block_by_company_word_and_without_owner():
-    r = R.block_record(["TM2025001234", "goods of all kinds", "SOME NAME", "ACME LTD", "AGENT: x"])
+def test_block_by_company_word_and_without_owner(spark):
+    r = block(spark, ["TM2025001234", "goods of all kinds", "SOME NAME", "ACME LTD", "AGENT: x"])
     assert (r["applicant_name"], r["applicant_address"]) == ("SOME NAME ACME LTD", "")
     # Of a body of up to fifteen lines the first is never tried for a company word.
-    r = R.block_record(["TM2025001234", "ACME LTD makes goods", "of all kinds"])
+    r = block(spark, ["TM2025001234", "ACME LTD makes goods", "of all kinds"])
     assert (r["applicant_name"], r["description"]) == ("", "ACME LTD makes goods of all kinds")
 
 
-def test_block_second_serial_bounds_the_owner_but_not_the_description():
-    r = R.block_record(["TM2025001234", "first goods", "FIRST INC ; here", "TM2025009999 next", "other goods", "AGENT : x"])
+def test_block_second_serial_bounds_the_owner_but_not_the_description(spark):
+    r = block(spark, ["TM2025001234", "first goods", "FIRST INC ; here", "TM2025009999 next", "other goods", "AGENT : x"])
     assert r["applicant_name"] == "FIRST INC"
     assert r["applicant_address"] == "here TM2025009999 next other goods"
     assert r["description"] == "first goods"
 
 
-def test_block_without_serial_and_empty():
-    assert R.block_record(["CLASS : 3", "text"])["serial_number"] is None
-    assert R.block_record([])["completeness"] == 0
+def test_block_without_serial_and_empty(spark):
+    assert block(spark, ["CLASS : 3", "text"])["serial_number"] is None
+    assert block(spark, [])["completeness"] == 0
 
 
-def test_block_transliteration():
-    r = R.block_record(["TM2025001234", "Mark transliteration: LONG WANG Registration of this trademark is limited."])
+def test_block_transliteration(spark):
+    r = block(spark, ["TM2025001234", "Mark transliteration: LONG WANG Registration of this trademark is limited."])
     assert r["trademark_name"] == "LONG WANG"
 
 
-def test_entry():
+def test_entry(spark):
     lines = ["CLASS: 3, 5 TM2025012263 18 April 2025", "International priority date claimed: 11 September 2018, Japan", "By consent of the registered proprietor no: 123, 456", "Soaps", "and oils", "ACME SDN BHD JALAN 1;", "AGENT : one two three", "more of the agent here", "short line"]
-    r = R.entry_record(lines)
+    r = entry(spark, lines)
     assert r == {
         "class_index": "3,5", "serial_number": "TM2025012263", "application_date": "18 April 2025", "priority_date": "11 September 2018, Japan", "consent_numbers": "123, 456",
         "description": "Soaps and oils short line", "company_name": "ACME SDN BHD JALAN 1;", "agent_details": "one two three more of the agent here",
     }
 
 
-def test_entry_date_on_next_line():
-    r = R.entry_record(["TM2025012263", "18 April 2025 goods"])
+def test_entry_date_on_next_line(spark):
+    r = entry(spark, ["TM2025012263", "18 April 2025 goods"])
     assert (r["application_date"], r["description"]) == ("18 April 2025", "goods")
 
 
-def test_hits():
+def test_hits(spark):
     text = "CLASS : 7\n\n\nTM2025012263 18 April 2025 Engines of many kinds\nACME ENGINES AND MORE SDN BHD;\nAGENT: someone\n"
-    (r,) = R.hit_records(text)
+    (r,) = hits(spark, text)
     assert (r["class_index"], r["company_name"], r["agent_details"]) == ("7", "ACME ENGINES AND MORE SDN BHD;", "someone")
     assert r["description"] == "Engines of many kinds"
     # A hit at the very start of its context gives no company and no description.
-    assert R.hit_records("TM2025012263 18 April 2025 Things\nACME ENGINES AND MORE SDN BHD;")[0]["company_name"] == ""
+    assert hits(spark, "TM2025012263 18 April 2025 Things\nACME ENGINES AND MORE SDN BHD;")[0]["company_name"] == ""
+
+
+def plain_contexts(text):
+    """Every hit with its context, cut by places in the text."""
+    text = re.sub(r"\n\s*\n+", "\n", text)
+    found = list(re.finditer(r"(TM\d{8,})\s+(\d{1,2}\s+\w+\s+\d{4})", text))
+    return [(i, m.group(1), m.group(2), text[max(0, m.start() - 500) : m.end() + (500 if i < len(found) - 1 else 1000)]) for i, m in enumerate(found)]
+
+
+def test_contexts_by_places(spark):
+    rng = random.Random(4)
+    texts = [None, "", "no hit", "TM12345678 1 ab 2025"]
+    for _ in range(12):
+        parts = []
+        for _ in range(rng.randrange(1, 40)):
+            parts += [f"TM{rng.randrange(10**8, 10**9)} {rng.randrange(1, 30)} août {rng.randrange(1990, 2030)}", "é \n\n" * rng.randrange(3), "word; " * rng.choice([0, 0, 1, 5, 90, 400])]
+        texts.append("".join(parts))
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = sorted(tuple(r) for r in R.with_hits(rows).collect())
+    assert got == [(d, *c) for d, t in enumerate(texts) for c in plain_contexts(t or "")] and len(got) > 100
+
+
+def test_context_fields(spark):
+    text = (
+        "CLASS : 9, 35\nTM2025000001 1 May 2025 Registration of this trademark\nis limited. Engines\n and parts\nNORTHERN ENGINES AND MORE SDN BHD; 1 Road\nInternational priority date claimed : 2 June 2020, Japan;"
+        " by consent of the registered proprietor,\nthe marks no: 12, 34 and more\nAGENT : First\nand Last\nTM1\n"
+    )
+    (r,) = hits(spark, text)
+    assert r == {
+        "n": 0, "class_index": "9,35", "serial_number": "TM2025000001", "application_date": "1 May 2025", "priority_date": "2 June 2020, Japan", "consent_numbers": "12, 34",
+        "description": "Engines and parts", "company_name": "NORTHERN ENGINES AND MORE SDN BHD;", "agent_details": "First\nand Last",
+    }
+
+
+def test_odd_lines(spark):
+    """Null lines and null arrays have no fields; nothing is read past either end."""
+    assert block(spark, None)["serial_number"] is None and block(spark, [None, ""])["completeness"] == 0
+    assert set(entry(spark, None).values()) == set(entry(spark, [None]).values()) == {""}
+    r = block(spark, ["AGENT : TM2025001234 1 May 2025"])
+    assert (r["serial_number"], r["description"], r["applicant_name"], r["agent_details"]) == ("TM2025001234", "", "", "TM2025001234 1 May 2025")
+    r = entry(spark, ["AGENT : x", "one two three", "a b c;", "d e f", "TM12345678"])
+    assert (r["agent_details"], r["serial_number"], r["description"], r["application_date"]) == ("x one two three", "TM12345678", "", "")
 
 
 def test_segmenter(spark):
