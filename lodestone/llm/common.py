@@ -57,6 +57,11 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffles of steps that are cut off; it learns which ones from the driver's garbage collection."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def apart(df: DataFrame, column: str) -> DataFrame:
     """An aggregate dealt out by a hash of its key: evenly, and so that a join on the key shuffles both sides and can split hot keys."""
     return df.repartition(F.xxhash64(F.lit("apart"), column))
