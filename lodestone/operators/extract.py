@@ -13,6 +13,8 @@ from lodestone.operators import joins as J
 from lodestone.operators import segment as S
 
 PAGE = ["doc_id", "page"]
+#: Heights that blocks are binned by, as exponents of two: from the least height on.
+BLOCK_SIZES = (8, 10)
 # Margins of a block around its markers, and the least height of one.
 AFTER_AGENT, BEFORE_CLASS, TOP_MARGIN, BELOW_AGENT, BOTTOM_MARGIN, LEAST_HEIGHT = 25, 120, 50, 15, 60, 100
 
@@ -26,7 +28,7 @@ def blocks(words: DataFrame) -> DataFrame:
     lines = A.lines_of(words)
     heads = lines.where(F.col("line").rlike(f"(?i){X.CLASS_LINE}")).select(*PAGE, "y", F.lit(1).alias("one"))
     agents = lines.where(F.upper(F.trim("line")).startswith("AGENT")).select(*PAGE, "y", F.col("y").alias("agent_y"))
-    placed = J.previous_and_next(heads, agents, PAGE, "y", "agent_y").join(sized, PAGE)
+    placed = J.previous_and_next(heads, agents, PAGE, "y", "agent_y", part_rows=None).join(sized, PAGE)
     above = F.when(F.coalesce("previous", F.lit(0.0)) != 0, F.col("previous") + AFTER_AGENT).otherwise(F.greatest(F.col("y") - BEFORE_CLASS, F.lit(float(TOP_MARGIN))))
     below = F.when(F.coalesce("next", F.lit(0.0)) != 0, F.col("next") + BELOW_AGENT).otherwise(F.col("page_h") - BOTTOM_MARGIN)
     found = placed.select(*PAGE, F.col("y").alias("class_y"), F.lit(0.0).alias("bx0"), above.alias("by0"), F.col("page_w").alias("bx1"), below.alias("by1"))
@@ -35,7 +37,7 @@ def blocks(words: DataFrame) -> DataFrame:
 
 def block_lines(words: DataFrame, found: DataFrame) -> DataFrame:
     """(…, class_y, lines): the trimmed, non-blank lines of the words wholly inside each block."""
-    within = J.inside(words, found, PAGE)
+    within = J.inside(words, found, PAGE, sizes=BLOCK_SIZES)
     lines = A.lines_of(within, (*PAGE, "class_y")).withColumn("line", X.stripped(F.col("line"))).where(F.col("line") != "")
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("y", "line"))), lambda x: x["line"])
     return lines.groupBy(*PAGE, "class_y").agg(ordered.alias("lines"))

@@ -20,7 +20,7 @@ from lodestone.functions import similarity as S
 from lodestone.functions import text as X
 from lodestone.functions import vectors as V
 from lodestone.operators import aggregates as A
-from lodestone.operators import contain, dml, extract, search, segment, trigrams
+from lodestone.operators import contain, dml, extract, pivots, search, segment, trigrams
 from lodestone.operators import joins as J
 from lodestone.operators import knn as K
 from lodestone.plans import api
@@ -82,6 +82,14 @@ def knn_topk_global(spark, sf_dir):
     return K.ranked(near, "vec_id").select("vec_id", F.col("rank").cast("long").alias("rank"), F.round("sim", 6).alias("sim"))
 
 
+@_query(f"SELECT vec_id, rank, round(sim, 6) AS sim FROM ({_TOP10})")
+def knn_pivot_index(spark, sf_dir):
+    """The same by an index of pivots, from the partitions that can hold one of the ten."""
+    index = pivots.Index.build(_t(spark, sf_dir, "embeddings", "vec_id", "embedding"), f"{_shared(spark)}/pivots-{uuid.uuid4().hex}", "embedding", pivots=16, rings=8)
+    near = index.nearest(_vector(spark, sf_dir), 10, "vec_id")
+    return K.ranked(near, "vec_id").select("vec_id", F.col("rank").cast("long").alias("rank"), F.round("sim", 6).alias("sim"))
+
+
 @_query(f"SELECT vec_id, rank, round(sim, 6) AS sim FROM ({_TOP10}) WHERE 1 - sim <= 0.70 AND label % 2 = 0")
 def knn_threshold_postfilter(spark, sf_dir):
     near = K.nearest(_t(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"), _vector(spark, sf_dir), 10, "vec_id", "embedding")
@@ -467,10 +475,19 @@ def asof_prev_next(spark, sf_dir):
     return J.previous_and_next(e.where("event_type = 'purchase'").select("user_id", "ts", "event_id"), clicks, ["user_id"], "ts", "click").select("event_id", "previous", "next")
 
 
+@_query("""WITH clicks AS (SELECT ts, max(event_id) AS click FROM events WHERE event_type = 'click' GROUP BY ts)
+  SELECT e.event_id, p.click AS previous, n.click AS next FROM events e ASOF LEFT JOIN clicks p ON e.ts > p.ts ASOF LEFT JOIN clicks n ON e.ts < n.ts WHERE e.event_type = 'purchase'""")
+def asof_without_key(spark, sf_dir):
+    """The nearest click of anybody: one sequence of all events, cut into parts that carry their values on."""
+    e = _t(spark, sf_dir, "events", "event_id", "event_type", "ts")
+    clicks = e.where("event_type = 'click'").select("ts", F.col("event_id").alias("click"))
+    return J.previous_and_next(e.where("event_type = 'purchase'").select("ts", "event_id"), clicks, [], "ts", "click", part_rows=1000).select("event_id", "previous", "next")
+
+
 def _contained(spark, sf_dir, customers):
     items = _t(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_totalprice").select("o_orderkey", F.col("o_custkey").alias("page"), *[F.col("o_totalprice").alias(c) for c in ("x0", "x1")], *[F.lit(0.0).alias(c) for c in ("top", "bottom")])
     boxes = customers.select(F.col("c_custkey").alias("page"), "c_custkey", (F.col("c_acctbal") * 10).alias("bx0"), (F.col("c_acctbal") * 40).alias("bx1"), F.lit(0.0).alias("by0"), F.lit(0.0).alias("by1"))
-    return J.inside(items, boxes, ["page"]).select("o_orderkey", "c_custkey")
+    return J.inside(items, boxes, ["page"], axis="x").select("o_orderkey", "c_custkey")
 
 
 @_query("SELECT o.o_orderkey, c.c_custkey FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey WHERE o.o_totalprice >= c.c_acctbal * 10 AND o.o_totalprice <= c.c_acctbal * 40")
@@ -478,6 +495,23 @@ def range_containment(spark, sf_dir):
     return _contained(spark, sf_dir, _t(spark, sf_dir, "customer", "c_custkey", "c_acctbal"))
 
 
+@_query("""SELECT l_orderkey, l_linenumber, b.key FROM lineitem JOIN (SELECT s_suppkey AS key, s_acctbal * 8 AS low, s_acctbal * 8 + s_suppkey % 40 * 10 AS high FROM supplier) b ON l_extendedprice BETWEEN low AND high""")
+def interval_join(spark, sf_dir):
+    """Prices in the ranges of all suppliers, without a key: one page holds everything."""
+    flat = [F.lit(0.0).alias(c) for c in ("x0", "x1")]
+    items = _t(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_extendedprice").select("l_orderkey", "l_linenumber", *flat, F.col("l_extendedprice").alias("top"), F.col("l_extendedprice").alias("bottom"))
+    low = F.col("s_acctbal") * 8
+    boxes = _t(spark, sf_dir, "supplier", "s_suppkey", "s_acctbal").select(F.col("s_suppkey").alias("key"), F.lit(0.0).alias("bx0"), F.lit(0.0).alias("bx1"), low.alias("by0"), (low + F.col("s_suppkey") % 40 * 10).alias("by1"))
+    return J.inside(items, boxes, []).select("l_orderkey", "l_linenumber", "key")
+
+
+@_query("SELECT event_id, CAST(entry AS BIGINT) AS entry FROM (SELECT event_id, sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (ORDER BY ts) AS entry FROM events) WHERE entry > 0")
+def segments_without_key(spark, sf_dir):
+    """All events as one sequence that purchases divide."""
+    e = _t(spark, sf_dir, "events", "event_id", "event_type", "ts")
+    return segment.segmented(e, [], "ts", F.col("event_type") == "purchase", part_rows=1000).select("event_id", "entry")
+
+
 @_query("""SELECT conv_id, CAST(entry AS BIGINT) AS entry, count(*) AS lines FROM (SELECT conv_id, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS entry FROM conversations) WHERE entry > 0 GROUP BY ALL""")
 def segment_by_marker(spark, sf_dir):
     c = _t(spark, sf_dir, "conversations", "conv_id", "turn", "role")

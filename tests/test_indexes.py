@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import search, trigrams
+from lodestone.operators import knn as K
+from lodestone.operators import pivots, search, trigrams
 
 WORDS = ["alpha", "Bravo", "char-lie", "DELTA", "écho", "ΟΔΟΣ", "100%", "a_b", "back\\slash", "😀😁😂x", "zz"]
 
@@ -50,3 +51,56 @@ def test_index_of_nothing(spark, marks, tmp_path):
 
 def test_literal_runs():
     assert trigrams.literal_runs("%ab_c\\%d%%e\\\\f") == ["ab", "c%d", "e\\f"] and trigrams.literal_runs("%_") == []
+
+
+# --------------------------------------------------------------------------------- pivots
+
+
+@pytest.fixture(scope="module")
+def clustered():
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(30, 8))
+    rows = [(i, [float(x) for x in (centres[i % 30] + rng.normal(scale=0.05, size=8)) * rng.uniform(0.9, 1.1)]) for i in range(1500)]
+    rows += [(2000 + i, rows[0][1]) for i in range(700)]  # a third of all rows are copies
+    return rows + [(5000, [0.0] * 8), (5001, None), (5002, [float("-inf")] + [0.0] * 7)]
+
+
+@pytest.fixture(scope="module")
+def vectors(spark, clustered):
+    return spark.createDataFrame(clustered, "id long, vector array<double>").repartition(3)
+
+
+def test_pivots_change_no_result_and_read_little(spark, clustered, vectors, tmp_path):
+    index = pivots.Index.build(vectors, f"{tmp_path}/p", pivots=32, rings=16)
+    assert index.rows().count() == len(clustered) - 1 and index.rows().columns == vectors.columns
+    assert sum(p.rows for p in index.parts) == len(clustered) - 1
+    # An infinite component makes products that aren't numbers; a scan puts those first, and so does the index.
+    plain = vectors.where("id <> 5002")
+    own = pivots.Index.build(plain, f"{tmp_path}/q", pivots=32, rings=16)
+    rng = np.random.default_rng(4)
+    for q, k in [(clustered[7][1], 10), (clustered[0][1], 750), (rng.normal(size=8).tolist(), 5), ([0.0] * 8, 3), (clustered[11][1], 5000), ([-x for x in clustered[3][1]], 4)]:
+        want = [tuple(r) for r in K.nearest(plain.where("vector is not null"), q, k).select("id", "sim").collect()]
+        assert [tuple(r) for r in own.nearest(q, k).select("id", "sim").collect()] == want
+    read = own.needed(clustered[7][1], 10)
+    assert 0 < len(read) <= len(own.parts) / 4 and sum(p.rows for p in own.parts if p.part in read) < len(clustered) / 4
+    assert index.needed(clustered[7][1], 10)[0] == pivots.ODD
+
+
+@pytest.mark.parametrize("rows", [[], [(1, None)], [(1, [0.0, 0.0])], [(1, [1.0, 0.0]), (2, [1.0, 0.0])]])
+def test_pivots_of_few_rows(spark, tmp_path, rows):
+    df = spark.createDataFrame(rows, "id long, vector array<double>")
+    index = pivots.Index.build(df, f"{tmp_path}/p")
+    assert [r["id"] for r in index.nearest([1.0, 2.0], 3).collect()] == [i for i, v in rows if v]
+
+
+def test_bounds_hold(clustered):
+    rng = np.random.default_rng(5)
+    v = np.array([x for _, x in clustered[:1500]])
+    own = pivots.chosen(v / np.linalg.norm(v, axis=1, keepdims=True), 12)
+    part, angle, length = pivots.placed(v, own, 6)
+    index = pivots.Index(None, "", "v", None, own, 6, ())
+    for q in [*rng.normal(size=(20, 8)), v[3], -v[3], own[0]]:
+        for p in np.unique(part):
+            at = part == p
+            held = pivots.Part(int(p), int(at.sum()), (angle[at].min(), angle[at].max()), (length[at].min(), length[at].max()))
+            assert (v[at] @ q).max() <= index.bound(q, held)
