@@ -21,9 +21,11 @@ from pyspark.sql import types as T
 from lodestone.schema import FIRST_STORED, OVERWRITTEN
 
 
-def upserted(current: DataFrame, batch: DataFrame, key: str = "serial_number", seq: str = "seq", overwrite: Sequence[str] = OVERWRITTEN, keep: Sequence[str] = FIRST_STORED, id_column: str | None = "id") -> DataFrame:
+def upserted(current: DataFrame, batch: DataFrame, key: str = "serial_number", seq: str = "seq", overwrite: Sequence[str] = OVERWRITTEN, keep: Sequence[str] = FIRST_STORED, id_column: str | None = "id", top: DataFrame | None = None) -> DataFrame:
     """The table after the rows of a batch, in the order of seq, were each inserted or updated.
 
+    New ids follow the largest in the table, or that in top, where current is only a part of it.
+
     Repeated keys of a batch act one after the other: what an upsert overwrites comes from the last,
     what it keeps from the first, or from the row already stored. Both come out of one aggregate
     that is reduced before the shuffle. A null key can't be stored and is left out; see rejected().
@@ -45,7 +47,7 @@ def upserted(current: DataFrame, batch: DataFrame, key: str = "serial_number", s
 
     if id_column is None:
         return both.select(*[value(c).alias(c) for c in current.columns])
-    top = current.agg(F.coalesce(F.max(id_column), F.lit(0)).alias("_top"))
+    top = current.agg(F.coalesce(F.max(id_column), F.lit(0)).alias("_top")) if top is None else top
     low = batch.agg(F.coalesce(F.min(seq), F.lit(0)).alias("_low"))
     one_row = top.join(low)  # one row each
     return both.join(F.broadcast(one_row)).select(*[value(c).cast(current.schema[c].dataType).alias(c) for c in current.columns])

@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone import schema
 from lodestone.functions import embedding as E
+from lodestone.functions import images as I
 from lodestone.functions import text as X
-from lodestone.operators import dml, extract, knn, search
+from lodestone.operators import dml, extract, knn, numbering, search
 from lodestone.operators import joins as J
 from lodestone.plans import compare as C
 
 # Category by default, placeholder of a record without a description, accepted distance.
+CLIENT = "CLIENT"
 CATEGORY, NO_DESCRIPTION, IMAGE_DISTANCE, IMAGE_K = "MYIPO", "Extracted from PDF", 0.10, 10
 MARKS, CLIENTS, USERS = "trademarks", "client_trademarks", "users"
 
@@ -42,10 +44,8 @@ class Engine:
         The text is embedded as extracted; what is stored has its class boilerplate dropped.
         """
         found = extract.records(words, start_page)
-        # Keys alone are numbered in one order, so that ids of new rows are dense and never meet.
-        place = ["doc_id", "page", "class_y"]
-        numbers = found.select(*place).distinct().withColumn("seq", F.row_number().over(W.orderBy(*place)).cast("long"))
-        rows = found.join(numbers, place)
+        # Numbered in the order of the pages, so that ids of new rows are dense and never meet.
+        rows = numbering.numbered(found, ["doc_id", "page", "class_y"], self._work("numbers"))
         rows = rows.withColumn("text_embedding", E.text_embedding(X.combined(F.col("trademark_name"), F.col("description")))).withColumn("description", X.scrubbed(F.col("description")))
         filled = {"category": F.lit(category), "batch_number": F.lit(batch), "batch_year": F.lit(year), "is_split": F.lit(False), "created_at": F.current_timestamp()}
         for field in schema.MARKS:
@@ -55,14 +55,19 @@ class Engine:
 
     def ingest_clients(self, rows: DataFrame, file_name: str, upload_date: Column | None = None) -> int:
         """Append client records (logo_data, logo_embedding, applicant_name, description); gaps are filled from the file."""
-        top = self.clients().agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
-        made = rows.join(F.broadcast(top)).select(
-            (F.col("_top") + 1 + F.monotonically_increasing_id()).alias("id"), F.lit(file_name).alias("file_name"), "logo_data", "logo_embedding",
+        top = self.clients().agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+        wanted = ["logo_data", "logo_embedding", "applicant_name", "description"]
+        made = numbering.numbered(rows.select(*wanted), ["applicant_name", "description"], self._work("numbers"), "id", top + 1).select(
+            "id", F.lit(file_name).alias("file_name"), "logo_data", "logo_embedding",
             X.first_filled(F.col("applicant_name"), default=file_name).alias("applicant_name"), X.first_filled(F.col("description"), default=NO_DESCRIPTION).alias("description"),
             (F.lit(None) if upload_date is None else upload_date).cast("timestamp_ntz").alias("upload_date"),
         )
         return self.catalog.insert(CLIENTS, made)
 
+    def _work(self, name: str) -> str:
+        """A new folder beside the tables for what a change has to write first."""
+        return f"{self.catalog.root}/_work/{name}-{uuid.uuid4().hex}"
+
     def add_user(self, rows: DataFrame) -> int:
         """Insert users; one whose name or address is taken raises ValueError."""
         return self.catalog.insert(USERS, rows, unique=("username", "email"))
@@ -112,14 +117,32 @@ class Engine:
 
     def corpus(self, target: str) -> DataFrame:
         """What queries are compared with: all clients, or the marks of a category."""
-        if target.upper() == "CLIENT":
+        if target.upper() == CLIENT:
             c = self.clients().where(F.col("logo_embedding").isNotNull())
-            return c.select("id", F.col("file_name").alias("serial_number"), F.col("applicant_name").alias("trademark_name"), "applicant_name", "description", F.lit(None).cast("string").alias("class_indices"), F.lit("Client Record").alias("agent_details"), F.lit(None).cast("array<float>").alias("text_vec"), F.col("logo_embedding").alias("logo_vec"), F.lit(None).cast("long").alias("phash"))
+            return c.select("id", F.col("file_name").alias("serial_number"), F.col("applicant_name").alias("trademark_name"), "applicant_name", "description", F.lit(None).cast("string").alias("class_indices"), F.lit("Client Record").alias("agent_details"), "logo_data", F.lit(None).cast("array<float>").alias("text_vec"), F.col("logo_embedding").alias("logo_vec"))
         m = self.marks().where(F.col("category") == target.upper())
-        return m.select("id", "serial_number", "trademark_name", "applicant_name", "description", "class_indices", "agent_details", F.col("text_embedding").alias("text_vec"), F.col("logo_embedding").alias("logo_vec"), F.lit(None).cast("long").alias("phash"))
+        return m.select("id", "serial_number", "trademark_name", "applicant_name", "description", "class_indices", "agent_details", "logo_data", F.col("text_embedding").alias("text_vec"), F.col("logo_embedding").alias("logo_vec"))
+
+    def query_items(self, source: str, embed: Callable[[Column], Column] = E.text_embedding, is_picture: Callable[[Column], Column] = I.is_picture, hashed: Callable[[Column], Column] = I.hash_of) -> DataFrame:
+        """What is compared, from the tables: all clients, or the marks of a category.
+
+        Names and descriptions are embedded as a query's text; a client's applicant is its name. The
+        logo's vector is the stored one.
+        """
+        if source.upper() == CLIENT:
+            rows = self.clients().select("id", F.lit(None).cast("string").alias("serial_number"), F.col("applicant_name").alias("trademark_name"), F.lit(None).cast("string").alias("applicant_name"), "description", "logo_data", "logo_embedding")
+        else:
+            rows = self.marks().where(F.col("category") == source).select("id", "serial_number", "trademark_name", F.lit(None).cast("string").alias("applicant_name"), "description", "logo_data", "logo_embedding")
+        text = X.embeddable(X.combined(F.col("trademark_name"), F.col("description")))
+        logo = F.col("logo_data")
+        return rows.select(
+            F.col("id").alias("qid"), "serial_number", "trademark_name", "applicant_name", "description", embed(text).alias("text_vec"), F.col("logo_embedding").alias("logo_vec"),
+            F.when(logo.isNotNull(), is_picture(logo)).otherwise(False).alias("has_img"), F.when(logo.isNotNull(), hashed(logo)).alias("phash"),
+        )
 
-    def compare(self, queries: DataFrame, target: str, **how) -> DataFrame:
-        return C.compare(queries, self.corpus(target), **how)
+    def compare(self, queries: DataFrame, target: str, hashed: Callable[[Column], Column] = I.hash_of, **how) -> DataFrame:
+        """Ranked matches of the queries; pictures are hashed of those rows alone that are candidates."""
+        return C.compare(queries, self.corpus(target), phash=F.when(F.col("logo_data").isNotNull(), hashed(F.col("logo_data"))), **how)
 
     def get_blob(self, kind: str, key: int) -> DataFrame:
         """The stored bytes of a mark's logo or evidence, or of a client's logo."""

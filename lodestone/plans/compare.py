@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import similarity as S
@@ -50,9 +50,14 @@ def best(rated: DataFrame, k: int = REPORTED, exclude_self: bool = False) -> Dat
     return A.top_of_each(rated, ["qid"], [F.desc(F.greatest("img_sim", "text_sim")), F.asc("id")], k)
 
 
-def compare(queries: DataFrame, corpus: DataFrame, fuzzy: bool = True, compat: bool = False, exclude_self: bool = False) -> DataFrame:
-    """Ranked matches (qid, query_serial, rank, id, serial, label, text_sim, img_sim, …), one row each."""
-    top = best(scored(candidates(queries, corpus), queries, corpus, fuzzy, compat), exclude_self=exclude_self)
+def compare(queries: DataFrame, corpus: DataFrame, fuzzy: bool = True, compat: bool = False, exclude_self: bool = False, phash: Column | None = None) -> DataFrame:
+    """Ranked matches (qid, query_serial, rank, id, serial, label, text_sim, img_sim, …), one row each.
+
+    phash makes the picture hash of a row that a candidate pair needs, where the corpus has none.
+    """
+    pairs = candidates(queries, corpus)
+    rows = corpus if phash is None else corpus.join(pairs.select("id").distinct(), "id", "left_semi").withColumn("phash", phash)
+    top = best(scored(pairs, queries, rows, fuzzy, compat), exclude_self=exclude_self)
     label = X.first_filled(F.col("trademark_name"), F.col("applicant_name"), F.col("serial_number"))
     shown = [c for c in ("description", "class_indices", "agent_details") if c in corpus.columns]
     return top.select("qid", "query_serial", "rank", "id", F.col("serial_number").alias("serial"), label.alias("label"), "text_sim", "img_sim", *shown)

@@ -14,18 +14,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodestone import schema
 from lodestone.functions import embedding as E
 from lodestone.functions import images as I
 from lodestone.functions import similarity as S
 from lodestone.functions import text as X
 from lodestone.functions import vectors as V
 from lodestone.operators import aggregates as A
-from lodestone.operators import contain, dml, extract, pivots, search, segment, trigrams
+from lodestone.operators import buckets, contain, dml, extract, pivots, search, segment, trigrams
 from lodestone.operators import joins as J
 from lodestone.operators import knn as K
 from lodestone.plans import api
 from lodestone.plans import compare as C
-from lodestone.sources import readers, writers
+from lodestone.sources import files, pages, readers, writers
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -64,6 +65,12 @@ def _marks(spark: SparkSession, sf_dir: str) -> DataFrame:
 _MARKS = """(SELECT p_partkey AS id, 'TM ' || lpad(CAST(p_partkey AS VARCHAR), 10, '0') AS serial_number, p_name AS trademark_name, p_brand AS applicant_name,
   p_type AS description, CAST(p_size AS VARCHAR) AS class_indices, CAST(p_partkey % 12 AS VARCHAR) AS batch_number, '2025' AS batch_year FROM part)"""
 
+#: The journal's records from its parts: a line holds twelve words before it leaves the page.
+_RECORDS = """SELECT doc_id, page, class_y, serial_number, '1 January 2025' AS registration_date, '' AS trademark_name, class_indices, applicant_name, '1 ROAD' AS applicant_address, 'A & B' AS agent_details, description,
+  round(0.80 + CASE WHEN length(description) > 50 THEN 0.20 ELSE 0 END, 6) AS completeness FROM (
+  SELECT CAST(CAST(floor(p_partkey / 40) AS BIGINT) AS VARCHAR) AS doc_id, CAST(floor(p_partkey % 40 / 2) AS INTEGER) AS page, 100.0 + p_partkey % 2 * 300 AS class_y, 'TM' || lpad(CAST(p_partkey AS VARCHAR), 10, '0') AS serial_number,
+    CAST(p_size AS VARCHAR) AS class_indices, upper(p_brand) || ' SDN BHD' AS applicant_name, array_to_string(list_slice(string_split(p_name || ' for all that is ' || p_type, ' '), 1, 12), ' ') AS description FROM part) WHERE page >= 1"""
+
 # ------------------------------------------------------------------- neighbours
 
 
@@ -379,6 +386,22 @@ def upsert_snapshot(spark, sf_dir):
     return dml.upserted(part.where("p_partkey % 3 <> 0"), one.unionByName(two), "p_partkey", overwrite=("p_name",), keep=("p_brand",), id_column=None)
 
 
+@_query("""SELECT CAST(p_partkey AS BIGINT) AS id, CAST(p_partkey AS VARCHAR) AS serial_number, CASE WHEN p_partkey % 100 = 1 THEN p_name || ' new' ELSE p_name END AS over, p_brand AS keep FROM part WHERE p_partkey % 10 <> 3
+  UNION ALL SELECT CAST((SELECT max(p_partkey) FROM part WHERE p_partkey % 10 <> 0) + 1 AS BIGINT), 'fresh', 'f', 'g'""")
+def upsert_buckets(spark, sf_dir):
+    """A table in buckets after an insert of two halves, an upsert of one in a hundred rows and a new one, and a delete."""
+    part = _t(spark, sf_dir, "part", "p_partkey", "p_name", "p_brand").select(F.col("p_partkey").cast("long").alias("id"), F.col("p_partkey").cast("string").alias("serial_number"), F.col("p_name").alias("over"), F.col("p_brand").alias("keep"))
+    table = buckets.Table(dml.Catalog(spark, _engine(spark).catalog.root), "parts")
+    table.create(part.schema, "serial_number", 16)
+    table.insert(part.where("id % 10 <> 0"))
+    changed = part.where("id % 100 = 1").select("serial_number", F.concat("over", F.lit(" new")).alias("over"), F.lit("other").alias("keep"), F.col("id").alias("seq"))
+    fresh = spark.range(1).select(F.lit("fresh").alias("serial_number"), F.lit("f").alias("over"), F.lit("g").alias("keep"), F.lit(0).cast("long").alias("seq"))
+    table.upsert(changed.unionByName(fresh), overwrite=("over",), keep=("keep",))
+    table.insert(part.where("id % 10 = 0"))
+    table.delete(part.where("id % 10 = 3").select("id"))
+    return table.read()
+
+
 @_query("SELECT * FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3)")
 def delete_antijoin(spark, sf_dir):
     gone = _t(spark, sf_dir, "customer", "c_custkey", "c_nationkey").where("c_nationkey = 3").select(F.col("c_custkey").alias("o_custkey"))
@@ -423,6 +446,84 @@ def user_by_email(spark, sf_dir):
     return e.user_by_email("canada@example.org").select("id", "role", "is_temporary_password")
 
 
+#: Marks of a catalog: logos of every tenth lie near that of mark 50, some within a tenth and some beyond.
+_STORED = """(SELECT m.*, CASE WHEN id % 3 = 0 THEN 'OTHER' ELSE 'MYIPO' END AS category, CASE WHEN id % 2 = 0 THEN trademark_name END AS logo, id % 10 = 0 AS near,
+  list_transform(raw, lambda x: CAST(x / sqrt(list_inner_product(raw, raw)) AS FLOAT)) AS vec FROM (
+  SELECT m.*, list_transform(range(1, 33), lambda i: CASE WHEN m.id % 10 = 0 THEN CAST(o.embedding[32 + i] AS DOUBLE) + m.id % 7 * CAST(0.1 AS DOUBLE) * CAST(e.embedding[32 + i] AS DOUBLE) ELSE CAST(e.embedding[32 + i] AS DOUBLE) END) AS raw
+  FROM {marks} m JOIN embeddings e ON e.vec_id = m.id, (SELECT embedding FROM embeddings WHERE vec_id = 50) o) m)""".format(marks=_MARKS)
+
+
+def _stocked(spark, sf_dir) -> api.Engine:
+    """An engine whose tables hold marks, and clients from suppliers."""
+    e = _engine(spark)
+    rows = _t(spark, sf_dir, "embeddings", "vec_id", "embedding").select(F.col("vec_id").alias("id"), F.slice("embedding", 1, 32).alias("text_embedding"), F.slice("embedding", 33, 32).cast("array<double>").alias("raw"))
+    o = F.array(*[F.lit(x) for x in _vector(spark, sf_dir, 50)[32:]])
+    share = (F.col("id") % 7).cast("double") * F.lit(0.1)
+    mixed = rows.withColumn("raw", F.when(F.col("id") % 10 == 0, F.zip_with(o, "raw", lambda a, b: a + share * b)).otherwise(F.col("raw")))
+    marks = _marks(spark, sf_dir).join(mixed, "id").withColumns({
+        "logo_embedding": V.unit(F.col("raw")), "category": F.when(F.col("id") % 3 == 0, "OTHER").otherwise("MYIPO"),
+        "logo_data": F.when(F.col("id") % 2 == 0, F.col("trademark_name").cast("binary")),
+    })
+    there = {c.lower() for c in marks.columns}
+    e.catalog.commit(api.MARKS, marks.select(*[(F.col(f.name) if f.name in there else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.MARKS]))
+    clients = _t(spark, sf_dir, "supplier").select(F.col("s_name").cast("binary").alias("logo_data"), F.when(F.col("s_suppkey") % 3 > 0, F.array(F.lit(1.0), F.col("s_acctbal"))).cast("array<float>").alias("logo_embedding"), F.when(F.col("s_suppkey") % 4 > 0, F.col("s_name")).alias("applicant_name"), F.when(F.col("s_suppkey") % 5 > 0, F.format_string("of %d", "s_nationkey")).alias("description"))
+    e.ingest_clients(clients, "suppliers.pdf")
+    return e
+
+
+@_query(f"SELECT id, CASE WHEN batch_number <> '' THEN batch_number || '/2025.pdf' END AS display_name, serial_number, logo IS NOT NULL AS has_logo FROM {_STORED} WHERE class_indices ILIKE '%1%' AND batch_number = '3' AND (trademark_name ILIKE '%a%' OR applicant_name ILIKE '%a%' OR description ILIKE '%a%' OR regexp_replace(serial_number, '\\s+', '', 'g') ILIKE '%a%')")
+def engine_list_marks(spark, sf_dir):
+    return _stocked(spark, sf_dir).list_marks("a", "1", "3", "2025").select("id", "display_name", "serial_number", "has_logo")
+
+
+@_query(f"""SELECT id, serial_number, rank FROM (SELECT *, row_number() OVER (ORDER BY sim DESC, id) AS rank FROM (
+  SELECT s.*, list_inner_product(CAST(s.vec AS DOUBLE[]), CAST(q.vec AS DOUBLE[])) AS sim FROM {_STORED} s, (SELECT vec FROM {_STORED} WHERE id = 50) q) QUALIFY rank <= 10) WHERE 1 - sim <= 0.10 AND class_indices ILIKE '%1%'""")
+def engine_image_search(spark, sf_dir):
+    """Marks within a tenth of a logo, of the ten nearest; the class filter comes after these are taken."""
+    e = _stocked(spark, sf_dir)
+    logo = search.blob(e.marks(), 50, "logo_embedding").first()[0]
+    return e.image_search(logo, class_filter="1").select("id", "serial_number", F.col("rank").cast("long").alias("rank"))
+
+
+@_query(f"""SELECT 'MYIPO' AS target, id, serial_number, trademark_name, applicant_name, class_indices, NULL AS agent_details, TRUE AS has_text FROM {_STORED} WHERE category = 'MYIPO'
+  UNION ALL SELECT 'CLIENT', NULL, 'suppliers.pdf', name, name, NULL, 'Client Record', FALSE FROM (SELECT CASE WHEN s_suppkey % 4 > 0 THEN s_name ELSE 'suppliers.pdf' END AS name FROM supplier WHERE s_suppkey % 3 > 0)""")
+def engine_corpus(spark, sf_dir):
+    """What queries are compared with, of either target."""
+    e = _stocked(spark, sf_dir)
+    parts = [e.corpus(t).select(F.lit(t.upper()).alias("target"), F.when(F.lit(t != "client"), F.col("id")).alias("id"), "serial_number", "trademark_name", "applicant_name", "class_indices", "agent_details", F.col("text_vec").isNotNull().alias("has_text")) for t in ("myipo", "client")]
+    return parts[0].unionByName(parts[1])
+
+
+@_query(f"""SELECT 'OTHER' AS source, id AS qid, serial_number, trademark_name, description, vec IS NOT NULL AS has_logo FROM {_STORED} WHERE category = 'OTHER'
+  UNION ALL SELECT 'CLIENT', row_number() OVER (ORDER BY n NULLS FIRST, d NULLS FIRST, s_suppkey), NULL, coalesce(n, 'suppliers.pdf'), coalesce(d, 'Extracted from PDF'), s_suppkey % 3 > 0
+  FROM (SELECT s_suppkey, CASE WHEN s_suppkey % 4 > 0 THEN s_name END AS n, CASE WHEN s_suppkey % 5 > 0 THEN 'of ' || s_nationkey END AS d FROM supplier WHERE s_suppkey % 4 > 0)""")
+def engine_query_items(spark, sf_dir):
+    """What is compared, from a category and from the clients that have a name of their own; clients are numbered without gaps."""
+    e = _stocked(spark, sf_dir)
+    parts = [e.query_items(s).select(F.lit(s).alias("source"), "qid", "serial_number", "trademark_name", "description", F.col("logo_vec").isNotNull().alias("has_logo")) for s in ("OTHER", "CLIENT")]
+    # Clients without a name come first; among them the order is that of the description, which is not unique.
+    unnamed = e.clients().where("applicant_name = 'suppliers.pdf'").count()
+    named = parts[1].where("trademark_name <> 'suppliers.pdf'").withColumn("qid", F.col("qid") - unnamed)
+    return parts[0].unionByName(named)
+
+
+@_query(f"SELECT 'logo' AS kind, id, logo AS content FROM {_STORED} WHERE id = 50 UNION ALL SELECT 'logo', id, logo FROM {_STORED} WHERE id = 51 UNION ALL SELECT 'evidence', id, NULL FROM {_STORED} WHERE id = 50")
+def engine_get_blob(spark, sf_dir):
+    e = _stocked(spark, sf_dir)
+    asked = [("logo", 50), ("logo", 51), ("evidence", 50), ("client-logo", -1)]
+    return reduce(DataFrame.unionByName, [e.get_blob(kind, i).toDF("content").select(F.lit(kind).alias("kind"), F.lit(i).cast("long").alias("id"), F.col("content").cast("string").alias("content")) for kind, i in asked])
+
+
+@_query(f"""SELECT row_number() OVER (ORDER BY doc_id, page, class_y) AS id, serial_number, class_indices, applicant_name, description, CASE WHEN half = 0 THEN '8' ELSE '7' END AS batch_number, '2025' AS batch_year, 'MYIPO' AS category, 384 AS dim
+  FROM (SELECT *, CAST(substr(serial_number, 3) AS BIGINT) % 2 AS half FROM ({_RECORDS}))""")
+def engine_ingest_journal(spark, sf_dir):
+    """Marks after a journal is taken in, and after half of it is again, as another batch."""
+    e, words = _engine(spark), _journal(spark, sf_dir)
+    e.ingest_journal(words, batch="7", year="2025", start_page=1)
+    e.ingest_journal(words.where("top < 400"), batch="8", year="2025", start_page=1)
+    return e.marks().select("id", "serial_number", "class_indices", "applicant_name", "description", "batch_number", "batch_year", "category", F.size("text_embedding").alias("dim"))
+
+
 @_query("SELECT CAST(o_custkey AS BIGINT) AS o_custkey, string_agg(o_orderkey, ',' ORDER BY rank) FILTER (rank <= 3) AS matches, string_agg(o_orderkey, ',' ORDER BY rank) AS all_matches FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders) WHERE rank <= 20 GROUP BY o_custkey")
 def topk_arrays(spark, sf_dir):
     top = A.top_of_each(_t(spark, sf_dir, "orders", "o_custkey", "o_orderkey", "o_totalprice"), ["o_custkey"], [F.desc("o_totalprice"), F.col("o_orderkey")], 20)
@@ -624,13 +725,6 @@ def _journal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.select("doc_id", "page", F.lit(600.0).alias("page_w"), F.lit(800.0).alias("page_h"), "text", (F.col("at") * 50.0).alias("x0"), (F.col("at") * 50.0 + 40).alias("x1"), top.alias("top"), (top + 10).alias("bottom"))
 
 
-#: The journal's records from its parts: a line holds twelve words before it leaves the page.
-_RECORDS = """SELECT doc_id, page, class_y, serial_number, '1 January 2025' AS registration_date, '' AS trademark_name, class_indices, applicant_name, '1 ROAD' AS applicant_address, 'A & B' AS agent_details, description,
-  round(0.80 + CASE WHEN length(description) > 50 THEN 0.20 ELSE 0 END, 6) AS completeness FROM (
-  SELECT CAST(CAST(floor(p_partkey / 40) AS BIGINT) AS VARCHAR) AS doc_id, CAST(floor(p_partkey % 40 / 2) AS INTEGER) AS page, 100.0 + p_partkey % 2 * 300 AS class_y, 'TM' || lpad(CAST(p_partkey AS VARCHAR), 10, '0') AS serial_number,
-    CAST(p_size AS VARCHAR) AS class_indices, upper(p_brand) || ' SDN BHD' AS applicant_name, array_to_string(list_slice(string_split(p_name || ' for all that is ' || p_type, ' '), 1, 12), ' ') AS description FROM part) WHERE page >= 1"""
-
-
 @_query(f"SELECT doc_id, page, CAST(class_y AS DOUBLE) AS class_y, serial_number, registration_date, trademark_name, class_indices, applicant_name, applicant_address, agent_details, description, CAST(completeness AS DOUBLE) AS completeness FROM ({_RECORDS})")
 def block_fields_parse(spark, sf_dir):
     return extract.records(_journal(spark, sf_dir)).withColumn("completeness", F.round("completeness", 6))
@@ -685,6 +779,59 @@ def hit_records(spark, sf_dir):
     return extract.hit_records(_plain(spark, sf_dir)).drop("at")
 
 
+_PAGE_LINES = 8
+
+
+def _pages(blob: bytes) -> int:
+    return -(-(blob.count(b"\n") + 1) // _PAGE_LINES)
+
+
+def _page_words(blob: bytes, page: int) -> list[dict]:
+    """The words of a page of lines, laid out on a grid; a page with a certain word can't be read."""
+    lines = blob.decode().split("\n")[(page - 1) * _PAGE_LINES : page * _PAGE_LINES]
+    if any("@" in x for x in lines):
+        raise ValueError("damaged")
+    return [{"page_w": 600.0, "page_h": 800.0, "text": w, "x0": 50.0 * i, "x1": 50.0 * i + 40, "top": 20.0 * y, "bottom": 20.0 * y + 10} for y, x in enumerate(lines) for i, w in enumerate(x.split(" ")) if w]
+
+
+@_query(f"""WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)
+  SELECT CAST(doc_id AS VARCHAR) AS doc_id, CAST((i - 1) // {_PAGE_LINES} + 1 AS INTEGER) AS page, CASE WHEN bool_or(contains(line, '@')) THEN 'damaged' ELSE 'read' END AS status,
+    CASE WHEN bool_or(contains(line, '@')) THEN 0 ELSE CAST(sum(len(list_filter(string_split(line, ' '), lambda w: w <> ''))) AS BIGINT) END AS words FROM lines GROUP BY ALL HAVING words > 0 OR status = 'damaged'""")
+def page_errors(spark, sf_dir):
+    """Texts read as documents of pages: the words of every page that can be read, and the pages that can't."""
+    texts = readers.spread(_t(spark, sf_dir, "documents", "doc_id", "text")).select(F.col("doc_id").cast("string").alias("path"), F.col("text").cast("binary").alias("content"))
+    words, errors = pages.page_words(texts, _pages, _page_words)
+    read = words.groupBy("doc_id", "page").agg(F.lit("read").alias("status"), F.count("*").alias("words"))
+    return read.unionByName(errors.select("doc_id", "page", F.col("error").alias("status"), F.lit(0).cast("long").alias("words")))
+
+
+@_query("SELECT s_suppkey || '_' || s_name || '.txt' AS file, CAST(length(s_name) AS BIGINT) AS bytes FROM supplier")
+def file_for_each_row(spark, sf_dir):
+    """A file for each supplier, written in two steps, read back."""
+    path = f"{_shared(spark)}/files-{uuid.uuid4().hex}".removeprefix("file:")
+    named = _t(spark, sf_dir, "supplier").select(F.concat("s_suppkey", F.lit("_"), X.file_safe(F.col("s_name"), 30), F.lit(".txt")).alias("file"), F.col("s_name").alias("content"))
+    files.write(named, path)
+    return readers.files(spark, path).select(F.element_at(F.split("path", "/"), -1).alias("file"), F.length("content").cast("long").alias("bytes"))
+
+
+@_query("SELECT c_custkey, c_name, c_acctbal, c_mktsegment || ' \"q\", x' AS said FROM customer")
+def csv_round_trip(spark, sf_dir):
+    """Rows written as CSV with quotes and commas in them, read back."""
+    path = f"{_shared(spark)}/csv-{uuid.uuid4().hex}"
+    rows = _t(spark, sf_dir, "customer", "c_custkey", "c_name", "c_acctbal", "c_mktsegment").select("c_custkey", "c_name", "c_acctbal", F.concat("c_mktsegment", F.lit(' "q", x')).alias("said"))
+    writers.csv(rows, path)
+    return spark.read.schema(rows.schema).option("header", True).option("escape", '"').csv(path)
+
+
+@_query("SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders")
+def json_lines_round_trip(spark, sf_dir):
+    """Rows written as JSON lines, read back."""
+    path = f"{_shared(spark)}/json-{uuid.uuid4().hex}"
+    rows = _t(spark, sf_dir, "orders", "o_orderkey", "o_orderstatus", "o_totalprice")
+    writers.json_lines(rows, path)
+    return spark.read.schema(rows.schema).json(path)
+
+
 @_query("SELECT event_type, count(*) AS n, CAST(floor(count(*) * 100 / (SELECT count(*) FROM events)) AS INT) AS percent FROM events GROUP BY event_type")
 def progress_percent(spark, sf_dir):
     e = _t(spark, sf_dir, "events", "event_type")

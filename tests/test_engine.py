@@ -14,7 +14,7 @@ from lodestone.functions import images as I
 from lodestone.functions import similarity as S
 from lodestone.functions import text as X
 from lodestone.operators import aggregates as A
-from lodestone.operators import contain, dml, search
+from lodestone.operators import buckets, contain, dml, search
 from lodestone.operators import joins as J
 from lodestone.operators import knn as K
 from lodestone.plans import api
@@ -308,6 +308,51 @@ def test_commit_survives_a_crash_at_every_step(spark, tmp_path, monkeypatch):
     assert [r["id"] for r in dml.Catalog(spark, str(tmp_path / "crash")).read("t").collect()] == [2]
 
 
+def test_table_in_buckets(spark, tmp_path, monkeypatch):
+    """The same rows as a table of whole snapshots after the same changes; a small change writes few buckets, a failed one nothing that is seen."""
+    catalog = dml.Catalog(spark, str(tmp_path / "cat"))
+    rows = spark.createDataFrame([(i, f"s{i}", f"o{i}", f"k{i}") for i in range(400)], "id long, serial_number string, over string, keep string")
+    table, whole = buckets.Table(catalog, "b"), rows
+    table.create(rows.schema, "serial_number", 64)
+    assert table.read().collect() == [] and table.delete(rows.select("id")) == 0
+    table.insert(rows)
+    how = {"overwrite": ("over",), "keep": ("keep",)}
+    batches = [[(0, "s7", "n", "x"), (1, "new", "n", "x"), (2, None, "n", "x"), (3, "new", "m", "y")], [(i, f"s{i * 90}", "z", "z") for i in range(4)], []]
+    for b in batches:
+        batch = spark.createDataFrame(b, "seq long, serial_number string, over string, keep string")
+        before = table.current()[1].folders
+        table.upsert(batch, **how)
+        whole = spark.createDataFrame(dml.upserted(whole, batch, **how).collect(), rows.schema)
+        assert sorted(map(tuple, table.read().collect())) == sorted(map(tuple, whole.collect()))
+        after = table.current()[1].folders
+        assert sum(after[x] != before.get(x) for x in after) <= len(b)
+    # One in a hundred keys: what is written is about the share of the buckets that they are in.
+    written = lambda: {str(p): p.stat().st_size for p in (tmp_path / "cat" / "b").rglob("*.parquet")}
+    before = written()
+    table.upsert(spark.createDataFrame([(i, f"s{i * 100}", "y", "y") for i in range(4)], "seq long, serial_number string, over string, keep string"), **how)
+    assert len(set(written()) - set(before)) <= 4 and sum(written().values()) - sum(before.values()) < sum(before.values()) / 5
+    at = table.current()
+    table.update(F.col("id") == 5, over=F.lit("updated"))
+    assert table.read().where("over = 'updated'").count() == 1
+    assert table.delete(spark.createDataFrame([(5,), (6,), (-1,)], "id long")) == 2 and table.read().where("id in (5, 6)").count() == 0
+    with pytest.raises(OSError):
+        table._write(*at, rows.limit(1), [0])  # a second writer that began at an older version
+    seen = sorted(map(tuple, table.read().collect()))
+    from pyspark.sql import readwriter
+
+    def fail(*_, **__):
+        raise RuntimeError("killed")
+
+    for owner, step in [(readwriter.DataFrameWriter, "parquet"), (dml.Catalog, "_list")]:
+        with monkeypatch.context() as m:
+            m.setattr(owner, step, fail)
+            with pytest.raises(RuntimeError):
+                table.delete(rows.select("id"))
+        assert sorted(map(tuple, table.read().collect())) == seen
+    with pytest.raises(ValueError):
+        table.update(F.lit(True), serial_number=F.lit("x"))
+
+
 def test_containment_of_any_kind_of_id(spark):
     passages = spark.createDataFrame([("p1", "some words"), ("p2", "other")], "pid string, text string")
     texts = spark.createDataFrame([("t1", "here are some words"), ("t2", "Other")], "tid string, text string")
