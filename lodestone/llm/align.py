@@ -41,9 +41,9 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import shared_folder, table
 
 #: Segments that are remembered and their characters at most; pairs of ids that are broadcast.
-CACHED, CACHE_CHARS, HOT = 300_000, 64, 200_000
+CACHED, CACHE_CHARS, HOT = 200_000, 64, 200_000
 #: Characters of segments that are read in one go; characters of documents that are worked on at once, and links of a group from which its ids are counted first.
-JOINED, CHUNK, WIDE = 16_384, 4_000_000, 4096
+JOINED, CHUNK, WIDE = 16_384, 1_000_000, 4096
 #: Fixed value: what byte-level tokenizers split a text by.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _BORDER = re.compile(r"(?<=\S)(?= )")
