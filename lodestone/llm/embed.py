@@ -3,15 +3,15 @@
 Every vector is projected on many random directions, in blocks of an orthonormal basis each. Sorted
 by size, the largest projection of a block says which way the vector points; the directions that
 come first in ``k`` blocks are the vector's key in a table. Vectors that share a key in one of the
-tables are compared there by collision counting: further projections are windows centred on each
-vector, a pair's count is in how many of them the other one falls within the window, and pairs
-whose count reaches a bound are verified by cosine in double precision. No projection is sorted: the
-windows are tested for every pair of a key, so n vectors of one key cost n^2 tests. Window and bound are set so
-that a pair exactly at the threshold passes with the wanted recall, as is the number of tables; the
-probabilities are measured on random pairs at the threshold.
+tables are compared there by collision counting: a block of them is sorted along each of further
+projections, a window centred on each vector is a run of that order, a pair's count is in how many
+windows the other one falls, and pairs whose count reaches a bound are verified by cosine in double
+precision. Window and bound are set so that a pair exactly at the threshold passes with the wanted
+recall, as is the number of tables; the probabilities are measured on random pairs at the threshold.
 
 Windows over all vectors would hold a fixed share of all pairs; the tables make them sparse, so the
-work grows as a small power above the input and not as its square. A pair is judged in the first
+work grows as a small power above the input and not as its square. n vectors of one key still cost
+n^2 counts, and that many links have to be counted where they are near copies. A pair is judged in the first
 table where it meets and only there. Links are not written out as pairs: a block of vectors emits
 counts for each vector, and of its links a forest that connects the same vectors.
 
@@ -129,12 +129,26 @@ def classes(df: DataFrame, key: str, vector: str) -> tuple[DataFrame, DataFrame]
     return rows.select(key, "c"), reps
 
 
+def collisions(za: np.ndarray, zb: np.ndarray, half: float, orders: np.ndarray) -> np.ndarray:
+    """In how many windows centred on each row of za each row of zb falls; orders sorts zb along each projection."""
+    counts = np.zeros((len(za), len(zb)), np.uint8)
+    rows = np.arange(len(za))
+    for t in range(za.shape[1]):
+        line = zb[orders[:, t], t]
+        edge = np.zeros((len(za), len(zb) + 1), np.int8)
+        edge[rows, np.searchsorted(line, za[:, t] - half, side="left")] += 1
+        edge[rows, np.searchsorted(line, za[:, t] + half, side="right")] -= 1
+        counts[:, orders[:, t]] += np.cumsum(edge[:, :-1], axis=1, dtype=np.int8).view(np.uint8)
+    return counts
+
+
 def _compare(a, b, same: bool, table_at: int, p: Plan, threshold: float):
     """Links between two blocks that first meet in this table: indices into a and b."""
     pairs_a, pairs_b = [], []
+    orders = np.argsort(b["z"], axis=0, kind="stable")
     for at in range(0, len(a["x"]), 256):
         xa, ka, za = a["x"][at : at + 256], a["keys"][at : at + 256], a["z"][at : at + 256]
-        open_ = np.ones((len(xa), len(b["x"])), bool)
+        open_ = collisions(za, b["z"], p.half, orders) >= p.bound
         if same:
             open_ &= np.arange(at, at + len(xa))[:, None] < np.arange(len(b["x"]))[None, :]
         for t in range(table_at):
@@ -142,9 +156,6 @@ def _compare(a, b, same: bool, table_at: int, p: Plan, threshold: float):
         i, j = np.nonzero(open_)
         for cut in range(0, len(i), 200_000):
             ii, jj = i[cut : cut + 200_000], j[cut : cut + 200_000]
-            count = (np.abs(za[ii] - b["z"][jj]) <= p.half).sum(axis=1)
-            passed = count >= p.bound
-            ii, jj = ii[passed], jj[passed]
             cosine = np.einsum("ij,ij->i", xa[ii], b["x"][jj])
             linked = cosine >= threshold
             pairs_a.append(ii[linked] + at)

@@ -16,7 +16,7 @@ from llm_helpers import rows_of
 from pyspark.sql import functions as F
 
 from lodestone import llm
-from lodestone.llm import align, langid, negatives
+from lodestone.llm import align, embed, langid, negatives
 
 # ------------------------------------------------------------------------ hard negatives
 
@@ -85,6 +85,17 @@ def test_best_in_any_order(hits, k, step):
         assert [(-s, i) for s, i in zip(best.scores[row].tolist(), best.ids[row].tolist(), strict=True) if s > -math.inf] == want
 
 
+# ------------------------------------------------------------------------------ collisions
+
+
+def test_windows_of_sorted_projections():
+    rng = np.random.default_rng(9)
+    za, zb = rng.normal(size=(17, 64)), rng.normal(size=(40, 64))
+    zb[3] = zb[4]  # ties
+    got = embed.collisions(za, zb, 0.5, np.argsort(zb, axis=0, kind="stable"))
+    assert got.tolist() == (np.abs(za[:, None] - zb[None]) <= 0.5).sum(axis=2).tolist()
+
+
 # ------------------------------------------------------------------------------ language
 
 
