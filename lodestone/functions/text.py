@@ -185,8 +185,9 @@ def batch_is_valid(batch: Column) -> Column:
     return F.coalesce(batch.rlike(r"^\d{1,2}$"), F.lit(False))
 
 
-def year_is_valid(year: Column) -> Column:
-    return F.coalesce(year.rlike(r"^\d{4}$") & (year.try_cast("int") <= F.year(F.current_date())), F.lit(False))
+def year_is_valid(year: Column, latest: Column | None = None) -> Column:
+    """Whether a text is a year of four digits that isn't after the latest, the current one if none is given."""
+    return F.coalesce(year.rlike(r"^\d{4}$") & (year.try_cast("int") <= (F.year(F.current_date()) if latest is None else latest)), F.lit(False))
 
 
 def display_label(file_name: Column, batch: Column, year: Column, serial: Column, key: Column) -> Column:

@@ -698,14 +698,14 @@ def text_functions(spark, sf_dir):
     return _t(spark, sf_dir, "part").select("p_partkey", X.normalized(n).alias("normalized"), X.without_spaces(n).alias("spaceless"), X.combined(n, F.col("p_type")).alias("combined"), X.file_safe(F.concat(n, F.lit("?*"))).alias("file_safe"), X.is_upper(F.col("p_type")).alias("is_upper"), X.embeddable(odd).alias("embeddable"))
 
 
-@_query("""SELECT c_custkey, CASE WHEN n <= 2 THEN 'weak' WHEN n <= 4 THEN 'medium' ELSE 'strong' END AS strength, c_custkey % 2 = 0 AS is_email, c_custkey < 100 AS batch_ok, c_custkey % 60 + 2000 <= year(current_date) AND c_custkey % 7 > 0 AS year_ok FROM (
+@_query("""SELECT c_custkey, CASE WHEN n <= 2 THEN 'weak' WHEN n <= 4 THEN 'medium' ELSE 'strong' END AS strength, c_custkey % 2 = 0 AS is_email, c_custkey < 100 AS batch_ok, c_custkey % 60 + 2000 <= 2025 AND c_custkey % 7 > 0 AS year_ok FROM (
   SELECT c_custkey, (length(p) >= 8)::INT + regexp_matches(p, '[A-Z]')::INT + regexp_matches(p, '[a-z]')::INT + regexp_matches(p, '[0-9]')::INT + regexp_matches(p, '[!@#$%^&*(),.?":{}|<>]')::INT AS n FROM (SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN c_name WHEN 1 THEN lower(c_mktsegment) ELSE c_mktsegment || '#a1' END AS p FROM customer))""")
 def validation(spark, sf_dir):
     k = F.col("c_custkey")
     p = F.when(k % 3 == 0, F.col("c_name")).when(k % 3 == 1, F.lower("c_mktsegment")).otherwise(F.concat("c_mktsegment", F.lit("#a1")))
     mail = F.when(k % 2 == 0, F.concat("c_name", F.lit("@example.org"))).when(k % 3 == 0, F.concat("c_name", F.lit("@example"))).otherwise(F.col("c_name"))
     year = F.concat(F.when(k % 7 == 0, "x").otherwise(""), (k % 60 + 2000).cast("string"))
-    return _t(spark, sf_dir, "customer").select("c_custkey", X.password_strength(p).alias("strength"), X.is_email(mail).alias("is_email"), X.batch_is_valid(k.cast("string")).alias("batch_ok"), X.year_is_valid(year).alias("year_ok"))
+    return _t(spark, sf_dir, "customer").select("c_custkey", X.password_strength(p).alias("strength"), X.is_email(mail).alias("is_email"), X.batch_is_valid(k.cast("string")).alias("batch_ok"), X.year_is_valid(year, F.lit(2025)).alias("year_ok"))
 
 
 @_query("SELECT trim(split_part(line, ';', 1)) AS owner, trim(substr(line, strpos(line, ';') + 1)) AS address, id FROM (SELECT p_partkey AS id, p_brand || ' SDN ; ' || p_type || '; ' || p_size AS line FROM part)")

@@ -84,8 +84,15 @@ def test_nearest_each_against_brute_force(spark):
 def test_containment(spark):
     p = spark.createDataFrame([(1, "ab-c"), (2, "ABC"), (3, ""), (4, "bcd"), (5, None)], "item_id long, text string")
     t = spark.createDataFrame([(10, "x abc y"), (11, "a b c"), (12, "C"), (13, "zzz"), (14, None)], "doc_id long, text string")
-    got = {(r["item_id"], r["doc_id"], r["score"]) for r in contain.literal_matches(p, t, "item_id", "doc_id").collect()}
-    assert got == {(1, 10, 0.85), (2, 10, 0.85), (1, 11, 1.0), (2, 11, 1.0), (1, 12, 0.85), (2, 12, 0.85), (4, 12, 0.85)}
+    for chars in (contain.BLOCK_CHARS, 3):  # one block, and a grid
+        got = sorted((r["item_id"], r["doc_id"], r["score"]) for r in contain.literal_matches(p, t, "item_id", "doc_id", block_chars=chars).collect())
+        assert got == [(1, 10, 0.85), (1, 11, 1.0), (1, 12, 0.85), (2, 10, 0.85), (2, 11, 1.0), (2, 12, 0.85), (4, 12, 0.85)]
+
+
+@given(st.lists(st.text("AB", min_size=1, max_size=5), max_size=12), st.text("AB", min_size=1, max_size=7))
+def test_finder(passages, text):
+    got = sorted(contain.Finder(list(enumerate(passages))).matches(text))
+    assert got == [(i, 1.0 if p == text else 0.85) for i, p in enumerate(passages) if p in text or text in p]
 
 
 def test_previous_and_next_is_strict(spark):
