@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -10,13 +11,14 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from llm_helpers import rows_of
 from pyspark.sql import functions as F
 
 from lodestone import llm
-from lodestone.llm import align, embed, langid, negatives
+from lodestone.llm import align, common, embed, langid, negatives, pii
 
 # ------------------------------------------------------------------------ hard negatives
 
@@ -246,3 +248,103 @@ def test_borders(lengths, rng):
     a, b = align.borders(np.array(lengths), other)
     shared = sorted(set(np.cumsum(lengths).tolist()) & set(np.cumsum(other).tolist()))
     assert a.tolist() == [np.searchsorted(shared, e) for e in np.cumsum(lengths)] and b.tolist() == [np.searchsorted(shared, e) for e in np.cumsum(other)]
+
+
+# --------------------------------------------------------------------- discovered spans
+
+
+def plain_patterns(h):
+    clean = lambda c: regex.sub(r"^[^\p{L}0]+|[^\p{L}0:=]+$", "", regex.sub("[0-9]", "0", c.lower()))
+    words, after = [[w for w in re.split(r"[ \t\n\x0b\f\r]+", h[c]) if w] for c in ("before", "after")]
+    one, two, then = (words or [""])[-1], (["", *words])[-2] if len(words) > 1 else "", (after or [""])[0]
+    return [f"before {clean(two)} {clean(one)}", f"around {clean(one)} {clean(then)}"]
+
+
+def plain_discovery(rows):
+    """{doc_id: spans that patterns add}, by loops over all hits; rows have doc_id, base and other."""
+    edges = {(p, h["text"].lower(), h["kind"]) for r in rows for h in (*r["base"], *r["other"]) for p in plain_patterns(h)}
+    seeds = Counter((p, k) for p, _, k in edges if k >= 0)
+    fit = {x for x, n in seeds.items() if n >= pii.SEEDS}
+    graph = {e for e in edges if e[0] in {p for p, _ in fit}}
+    strings, known = defaultdict(set), {s for _, s, k in graph if k >= 0}
+    for p, s, _ in graph:
+        strings[p].add(s)
+    total = {(p, k): len({s for q, s, j in graph if (q, j) == (p, k)}) for p, k in fit}
+    confidence = {(p, k): n / (len(strings[p]) + 1) for (p, k), n in total.items()}
+    for _ in range(pii.ROUNDS):
+        doubt = defaultdict(lambda: 1.0)
+        for (p, k), c in confidence.items():
+            for s in strings[p] - known:
+                doubt[s, k] *= 1 - min(c, 0.999999)
+        confidence = {(p, k): (n + sum(1 - doubt[s, k] for s in strings[p] - known)) / (len(strings[p]) + 1) for (p, k), n in total.items()}
+    sure = {x for x, c in confidence.items() if c >= pii.CONFIDENCE}
+    out = {}
+    for r in rows:
+        met = {((h["start"], k, h["end"]), p) for h in r["other"] for p in plain_patterns(h) for k in range(4) if (p, k) in sure and regex.search(pii._SHAPE[pii.KINDS[k]], h["text"])}
+        out[r["doc_id"]] = {span for span, n in Counter(s for s, _ in met).items() if n > 1}
+    return out
+
+
+def contexts(seed, n=400):
+    """Documents that name identifiers in few contexts; some in forms that no base pattern takes, and other numbers elsewhere."""
+    rng = random.Random(seed)
+    digits = lambda k: "".join(rng.choices("0123456789", k=k))
+    forms = {
+        "phone": (["please call me at {} or write", "tel: {} (office)", "reach us on {} any day"], lambda: f"+1 212 555 {digits(4)}", lambda: rng.choice([f"212-555-{digits(4)}", f"(212) 555 {digits(4)}", f"212 555 {digits(4)}"])),
+        "email": (["mail me under {} soon", "contact {} for more"], lambda: f"u{digits(5)}@example.org", lambda: f"u{digits(5)}@localhost"),
+        "ip": (["the server at {} went down", "login from {} was refused"], lambda: ".".join(str(rng.randrange(256)) for _ in range(4)), lambda: ".".join(str(rng.randrange(300, 900)) for _ in range(4))),
+    }
+    elsewhere = ["order {} was sent", "costs {} in all", "see page {} there", "item {} of the list"]
+    docs, hidden = [], {}
+    for i in range(n):
+        kind = rng.choice(list(forms))
+        said, plain, odd = forms[kind]
+        unseen = rng.random() < 0.2
+        value = (odd if unseen else plain)()
+        line = rng.choice(said).format(value)
+        start = rng.choice(["", "Hello. ", "In short: "]) + ("x " if rng.random() < 0.1 else "")
+        if unseen:
+            at = len(start) + line.index(value)
+            hidden[i] = (at, pii.KINDS.index(kind), at + len(value))
+        docs.append((i, start + line + " " + rng.choice(elsewhere).format(digits(rng.choice([6, 8, 12])))))
+    return docs, hidden
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_discovery_against_plain_rounds(spark, seed):
+    docs, _ = contexts(seed)
+    df = spark.createDataFrame(docs + [(10_000, None), (10_001, "")], "doc_id long, text string")
+    found = [r.asDict(recursive=True) for r in pii.spans(df).select("doc_id", "base", "other").collect()]
+    want = plain_discovery(found)
+    base = {r["doc_id"]: {(h["start"], h["kind"], h["end"]) for h in r["base"]} for r in found}
+    got = {r["doc_id"]: {(s["start"], s["kind"], s["end"]) for s in r["spans"]} for r in pii.find(df).collect()}
+    assert got == {i: base[i] | want[i] for i in got} and sum(map(len, want.values())) > 40
+
+
+def test_discovery_of_hidden_identifiers(spark):
+    """How much of what no base pattern takes is found by its context, and how much else is."""
+    right = wrong = missed = 0
+    for seed in (3, 4):
+        docs, hidden = contexts(seed, 600)
+        for r in pii.find(spark.createDataFrame(docs, "doc_id long, text string")).collect():
+            added = {(s["start"], s["kind"], s["end"]) for s in r["spans"]} - {(s["start"], s["kind"], s["end"]) for s in r["base"]}
+            want = {hidden[r["doc_id"]]} if r["doc_id"] in hidden else set()
+            right, wrong, missed = right + len(added & want), wrong + len(added - want), missed + len(want - added)
+    print(f"\nhidden identifiers: precision {right / max(1, right + wrong):.3f}, recall {right / max(1, right + missed):.3f} of {right + missed}")
+    assert right / (right + wrong) >= 0.95 and right / (right + missed) >= 0.8
+
+
+# ---------------------------------------------------------------------------- hot keys
+
+
+def test_one_component_of_all_rows_is_many_tasks(spark):
+    """What is dealt for the joins of a star lies evenly in all partitions, not by the hub."""
+    nodes = spark.range(30_000).withColumnRenamed("id", "u").withColumn("m", F.lit(0))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # which would put small partitions together
+    try:
+        sizes = [r["count"] for r in common.apart(nodes, "u").groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(sizes) > 1 and max(sizes) < 2 * 30_000 / len(sizes)
+    star = spark.range(1, 3000).select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b"))
+    assert common.connected_components(star, "a", "b").groupBy("root").count().collect() == [(0, 3000)]
