@@ -84,11 +84,11 @@ class Index:
 
     def wanted(self, words: str) -> list[str] | None:
         """The rarest grams that a row with the words has; None if they have none, an empty list if no row has them all."""
-        lowered = self.spark.range(1).select(F.lower(F.lit("".join(words.split())))).first()[0]
-        runs = literal_runs(lowered)
+        one = self.spark.sql("SELECT 1 AS one")  # constants over it are folded, so no job runs
+        runs = literal_runs(one.select(F.lower(F.lit("".join(words.split())))).first()[0])
         if not runs:
             return None
-        asked = {g for r in self.spark.createDataFrame([(r,) for r in runs], "run string").select(grams(F.col("run"))).collect() for g in r[0]}  # a few for each word
+        asked = set(one.select(F.flatten(F.array(*[grams(F.lit(r)) for r in runs]))).first()[0])  # a few for each word
         if not asked:
             return None
         there = self._of(self.spark.read.schema(_FREQUENCY).parquet(f"{self.path}/frequency"), asked)
@@ -97,9 +97,7 @@ class Index:
 
     def _of(self, table: DataFrame, wanted: Sequence[str]) -> DataFrame:
         """The rows of some grams, from the files of their buckets."""
-        listed = sorted(wanted)
-        buckets = {r[0] for r in self.spark.createDataFrame([(g,) for g in listed], "gram string").select(bucket(F.col("gram"), self.buckets)).collect()}
-        return table.where(F.col("bucket").isin(sorted(buckets)) & F.col("gram").isin(listed))
+        return table.where(F.col("bucket").isin([bucket(F.lit(g), self.buckets) for g in wanted]) & F.col("gram").isin(sorted(wanted)))
 
     def candidates(self, wanted: Sequence[str]) -> DataFrame:
         """(row): hashes of rows that have all of the grams in one field."""

@@ -21,6 +21,10 @@ def spark(tmp_path_factory):
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "4g")
+        .config("spark.sql.ui.retainedExecutions", "2")  # plans of hundreds of tests would fill the driver
+        .config("spark.ui.retainedJobs", "20")
+        .config("spark.ui.retainedStages", "20")
+        .config("spark.ui.retainedTasks", "200")
         .config("spark.sql.warehouse.dir", str(tmp_path_factory.mktemp("warehouse")))
         .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("checkpoints")))
         .getOrCreate()
