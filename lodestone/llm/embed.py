@@ -132,13 +132,13 @@ def classes(df: DataFrame, key: str, vector: str) -> tuple[DataFrame, DataFrame]
 def collisions(za: np.ndarray, zb: np.ndarray, half: float, orders: np.ndarray) -> np.ndarray:
     """In how many windows centred on each row of za each row of zb falls; orders sorts zb along each projection."""
     counts = np.zeros((len(za), len(zb)), np.uint8)
-    rows = np.arange(len(za))
+    kind = np.uint16 if len(zb) < 2**16 else np.uint32
+    rank = np.empty(len(zb), kind)
     for t in range(za.shape[1]):
+        rank[orders[:, t]] = np.arange(len(zb), dtype=kind)
         line = zb[orders[:, t], t]
-        edge = np.zeros((len(za), len(zb) + 1), np.int8)
-        edge[rows, np.searchsorted(line, za[:, t] - half, side="left")] += 1
-        edge[rows, np.searchsorted(line, za[:, t] + half, side="right")] -= 1
-        counts[:, orders[:, t]] += np.cumsum(edge[:, :-1], axis=1, dtype=np.int8).view(np.uint8)
+        first, behind = (np.searchsorted(line, za[:, t] + side, side=way).astype(kind) for side, way in ((-half, "left"), (half, "right")))
+        counts += rank[None, :] - first[:, None] < (behind - first)[:, None]  # unsigned: ranks before the window are far behind it
     return counts
 
 
