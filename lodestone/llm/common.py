@@ -125,6 +125,7 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
         links = stored(large.join(smaller, "u").select(stars.alias("e")).select("e.u", "e.v").where("u > v").distinct(), f"{folder}/{i}")
         for done in (f"{i - 1}", f"{i}-large"):
             delete(spark, f"{folder}/{done}")
+        release(spark)
         now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             break
