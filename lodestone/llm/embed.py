@@ -44,8 +44,8 @@ TABLE_RECALL, COUNT_RECALL = 0.9995, 0.99999
 #: Windows that are counted, and half their width in standard deviations at the threshold.
 WINDOWS, WIDTH = 64, 2.0
 SEED = 5
-#: Vectors of a block.
-BLOCK = 1024
+#: Vectors of a block, and open pairs from which a block is sorted along its projections.
+BLOCK, FEW = 1024, 4096
 
 
 @dataclass(frozen=True)
@@ -143,19 +143,29 @@ def collisions(za: np.ndarray, zb: np.ndarray, half: float, orders: np.ndarray)
 
 
 def _compare(a, b, same: bool, table_at: int, p: Plan, threshold: float):
-    """Links between two blocks that first meet in this table: indices into a and b."""
-    pairs_a, pairs_b = [], []
-    orders = np.argsort(b["z"], axis=0, kind="stable")
+    """Links between two blocks that first meet in this table: indices into a and b.
+
+    Where few pairs of a block are open, as under a key of few vectors, each is held against the
+    windows by itself, which is the same count.
+    """
+    pairs_a, pairs_b, orders = [], [], None
     for at in range(0, len(a["x"]), 256):
         xa, ka, za = a["x"][at : at + 256], a["keys"][at : at + 256], a["z"][at : at + 256]
-        open_ = collisions(za, b["z"], p.half, orders) >= p.bound
+        open_ = np.ones((len(xa), len(b["x"])), bool)
         if same:
             open_ &= np.arange(at, at + len(xa))[:, None] < np.arange(len(b["x"]))[None, :]
         for t in range(table_at):
             open_ &= ka[:, t, None] != b["keys"][None, :, t]
+        few = np.count_nonzero(open_) <= max(FEW, open_.size // 8)
+        if not few:
+            orders = np.argsort(b["z"], axis=0, kind="stable") if orders is None else orders
+            open_ &= collisions(za, b["z"], p.half, orders) >= p.bound
         i, j = np.nonzero(open_)
         for cut in range(0, len(i), 200_000):
             ii, jj = i[cut : cut + 200_000], j[cut : cut + 200_000]
+            if few:
+                passed = (np.abs(za[ii] - b["z"][jj]) <= p.half).sum(axis=1) >= p.bound
+                ii, jj = ii[passed], jj[passed]
             cosine = np.einsum("ij,ij->i", xa[ii], b["x"][jj])
             linked = cosine >= threshold
             pairs_a.append(ii[linked] + at)
