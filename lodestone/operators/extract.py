@@ -28,7 +28,7 @@ def blocks(words: DataFrame) -> DataFrame:
     lines = A.lines_of(words)
     heads = lines.where(F.col("line").rlike(f"(?i){X.CLASS_LINE}")).select(*PAGE, "y", F.lit(1).alias("one"))
     agents = lines.where(F.upper(F.trim("line")).startswith("AGENT")).select(*PAGE, "y", F.col("y").alias("agent_y"))
-    placed = J.previous_and_next(heads, agents, PAGE, "y", "agent_y", part_rows=None).join(sized, PAGE)
+    placed = J.previous_and_next(heads, agents, PAGE, "y", "agent_y", part_rows=None).join(sized.hint("merge"), PAGE)  # pages are as many as words are, in Spark's estimate few
     above = F.when(F.coalesce("previous", F.lit(0.0)) != 0, F.col("previous") + AFTER_AGENT).otherwise(F.greatest(F.col("y") - BEFORE_CLASS, F.lit(float(TOP_MARGIN))))
     below = F.when(F.coalesce("next", F.lit(0.0)) != 0, F.col("next") + BELOW_AGENT).otherwise(F.col("page_h") - BOTTOM_MARGIN)
     found = placed.select(*PAGE, F.col("y").alias("class_y"), F.lit(0.0).alias("bx0"), above.alias("by0"), F.col("page_w").alias("bx1"), below.alias("by1"))

@@ -55,6 +55,7 @@ def inside(items: DataFrame, boxes: DataFrame, on: Sequence[str], axis: str = "y
     than itself; an item lies in one bin of each size that boxes have. Both are joined by bin, so an
     item meets boxes near it only, and a page with very many of both is many tasks' work; the edges
     are compared after that. Sizes are found by one pass over the boxes if they aren't given.
+    Both sides are shuffled: by what Spark estimates, words made from a small table would be sent through the driver.
     Unbounded boxes, and what has no place (null, not a number, or ends before it begins), meet all.
     """
     begin, end, low, high = map(F.col, _AXES[axis])
@@ -71,6 +72,7 @@ def inside(items: DataFrame, boxes: DataFrame, on: Sequence[str], axis: str = "y
     placed = F.transform(own, lambda b: F.struct(F.col("_size").alias("size"), b.alias("bin")))
     filed = sized.withColumn("_bin", F.explode(F.concat(placed, F.array(F.struct(F.lit(_ANY_ITEM).alias("size"), F.lit(0).cast("long").alias("bin")))))).drop("_size")
     present = sorted({r[0] for r in sized.select("_size").distinct().collect()}) if sizes is None else [*sorted(sizes), _ANY_BOX]  # at most one for each size
+    filed = filed.hint("merge")
     bins = [F.struct(F.lit(s).alias("size"), (F.lit(0).cast("long") if s == _ANY_BOX else bin_of(begin, F.lit(float(s)))).alias("bin")) for s in present]
     alone = F.struct(F.lit(_ANY_ITEM).alias("size"), F.lit(0).cast("long").alias("bin"))
     asked = items.withColumn("_bin", F.explode(F.when(placeless(begin, end), F.array(alone)).otherwise(F.array(*bins) if bins else F.array(alone))))

@@ -96,6 +96,15 @@ def test_inside_meets_few_on_one_page(spark):
     assert made == 2000
 
 
+def test_inside_never_broadcasts_items(spark, smallest):
+    """Words made from a small table look few to Spark, and would all be sent through the driver."""
+    from lodestone.registry import queries
+
+    for name in ("block_fields_parse", "extraction_progress"):
+        plan = queries()[name](spark, smallest)._jdf.queryExecution().sparkPlan().toString()
+        assert "BuildLeft" not in plan and "BroadcastHashJoin [doc_id" not in plan, name
+
+
 # ------------------------------------------------------------------------------ sequences
 
 
