@@ -105,6 +105,23 @@ def test_inside_never_broadcasts_items(spark, smallest):
         assert "BuildLeft" not in plan and "BroadcastHashJoin [doc_id" not in plan, name
 
 
+def test_inside_sends_few_boxes_to_the_items(spark):
+    """A few boxes go to the items, which aren't shuffled; more than that are shuffled, with the same result."""
+    items = spark.range(3000).select(F.col("id").alias("item"), *[F.lit(0.0).alias(c) for c in ("x0", "x1")], *[(F.col("id") % 700).cast("double").alias(c) for c in ("top", "bottom")])
+    boxes = spark.range(60).select(F.col("id").alias("box"), *[F.lit(0.0).alias(c) for c in ("bx0", "bx1")], (F.col("id") * 11.0).alias("by0"), (F.col("id") * 12.0 + 3).alias("by1"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sent, dealt = J.inside(items, boxes, []), J.inside(items, boxes, [], few=59)
+        plans = [x._jdf.queryExecution().sparkPlan().toString() for x in (sent, dealt)]
+        assert "BroadcastHashJoin" in plans[0] and "BuildRight" in plans[0] and "SortMergeJoin" in plans[1]
+        got = [Counter((r["item"], r["box"]) for r in x.collect()) for x in (sent, dealt)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    want = Counter((i, b) for i in range(3000) for b in range(60) if b * 11 <= i % 700 <= b * 12 + 3)
+    assert got == [want, want]
+
+
 # ------------------------------------------------------------------------------ sequences
 
 
