@@ -14,7 +14,10 @@ class Best:
 
     def add(self, scores: np.ndarray, values: np.ndarray) -> None:
         """Add a batch: scores of every row with each of its members, whose values are given in the order that ties go by."""
-        rows, at = np.nonzero(scores > self.scores[:, -1][:, None])  # a tie with the last one came later than that
+        better = scores > self.scores[:, -1][:, None]  # a tie with the last one came later than that
+        if scores.shape[1] > self.k and self.seen < 4 * self.k:  # while little is held nearly all would pass: of a batch, only its own k best can
+            better &= scores >= np.partition(scores, -self.k, axis=1)[:, -self.k][:, None]
+        rows, at = np.nonzero(better)
         if len(rows):
             got = scores[rows, at]
             own = np.unique(rows)

@@ -14,8 +14,8 @@ from pyspark.sql import types as T
 from lodestone.functions import vectors as V
 from lodestone.functions.topk import Best
 
-#: Queries of a block and values in it, at most; rows of the corpus in a cell, about; tasks that a grid is dealt to, at most.
-BLOCK_ROWS, BLOCK_VALUES, CELL_ROWS, MOST_TASKS = 4096, 4_000_000, 100_000, 20_000
+#: Queries of a block and values in it, at most; rows of the corpus in a cell, about; tasks that a grid is dealt to, at most; products that a task holds at once.
+BLOCK_ROWS, BLOCK_VALUES, CELL_ROWS, MOST_TASKS, PRODUCTS = 4096, 4_000_000, 100_000, 20_000, 1_000_000
 
 
 def nearest(corpus: DataFrame, query: Sequence[float], k: int = 10, key: str = "id", vector: str = "vector") -> DataFrame:
@@ -39,7 +39,7 @@ def nearest_each(queries: DataFrame, corpus: DataFrame, k: int, qid: str = "qid"
 
     Queries and corpus are dealt into blocks, and each two of them meet in a cell of a grid, which
     is one task's work: it holds the queries of its block and multiplies them with the corpus as that
-    streams by, sorted by key, keeping k hits of each query. What cells have kept is merged by one
+    streams by, sorted by key, a few rows at once, keeping k hits of each query. What cells have kept is merged by one
     window whose limit also holds below its shuffle. Nothing is gathered on the driver but two
     counts, and a task holds one block of queries, whatever the size of either side.
 
@@ -90,7 +90,9 @@ def nearest_each(queries: DataFrame, corpus: DataFrame, k: int, qid: str = "qid"
                         best = Best(len(matrix), k)
                     values = np.empty(b - a, object)
                     values[:] = part.column(5).to_pylist()
-                    best.add(matrix @ vectors.T, values)
+                    step = max(1, PRODUCTS // len(matrix))
+                    for i in range(0, b - a, step):
+                        best.add(matrix @ vectors[i : i + step].T, values[i : i + step])
         yield from done()
 
     found = named.select(*cell, "side", "q", "c", "v", "h").mapInArrow(run, T.StructType([T.StructField("h", T.LongType()), T.StructField("q", q_type), T.StructField("c", id_type), T.StructField("sim", T.DoubleType())]))

@@ -2,6 +2,7 @@
 
 import math
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -47,6 +48,30 @@ def test_grid_of_a_hundred_thousand_queries(spark):
         assert math.isclose(some[r["qid"]]["sim"], sims.max()) and math.isclose(sims[some[r["qid"]]["id"]], sims.max())
 
 
+def test_best_holds_little_of_a_batch():
+    """The first batch doesn't put all of its scores in order."""
+    scores = np.random.default_rng(3).random((500, 4000))
+    best = Best(500, 5)
+    tracemalloc.start()
+    best.add(scores, np.arange(4000).astype(object))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 3 * scores.nbytes
+    row, value, score = best.held()
+    assert len(row) == 2500 and all(set(value[row == r]) == set(np.argsort(-scores[r])[:5]) for r in range(0, 500, 50))
+
+
+def test_grid_in_small_steps(spark, monkeypatch):
+    """The same neighbours, ties by key, however few products a task holds at once."""
+    vector = lambda seed: F.array(*[(F.xxhash64("id", F.lit(seed + i)) % 4).cast("double") for i in range(3)])
+    q, c = spark.range(40).withColumn("vector", vector(0)).withColumnRenamed("id", "qid"), spark.range(500).withColumn("vector", vector(5))
+    found = []
+    for products in (K.PRODUCTS, 90):
+        monkeypatch.setattr(K, "PRODUCTS", products)
+        found.append(sorted(map(tuple, K.nearest_each(q, c, 7).collect())))
+    assert len(found[0]) == 280 and found[0] == found[1]
+
+
 def test_best_keeps_the_first_of_ties():
     rng = np.random.default_rng(2)
     scores = rng.integers(0, 4, (5, 40)).astype(float)
