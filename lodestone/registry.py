@@ -363,6 +363,7 @@ def picture_operators(spark, sf_dir):
             out.append(I.encode(page))
         return pd.Series(out)
 
+    readers.small_batches(spark)
     p = _t(spark, sf_dir, "embeddings", "vec_id", "embedding").select("vec_id", drawn("embedding").alias("png"))
     size = lambda c: F.coalesce(F.length(c), F.lit(-1))
     return p.select(
@@ -799,6 +800,7 @@ def _page_words(blob: bytes, page: int) -> list[dict]:
     CASE WHEN bool_or(contains(line, '@')) THEN 0 ELSE CAST(sum(len(list_filter(string_split(line, ' '), lambda w: w <> ''))) AS BIGINT) END AS words FROM lines GROUP BY ALL HAVING words > 0 OR status = 'damaged'""")
 def page_errors(spark, sf_dir):
     """Texts read as documents of pages: the words of every page that can be read, and the pages that can't."""
+    readers.small_batches(spark)
     texts = readers.spread(_t(spark, sf_dir, "documents", "doc_id", "text")).select(F.col("doc_id").cast("string").alias("path"), F.col("text").cast("binary").alias("content"))
     words, errors = pages.page_words(texts, _pages, _page_words)
     read = words.groupBy("doc_id", "page").agg(F.lit("read").alias("status"), F.count("*").alias("words"))

@@ -104,3 +104,18 @@ def test_numbers_are_dense_and_in_order(spark, tmp_path, n):
     rows = spark.range(n).select((F.col("id") * 7919 % 701).alias("k"), F.lit("x").alias("seq2")).repartition(5)
     got = sorted((r["k"], r["seq"]) for r in numbering.numbered(rows, ["k"], f"{tmp_path}/n", first=3).collect())
     assert [s for _, s in got] == list(range(3, n + 3))
+
+
+def test_texts_and_pictures_go_in_small_batches(spark, smallest):
+    """Python workers hold whole Arrow batches, so queries over texts and pictures lower their rows."""
+    from lodestone.registry import queries
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        for query in ("page_errors", "picture_operators"):
+            spark.conf.set(name, "10000")
+            queries()[query](spark, smallest)
+            assert int(spark.conf.get(name)) <= 512, query
+    finally:
+        spark.conf.set(name, before)
