@@ -142,12 +142,14 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, text: str) -> D
     pairs = checkpoint(pairs.distinct())
     if pairs.isEmpty():
         return pairs
+    release(docs.sparkSession)  # what the pairs came from, before the texts are shuffled
     wanted = pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct().join(reps.select("h", "t", F.col("least").alias("s")), "h")
     wanted = checkpoint(wanted)
     crowds = checkpoint(wanted.groupBy("s").agg(F.ceil(F.count("*") / SEATS).alias("blocks")))
     seated = wanted.join(crowds, "s").select("h", F.xxhash64("s", F.pmod("h", F.col("blocks"))).alias("block"))
     placed = pairs.join(seated.toDF("a", "ba"), "a").join(seated.toDF("b", "bb"), "b")
     placed = checkpoint(placed.select("a", "b", F.xxhash64(F.least("ba", "bb"), F.greatest("ba", "bb")).alias("place")))
+    release(docs.sparkSession)
     members = placed.select("place", F.explode(F.array("a", "b")).alias("h")).distinct()
     # Texts are sent and not sets, which are larger and don't compress.
     own = docs.select(F.xxhash64(text).alias("t"), _text(text).alias("text")).join(wanted.select("t").distinct(), "t", "left_semi").dropDuplicates(["t"])
