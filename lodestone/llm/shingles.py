@@ -18,13 +18,15 @@ is shared out:
    left. Then all pairs of different components are taken, the nearest of two components first,
    and the others only if that didn't join them.
 
-Sets are verified whole, as 64-bit hashes. The order puts the shingles that a sample of texts finds
-common last; it only decides how many pairs are looked at, never which are found.
+Sets are verified whole, as 64-bit hashes. The order puts common shingles last, by their counts over
+all texts: a table of a fixed number of cells, in which a shingle has the class of its count, or that
+of a more frequent one it shares the cell with. The order only decides how many pairs are looked at,
+never which are found.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -45,8 +47,8 @@ RADIUS, CROWD = 8, 64
 #: Cells of a set's parities, and the shingles before a place that are looked at for an earlier one.
 CELLS, LAST = 256, 4
 ODD = [f"odd{i}" for i in range(CELLS // 64)]
-#: Texts sampled for the order, the least count of a common shingle there, and common shingles at most.
-SAMPLE, COMMON, MOST = 20_000, 3, 65_536
+#: Blocks of the table of counts, cells of each, classes from a count to its double, and shingles that a task counts at once.
+BLOCKS, PLACES, STEPS, CHUNK = 4096, 1024, 4, 1 << 21
 #: Sets of a block in which pairs are verified.
 SEATS = 256
 
@@ -70,13 +72,15 @@ def name_of(own: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(own.tobytes(), SEED)).view(np.int64))
 
 
-def prefix(own: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """The shingles that a similar set must share one of; common is sorted, rank is each one's place."""
-    at = np.zeros(len(own), np.int64)
-    if len(common):
-        place = np.minimum(np.searchsorted(common, own), len(common) - 1)
-        at = np.where(common[place] == own, rank[place] + 1, 0)
-    return own[np.lexsort((own, at))[: len(own) + (-OF * len(own) // PARTS) + 1]]
+def cells(own: np.ndarray) -> np.ndarray:
+    """Each shingle's cell in the table of counts: the block is its first 12 bits, the place there 10 of its last 32."""
+    bits = own.view(np.uint64)
+    return ((bits >> 52) * PLACES + ((bits & 0xFFFFFFFF) >> 22)).astype(np.int64)
+
+
+def prefix(own: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """The shingles that a similar set must share one of; classes has a number for each cell, the rarest first."""
+    return own[np.lexsort((own, classes[cells(own)]))[: len(own) + (-OF * len(own) // PARTS) + 1]]
 
 
 def parities(own: np.ndarray) -> np.ndarray:
@@ -85,31 +89,72 @@ def parities(own: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def _sets(df: DataFrame, text: str) -> DataFrame:
-    """(h, shingles) of each row."""
+def _counted(sets: Iterable[np.ndarray]) -> pa.RecordBatch:
+    """(block, shingles, counts) of the sets: the last 32 bits of each block's shingles, and how many sets have each."""
+    bits = np.concatenate([*sets]).view(np.uint64)
+    found, counts = np.unique((bits >> 52 << 32) | (bits & 0xFFFFFFFF), return_counts=True)
+    blocks, starts = np.unique(found >> 32, return_index=True)
+    ends = [*starts[1:], len(found)]
+    cut = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(starts, ends, strict=True)], pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(blocks.astype(np.int32)), cut(found.astype("<u4")), cut(counts.astype("<u4"))], names=["block", "shingles", "counts"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = [shingles(v.as_py()) for v in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array([name_of(s) for s in own], pa.int64()), pa.array(own, pa.list_(pa.int64()))], names=["h", "shingles"])
 
-    return df.select(_text(text).alias("_text")).mapInArrow(run, "h long, shingles array<long>")
+def _classes(shingles: list[bytes], counts: list[bytes]) -> bytes:
+    """The classes of a block's cells, each that of its most frequent shingle; zero is a shingle of one set, or none."""
+    own, n = np.frombuffer(b"".join(shingles), "<u4"), np.frombuffer(b"".join(counts), "<u4")
+    order = np.argsort(own)
+    own = own[order]
+    first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+    of_all = np.add.reduceat(n[order].astype(np.int64), first)
+    out = np.zeros(PLACES, np.uint8)
+    np.maximum.at(out, own[first] >> 22, np.floor(STEPS * np.log2(of_all)).astype(np.uint8))
+    return out.tobytes()
+
 
+def common_shingles(df: DataFrame, text: str) -> np.ndarray:
+    """The class of each cell by the counts of all shingles of all texts; copies that a task meets together count once.
 
-def common_shingles(df: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
-    """The common shingles, sorted, and each one's place by its count."""
-    n = df.count()
-    some = df if n <= SAMPLE else df.where(F.pmod(F.xxhash64(text), F.lit(-(-n // SAMPLE))) == 0)
-    counted = _sets(some, text).dropDuplicates(["h"]).select(F.explode("shingles").alias("s")).groupBy("s").count().where(F.col("count") >= COMMON)
-    got = [r["s"] for r in counted.orderBy(F.desc("count"), "s").limit(MOST).collect()]  # MOST rows at most
-    common = np.array(got, np.int64)
-    order = np.argsort(common)
-    return common[order], (len(got) - np.arange(len(got)))[order]
+    Shingles are dealt out by block, and counted there by 44 bits of their hashes: 32 and those of the block.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = {}, 0
+        for batch in batches:
+            for v in batch.column(0):
+                own = shingles(v.as_py())
+                name = name_of(own)
+                if name not in held:
+                    held[name], size = own, size + len(own)
+                if size >= CHUNK:
+                    yield _counted(held.values())
+                    held, size = {}, 0
+        if held:
+            yield _counted(held.values())
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = lambda block, own: pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "classes": [_classes(*zip(*own, strict=True))]})
+        at, own = None, []
+        for batch in batches:
+            for block, *x in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if block != at and own:
+                    yield row(at, own)
+                    own = []
+                at = block
+                own.append(x)
+        if own:
+            yield row(at, own)
+
+    dealt = df.select(_text(text).alias("_text")).mapInArrow(count, "block int, shingles binary, counts binary").repartition("block").sortWithinPartitions("block")
+    classes = np.zeros((BLOCKS, PLACES), np.uint8)
+    for r in dealt.mapInArrow(judge, "block int, classes binary").collect():  # BLOCKS rows at most
+        classes[r["block"]] = np.frombuffer(r["classes"], np.uint8)
+    return classes.ravel()
 
 
 def filed(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, t, h, n, least, fp, prefix, odd) of each row: the hash of its text, its set's name, size, least hash, fingerprint, prefix and parities."""
-    common, rank = common_shingles(df, text)
+    classes = common_shingles(df, text)
+    release(df.sparkSession)
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,7 +165,7 @@ def filed(df: DataFrame, key: str, text: str) -> DataFrame:
                 pa.array([len(s) for s in own], pa.int32()),
                 pa.array([int(s[0]) for s in own], pa.int64()),
                 pa.array([simhash.majority(simhash.set_bits(s.astype(">i8").view(np.uint8)), len(s)) for s in own], pa.int64()),
-                pa.array([prefix(s, common, rank) for s in own], pa.list_(pa.int64())),
+                pa.array([prefix(s, classes) for s in own], pa.list_(pa.int64())),
                 pa.array([parities(s) for s in own], pa.list_(pa.int64())),
             ]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *new], names=["key", "t", "h", "n", "least", "fp", "prefix", "odd"])

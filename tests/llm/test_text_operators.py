@@ -217,6 +217,31 @@ def test_completion_finds_all_that_probing_leaves(spark, monkeypatch):
     assert {r["doc_id"] for r in simhash.stage(spark, df, "").collect()} == set(parent.values())
 
 
+def test_order_of_shingles_counts_all_texts(spark):
+    """Of more than 20,000 texts, a phrase that only those hold which a sample by every second hash would leave out."""
+    one = spark.range(20_500).select(F.concat_ws(" ", *[F.concat(F.lit(c), F.col("id")) for c in "abcdefgh"]).alias("text"))
+    phrase = min((f"some {i} words are common" for i in range(500)), key=lambda p: shingles.shingles(p.encode())[0])
+    common = shingles.shingles(phrase.encode())[0]
+    some = one.limit(300).select(F.concat_ws(" ", "text", F.lit(phrase)).alias("text")).where("pmod(xxhash64(text), 2) = 1")
+    got = shingles.filed(one.union(some).select(F.hash("text").alias("doc_id"), "text"), "doc_id", "text")
+    assert some.count() > 100
+    assert got.where(F.array_contains("prefix", int(common))).count() == 0  # else it is the first one by its hash
+
+
+def test_classes_follow_counts():
+    sets = [np.unique(np.array([5, 9, k << 52 | k << 22, -k - 1], np.int64)) for k in range(1, 40)]
+    blocks = {}
+    for part in (sets[:13], sets[13:]):
+        for block, own, n in zip(*shingles._counted(part).to_pydict().values(), strict=True):
+            blocks.setdefault(block, []).append((own, n))
+    classes = np.zeros((shingles.BLOCKS, shingles.PLACES), np.uint8)
+    for block, own in blocks.items():
+        classes[block] = np.frombuffer(shingles._classes(*zip(*own, strict=True)), np.uint8)
+    flat = classes.ravel()
+    assert set(flat[shingles.cells(np.array([5, 9]))]) == {int(shingles.STEPS * np.log2(39))} and (flat > 0).sum() == 1
+    assert shingles.prefix(np.array([5, 9, 1 << 60, 2 << 60, 3 << 60, 4 << 60]), flat).tolist() == [1 << 60, 2 << 60]
+
+
 def test_stage_with_an_id_of_several_texts(spark):
     a, b = (" ".join(f"{c}{i}" for i in range(40)) for c in "ab")
     rows = [(5, a), (5, b), (3, a + " more"), (5, b), (None, b + " more")]
