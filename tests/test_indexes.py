@@ -1,8 +1,10 @@
 """Indexes that let a search or a nearest-neighbour query read less, against plain scans."""
 
 import random
+import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -49,6 +51,37 @@ def test_index_of_nothing(spark, marks, tmp_path):
     assert empty.matches("alpha").collect() == empty.matches("z").collect() == [] and empty.narrowed("al").columns == marks.columns
 
 
+def test_postings_list_rows_together(spark, tmp_path):
+    texts = spark.range(3000).select("id", F.concat(F.lit("Wörter 😀 that all rows have "), F.col("id")).alias("text"))
+    index = trigrams.Index.build(texts.repartition(3), f"{tmp_path}/t", ("text",), serial=None, parts=8, buckets=4)
+    posted = spark.read.parquet(f"{index.path}/postings")
+    # 26 grams of the words, 2 with a blank before digits, 1000 of digits: in each of three tasks once at most.
+    assert posted.count() <= 3 * 1200 < posted.agg(F.sum("n")).first()[0] == posted.agg(F.sum(F.size("rows"))).first()[0]
+    assert posted.count() < 3000 * 26 / 10
+    assert index.matches("😀%have").count() == 3000 and index.matches("örter😀").count() == 0 and index.matches("wÖrter").count() == 3000
+    assert [r["id"] for r in index.matches("2345").collect()] == [2345]
+
+
+def test_grams_are_put_together_in_any_pieces(monkeypatch):
+    texts = [(7, "abcabc", None), (8, "bcab", "ab"), (7, "xabc", "\U0001f600bc")]
+    batches = lambda: iter([pa.RecordBatch.from_pylist([dict(zip(("row", "a", "b"), t, strict=True)) for t in texts])])
+    number = lambda g: sum(ord(c) << (21 * i) for i, c in enumerate(g))
+    want = sorted((f, number(g), row) for row, *own in texts for f, t in enumerate(own) for g in {(t or "")[i : i + 3] for i in range(len(t or "") - 2)})
+    for together in (1, 4, 1 << 21):
+        monkeypatch.setattr(trigrams, "TOGETHER", together)
+        got = [r for b in trigrams.posted(batches()) for r in b.to_pylist()]
+        assert sorted((r["field"], r["gram"], row) for r in got for row in r["rows"]) == want and all(r["n"] == len(r["rows"]) for r in got)
+
+
+def test_patterns_are_tried_only_where_all_their_runs_are(spark, tmp_path):
+    """At each of 100,000 places of a run, the pattern alone looks through the rest of the text: minutes for these rows."""
+    texts = [(i, "the" * 100_000 + ("licen" if i == 3 else "")) for i in range(8)]
+    index = trigrams.Index.build(spark.createDataFrame(texts, "id long, text string"), f"{tmp_path}/t", ("text",), serial=None, parts=1, buckets=2)
+    before = time.monotonic()
+    assert [r["id"] for r in index.matches("THE%Licen").collect()] == [3] and time.monotonic() - before < 60
+    assert index.promising("the%licen").count() == 1 and index.promising("the").count() == 8
+
+
 def test_literal_runs():
     assert trigrams.literal_runs("%ab_c\\%d%%e\\\\f") == ["ab", "c%d", "e\\f"] and trigrams.literal_runs("%_") == []
 
