@@ -22,10 +22,14 @@ Sets are verified whole, as 64-bit hashes. The order puts common shingles last,
 all texts: a table of a fixed number of cells, in which a shingle has the class of its count, or that
 of a more frequent one it shares the cell with. The order only decides how many pairs are looked at,
 never which are found.
+
+What stands between steps is written as tables: a step reads the columns it needs of them, and a
+table of small files is read by few tasks, where a checkpoint has one for each partition again.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Iterator
 from itertools import accumulate
 
@@ -37,7 +41,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.llm import simhash
-from lodestone.llm.common import checkpoint, connected_components, release
+from lodestone.llm.common import checkpoint, connected_components, delete, release, stored
 
 WIDTH, SEED = 5, 42
 #: The least similarity of near copies, as a fraction.
@@ -177,23 +181,29 @@ def _fit(a: str, b: str) -> Column:
     return OF * F.greatest(a, b) <= PARTS * F.least(a, b)
 
 
-def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+def kept(df: DataFrame, folder: str) -> DataFrame:
+    """The frame as a table of its own in the folder."""
+    return stored(df, f"{folder}/{uuid.uuid4().hex}")
+
+
+def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, text: str, folder: str) -> DataFrame:
     """Those of the pairs (a, b) of sets that are similar, by the whole sets.
 
     Sets with the same least hash, as near copies mostly have, sit in blocks of about ``SEATS``;
     a pair is judged where the blocks of both meet, so that a set is sent once to each such place
     and not once for each of its pairs.
     """
-    pairs = checkpoint(pairs.distinct())
+    steps = f"{folder}/{uuid.uuid4().hex}"
+    pairs = kept(pairs.distinct(), steps)
     if pairs.isEmpty():
         return pairs
     release(docs.sparkSession)  # what the pairs came from, before the texts are shuffled
-    wanted = pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct().join(reps.select("h", "t", F.col("least").alias("s")), "h")
-    wanted = checkpoint(wanted)
-    crowds = checkpoint(wanted.groupBy("s").agg(F.ceil(F.count("*") / SEATS).alias("blocks")))
-    seated = wanted.join(crowds, "s").select("h", F.xxhash64("s", F.pmod("h", F.col("blocks"))).alias("block"))
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct().join(reps.select("h", "t", F.col("least").alias("s")), "h")
+    wanted = kept(wanted, steps)
+    crowds = kept(wanted.groupBy("s").agg(F.ceil(F.count("*") / SEATS).alias("blocks")), steps)
+    seated = kept(wanted.join(crowds, "s").select("h", F.xxhash64("s", F.pmod("h", F.col("blocks"))).alias("block")), steps)
     placed = pairs.join(seated.toDF("a", "ba"), "a").join(seated.toDF("b", "bb"), "b")
-    placed = checkpoint(placed.select("a", "b", F.xxhash64(F.least("ba", "bb"), F.greatest("ba", "bb")).alias("place")))
+    placed = kept(placed.select("a", "b", F.xxhash64(F.least("ba", "bb"), F.greatest("ba", "bb")).alias("place")), steps)
     release(docs.sparkSession)
     members = placed.select("place", F.explode(F.array("a", "b")).alias("h")).distinct()
     # Texts are sent and not sets, which are larger and don't compress.
@@ -216,7 +226,8 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, text: str) -> D
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
     dealt = rows.repartition("place").sortWithinPartitions("place", F.asc_nulls_first("b"))
-    judged = checkpoint(dealt.mapInArrow(run, "a long, b long"))
+    judged = kept(dealt.mapInArrow(run, "a long, b long"), folder)
+    delete(docs.sparkSession, steps)
     release(docs.sparkSession)
     return judged
 
@@ -243,18 +254,26 @@ def _rooted(frame: DataFrame, roots: DataFrame, h: str, root: str) -> DataFrame:
     return frame.join(roots.toDF(h, "_root"), h, "left").withColumn(root, F.coalesce("_root", h)).drop("_root")
 
 
-def _places(reps: DataFrame, roots: DataFrame) -> DataFrame:
+def merged(roots: DataFrame, pairs: DataFrame, folder: str) -> DataFrame:
+    """(h, root) after the pairs (a, b) of sets are linked as well: only the components that they join are linked anew."""
+    edges = _rooted(_rooted(pairs, roots, "a", "ra"), roots, "b", "rb")
+    new = kept(connected_components(edges, "ra", "rb").toDF("root", "_new"), folder)
+    alone = new.join(roots.select(F.col("h").alias("root")), "root", "left_anti")
+    old = roots.join(new, "root", "left").select("h", F.coalesce("_new", "root").alias("root"))
+    return kept(old.union(alone.select("root", "_new")), folder)
+
+
+def _places(reps: DataFrame, roots: DataFrame, folder: str) -> DataFrame:
     """One row for each set and shingle of its prefix that sets of another component have there too.
 
     All prefixes are shuffled as bare shingles; the sets' numbers come to those rows that are left.
     """
-    rooted = checkpoint(_rooted(reps.select("h", "n", "fp", *[F.col("odd")[i].alias(o) for i, o in enumerate(ODD)]), roots, "h", "root"))
-    bare = reps.select("h", F.posexplode("prefix").alias("i", "s"))
-    several = _several(_rooted(bare.select("h", "s"), roots, "h", "root"))
-    left = checkpoint(bare.join(several, "s", "left_semi"))
+    rooted = kept(_rooted(reps.select("h", "n", "fp", *[F.col("odd")[i].alias(o) for i, o in enumerate(ODD)]), roots, "h", "root"), folder)
+    several = _several(reps.select("h", "prefix").join(rooted.select("h", "root"), "h").select("root", F.explode("prefix").alias("s")))
+    left = kept(reps.select("h", F.posexplode("prefix").alias("i", "s")).join(several, "s", "left_semi"), folder)
     before = W.partitionBy("h").orderBy("i")
     left = left.withColumn("last", F.array_compact(F.array(*[F.lag("s", k).over(before) for k in range(1, LAST + 1)])))
-    return checkpoint(left.join(rooted, "h").withColumn("rest", F.col("n") - F.col("i")).drop("i"))
+    return kept(left.join(rooted, "h").withColumn("rest", F.col("n") - F.col("i")).drop("i"), folder)
 
 
 def _several(at: DataFrame) -> DataFrame:
@@ -271,10 +290,10 @@ def _may_be_copies() -> Column:
     return (F.col("x.root") != F.col("y.root")) & _fit("x.n", "y.n") & enough & ((OF + PARTS) * differ <= (PARTS - OF) * both)
 
 
-def _with_hubs(at: DataFrame) -> DataFrame:
+def _with_hubs(at: DataFrame, folder: str) -> DataFrame:
     """(a, b): each set with the hubs of its shingles, the sets with the smallest share of rarer ones."""
     hub = F.max_by(F.struct("h", "root", "n", "fp", "rest", *ODD), F.struct(F.col("rest") / F.col("n"), "h"))
-    hubs = checkpoint(at.groupBy("s").agg(hub.alias("hub")).select("s", "hub.*"))
+    hubs = kept(at.groupBy("s").agg(hub.alias("hub")).select("s", "hub.*"), folder)
     met = at.alias("x").join(hubs.alias("y"), (F.col("x.s") == F.col("y.s")) & _may_be_copies())
     return met.select(F.least("x.h", "y.h").alias("a"), F.greatest("x.h", "y.h").alias("b"))
 
@@ -286,23 +305,20 @@ def _with_all(at: DataFrame) -> DataFrame:
     return met.select(F.col("x.h").alias("a"), F.col("y.h").alias("b"), F.col("x.root").alias("ra"), F.col("y.root").alias("rb"), simhash.gap("x.fp", "y.fp").alias("gap")).distinct()
 
 
-def components(rows: DataFrame, docs: DataFrame, text: str = "text", radius: int = RADIUS) -> DataFrame:
-    """(h, root) of the sets of filed rows that have near copies."""
-    reps = checkpoint(rows.select("h", "t", "n", "least", "fp", "prefix", "odd").dropDuplicates(["h"]))
-    links = verified(found(reps, radius), reps, docs, text)
-    roots = connected_components(links, "a", "b").toDF("h", "root")
-    at = _places(reps, roots)
-    links = checkpoint(links.union(verified(_with_hubs(at), reps, docs, text)))
-    roots = connected_components(links, "a", "b").toDF("h", "root")
-    now = _rooted(at.drop("root"), checkpoint(roots), "h", "root")
-    pairs = checkpoint(_with_all(checkpoint(now.join(_several(now.select("s", "root")), "s", "left_semi"))))
+def components(rows: DataFrame, docs: DataFrame, folder: str, text: str = "text", radius: int = RADIUS) -> DataFrame:
+    """(h, root) of the sets of filed rows that have near copies; its tables stay in the folder, for the caller to delete."""
+    reps = kept(rows.select("h", "t", "n", "least", "fp", "prefix", "odd").dropDuplicates(["h"]), folder)
+    links = verified(found(reps, radius), reps, docs, text, folder)
+    roots = kept(connected_components(links, "a", "b").toDF("h", "root"), folder)
+    at = _places(reps, roots, folder)
+    roots = merged(roots, verified(_with_hubs(at, folder), reps, docs, text, folder), folder)
+    now = kept(_rooted(at.drop("root"), roots, "h", "root"), folder)
+    pairs = kept(_with_all(kept(now.join(_several(now), "s", "left_semi"), folder)), folder)
     nearest = pairs.groupBy(F.least("ra", "rb").alias("lo"), F.greatest("ra", "rb").alias("hi")).agg(F.min(F.struct("gap", "a", "b")).alias("x")).select("x.a", "x.b")
-    more = verified(nearest, reps, docs, text)
+    nearest = kept(nearest, folder)
+    more = verified(nearest, reps, docs, text, folder)
     if not more.isEmpty():
-        links = checkpoint(links.union(more))
-        roots = connected_components(links, "a", "b").toDF("h", "root")
+        roots = merged(roots, more, folder)
     left = _rooted(_rooted(pairs.select("a", "b"), roots, "a", "ra"), roots, "b", "rb").where("ra <> rb").select("a", "b")
-    more = verified(left.join(nearest, ["a", "b"], "left_anti"), reps, docs, text)
-    if not more.isEmpty():
-        roots = connected_components(links.union(more), "a", "b").toDF("h", "root")
-    return checkpoint(roots)
+    more = verified(left.join(nearest, ["a", "b"], "left_anti"), reps, docs, text, folder)
+    return roots if more.isEmpty() else merged(roots, more, folder)

@@ -20,6 +20,7 @@ component that has an id; an empty table gives no rows; other columns are ignore
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import accumulate, combinations
@@ -32,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import checkpoint, connected_components, free, table
+from lodestone.llm.common import checkpoint, connected_components, delete, free, shared_folder, table
 
 BITS, LIMIT, SHINGLE, SEED = 64, 4, 4, 42
 #: Shingles that are hashed at once.
@@ -305,10 +306,12 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     none, key, text, row = free(docs, "_none", "_key", "_t", "_row")
     from lodestone.llm import shingles  # which builds on this module
 
-    rows = checkpoint(shingles.filed(docs, "doc_id", "text"))
-    rooted = rows.select("key", "t", "h").join(shingles.components(rows, docs), "h", "left")
+    folder = f"{shared_folder(spark)}/shingles-{uuid.uuid4().hex}"
+    rows = shingles.kept(shingles.filed(docs, "doc_id", "text"), folder)
+    rooted = rows.select("key", "t", "h").join(shingles.components(rows, docs, folder), "h", "left")
     least = rooted.groupBy(F.coalesce("root", "h").alias("root")).agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "t")).alias("x"))
     wanted = checkpoint(least.select(F.col("x.none").alias(none), F.coalesce("x.key", F.lit(0)).alias(key), F.col("x.t").alias(text)))
+    delete(spark, folder)
     own = docs.withColumns({none: F.col("doc_id").isNull(), key: F.coalesce("doc_id", F.lit(0)), text: F.xxhash64("text")})
     kept = own.join(wanted, [none, key, text], "left_semi")
     kept = kept.withColumn(row, F.row_number().over(W.partitionBy(none, key, text).orderBy(F.lit(0)))).where(F.col(row) == 1)

@@ -16,7 +16,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lodestone import llm
-from lodestone.llm import bpe, iblt, mixing, pii, quality, shingles, simhash
+from lodestone.llm import bpe, common, iblt, mixing, pii, quality, shingles, simhash
 
 from llm_helpers import rows_of
 
@@ -217,6 +217,16 @@ def test_completion_finds_all_that_probing_leaves(spark, monkeypatch):
     assert {r["doc_id"] for r in simhash.stage(spark, df, "").collect()} == set(parent.values())
 
 
+def test_merged_components_equal_those_of_all_links(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    first, more = ([tuple(map(int, x)) for x in rng.integers(0, 120, (n, 2)) if x[0] != x[1]] for n in (50, 30))
+    frame = lambda pairs: spark.createDataFrame(pairs, "a long, b long")
+    roots = common.connected_components(frame(first), "a", "b").toDF("h", "root")
+    for some in (more, more[:0]):
+        got = sorted(map(tuple, shingles.merged(roots, frame(some), str(tmp_path)).collect()))
+        assert got == sorted(map(tuple, common.connected_components(frame(first + some), "a", "b").collect()))
+
+
 def test_order_of_shingles_counts_all_texts(spark):
     """Of more than 20,000 texts, a phrase that only those hold which a sample by every second hash would leave out."""
     one = spark.range(20_500).select(F.concat_ws(" ", *[F.concat(F.lit(c), F.col("id")) for c in "abcdefgh"]).alias("text"))
