@@ -243,9 +243,11 @@ def candidates(reps: DataFrame, limit: int, dense: int = DENSE) -> DataFrame:
     filed, asked, crowded = _dealt(reps, parts, dense)
     pairs = None
     if not crowded.isEmpty():
-        hot = filed.unionByName(asked).join(crowded, ["part", "key"], "left_semi")
-        least = checkpoint(hot.groupBy("part", "key").agg(F.min("fp").alias("b")))
-        pairs = hot.join(least, ["part", "key"]).select(F.col("fp").alias("a"), "b")
+        each = filed.unionByName(asked)
+        # Only keys meet the crowded ones here; a join of their members would list these once more.
+        least = checkpoint(each.groupBy("part", "key").agg(F.min("fp").alias("b")).join(crowded, ["part", "key"], "left_semi"))
+        close = (F.col("fp") > F.col("b")) & (gap("fp", "b") <= limit)
+        pairs = each.join(least, ["part", "key"]).where(close).select(F.col("fp").alias("a"), "b")
         filed, asked = (x.join(crowded, ["part", "key"], "left_anti") for x in (filed, asked))
     met = filed.withColumnRenamed("fp", "b").join(asked.withColumnRenamed("fp", "a"), ["part", "key"]).select("a", "b")
     near = (met if pairs is None else pairs.union(met)).where((F.col("a") > F.col("b")) & (gap("a", "b") <= limit))
