@@ -143,18 +143,16 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, ys, out = [], [], []
-            for key, text, y in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            out = []
+            for text in batch.column(1).to_pylist():
                 n = -(-len(text) // PIECE)
-                for at in sorted({n * i // PIECES for i in range(PIECES)}):
-                    ids.append(key)
-                    ys.append(y)
-                    out.append(text[at * PIECE : (at + 1) * PIECE])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(ys, pa.int32()), pa.array(out, pa.binary())], names=["doc_id", "y", "piece"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()  # of 2 * ROWS * PIECES pieces at most
-    pieces = sorted((r["y"], str(r["doc_id"]), bytes(r["piece"])) for r in rows.mapInArrow(cut, f"doc_id {kind}, y int, piece binary").collect())
-    by = {y: [p for label, _, p in pieces if label == y] for y in (0, 1)}
+                out.append(sorted(text[at * PIECE : (at + 1) * PIECE] for at in {n * i // PIECES for i in range(PIECES)}))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.list_(pa.binary()))], names=["doc_id", "y", "pieces"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()  # 2 * ROWS rows at most, of PIECES pieces
+    by = {0: [], 1: []}
+    for r in sorted(rows.mapInArrow(cut, f"doc_id {kind}, y int, pieces array<binary>").collect(), key=lambda r: (r["y"], str(r["doc_id"]))):
+        by[r["y"]] += map(bytes, r["pieces"])
     share = totals.get(1, 0) / sum(totals.values()) if totals else 0.5
     if not by[0] or not by[1]:
         return Model(b"", b"", np.zeros(2), np.ones(2), np.zeros(6), share)

@@ -45,6 +45,22 @@ def test_connected_components(spark, kind):
     assert {r["node"]: r["root"] for r in got} == want and len(got) == len(want)
 
 
+@pytest.mark.parametrize("most", [7, 1 << 18])
+def test_components_that_few_tasks_hold_take_few_jobs(spark, monkeypatch, most):
+    """A long chain over many tasks, by edges that fit into one task together and by some that don't."""
+    monkeypatch.setattr(common, "EDGES", most)
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup(f"chain {most}", "")
+    try:
+        edges = spark.range(60).selectExpr("(id * 37) % 60 AS a").selectExpr("a", "a + 1 AS b").repartition(8)
+        got = common.connected_components(edges, "a", "b").collect()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted(map(tuple, got)) == [(i, 0) for i in range(61)]
+    jobs = len(tracker.getJobIdsForGroup(f"chain {most}"))
+    assert most == 7 or 0 < jobs <= 16, jobs
+
+
 # --------------------------------------------------------------------------- embeddings
 
 
