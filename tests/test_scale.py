@@ -147,6 +147,37 @@ def test_inside_sends_few_boxes_to_the_items(spark):
     assert got == [want, want]
 
 
+@pytest.mark.parametrize("axis", ["x", "y"])
+def test_inside_shuffles_an_item_for_few_sizes(spark, axis):
+    """Boxes of nine sizes and of none, among them backward ones: an item is shuffled for three, not for each, and meets all that hold it."""
+    rng = random.Random(11)
+    odd = [(None, 1.0), (math.nan, 2.0), (5.0, 4.0), (0.0, math.nan), (-math.inf, -math.inf), (math.inf, math.inf)]
+    spans = odd + [(a, a + wide) for wide in (0, 0.3, *(2.0**k for k in range(2, 10))) for a in (rng.uniform(-400, 400) for _ in range(12))]
+    points = [*odd, (-math.inf, math.inf), (math.nan, math.nan), *((a, a + rng.choice([0, 0, 0.2, 3])) for a in (rng.uniform(-420, 900) for _ in range(400)))]
+    points += [(b, b) for _, b in spans[6:40]] + [(a, a) for a, _ in spans[6:40]]  # on the edges
+    flat, (p, b) = ("0.0D", "0.0D"), (("x0", "x1"), ("bx0", "bx1")) if axis == "x" else (("top", "bottom"), ("by0", "by1"))
+    other = (("top", "bottom"), ("by0", "by1")) if axis == "x" else (("x0", "x1"), ("bx0", "bx1"))
+    table = lambda rows, key, own, rest: spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], f"{key} int, {own[0]} double, {own[1]} double").selectExpr("*", *[f"{v} AS {c}" for v, c in zip(flat, rest, strict=True)])
+    items, boxes = table(points, "item", p, other[0]).repartition(3), table(spans, "box", b, other[1]).repartition(2)
+    found = J.inside(items, boxes, [], axis, few=0)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    copies = [line.split("ELSE array(")[1].split(" END")[0].count("struct(size") for line in plan.split("\n") if "Generate" in line and "ELSE array(" in line]
+    assert "SortMergeJoin" in found._jdf.queryExecution().sparkPlan().toString() and copies == [3]  # and one, that is constant, for boxes that no bin holds
+    got = Counter((r["item"], r["box"]) for r in found.collect())
+    every = items.crossJoin(boxes).where(f"{p[0]} >= {b[0]} and {p[1]} <= {b[1]}").collect()
+    assert got == Counter((r["item"], r["box"]) for r in every) and len(got) > 1000
+
+
+def test_inside_shares_bins_of_near_sizes():
+    """However sizes lie: a box covers few bins, and a bin is not much wider than its boxes."""
+    rng = random.Random(3)
+    for sizes in [[], [4], [-20, *range(4, 10)], list(range(-20, 51)), *(rng.sample(range(-20, 51), rng.randrange(1, 30)) for _ in range(50))]:
+        shared = J._shared_bins(sizes)
+        assert shared.keys() == set(sizes) and all(-3 <= b - s <= 2 for s, b in shared.items())
+        assert len(set(shared.values())) <= -(-71 // 6)
+    assert J._shared_bins([-20, *range(4, 10)]) == {-20: -20} | dict.fromkeys(range(4, 10), 6)
+
+
 # ------------------------------------------------------------------------------ sequences
 
 
